@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import bpe, licenses, media, pii, quality, secrets
+from curata.llm import bpe, chat, licenses, media, mixing, pii, quality, secrets, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_media_columns": media.op2_media_columns,
+    "op3_mixture": mixing.op3_mixture,
+    "op4_chat_perspectives": chat.op4_chat_perspectives,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_pii": pii.op7_pii,
     "op8_secrets": secrets.op8_secrets,
     "op9_bpe": bpe.op9_bpe,
+    "op10_top_k": topk.op10_top_k,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_mixture": mixing.ORACLE,
+    "op4_chat_perspectives": chat.ORACLE,
+    "op10_top_k": topk.ORACLE,
+}
