@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import bpe, chat, licenses, media, mixing, pii, quality, secrets, topk
+from curata.llm import bpe, chat, dedup, licenses, media, mixing, pii, quality, secrets, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
     "op2_media_columns": media.op2_media_columns,
     "op3_mixture": mixing.op3_mixture,
     "op4_chat_perspectives": chat.op4_chat_perspectives,
+    "op5_minhash_dedup": dedup.op5_minhash_dedup,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_pii": pii.op7_pii,
     "op8_secrets": secrets.op8_secrets,
