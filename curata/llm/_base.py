@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+import curata
+
 #: Rows turned into Python objects at a time; bounds a worker's memory, never what is processed.
 SLICE = 256
 
@@ -33,6 +37,19 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each Spark context, so that they need no installation of it."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_curata_shipped", False):
+        root = Path(curata.__file__).parent
+        target = Path(tempfile.mkdtemp(prefix="curata-")) / "curata.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(target))
+        sc._curata_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -49,6 +66,7 @@ def map_texts(
     The function is made once for each task. Only the named columns are read, so other columns of any name do no harm.
     ``schema`` names the function's columns; a column both kept and computed is not allowed.
     """
+    ship(docs.sparkSession)
     made = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     frame = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, *inputs])])
     kept_fields = [frame.schema[c] for c in keep]

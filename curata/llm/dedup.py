@@ -206,6 +206,7 @@ def stray_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links of 100 * intersection >= percent * union) and kept, one row for each row of docs."""
+    _base.ship(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = _base.materialize(_base.map_texts(d, lambda: Fingerprinter(size), "n_shingles long, k1 long, k2 long, bands array<long>", ["doc_id"]), "prints")
     full = prints.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -116,6 +116,7 @@ INDEX = "n_bytes long, digest binary, shard string, offset long, length long"
 
 def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", level: int = 6) -> DataFrame:
     """Writes the shards and returns the index, read back from its Parquet table: id, n_bytes, digest of the payload, shard, offset, length."""
+    _base.ship(docs.sparkSession)
     frame = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     kind = frame.schema[id_col].dataType.simpleString()
 

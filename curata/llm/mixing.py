@@ -34,6 +34,7 @@ BROADCAST_SOURCES = 100_000
 def prefix_sum(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """df with the running sum of ``value`` over the order of ``keys``, row by row, and a row id; range-partitioned and written once."""
     spark = df.sparkSession
+    _base.ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     at = df.columns.index(value)

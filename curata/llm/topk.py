@@ -128,6 +128,7 @@ def valid(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: F.Column | str, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score. is_query is a condition on vec_id."""
     spark = vectors.sparkSession
+    _base.ship(spark)
     all_rows = valid(vectors, id_col, vector_col)
     queries = all_rows.where(is_query).distinct()
     blocks = max(1, -(-queries.count() // block))
