@@ -1,10 +1,6 @@
 """Operators bound to the driver's tables: name -> query, and name -> the same in DuckDB's SQL."""
 
-from __future__ import annotations
+from curata.queries import annotations, evidence, identity, metrics, records, splits, stats
+from curata.queries._registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "annotations", "evidence", "identity", "metrics", "records", "splits", "stats"]
