@@ -8,7 +8,7 @@ rows a query; those are ranked by query.
 
 Defined cases: vectors null, or with null or non-finite components, take no part; vectors meet only those of their own length;
 rows that repeat a query's id and vector are one query, but each is a candidate of other queries; rows with the query's own id are no candidates of it;
-null ids take no part. Ties go to the smaller id. Scores are exact: where products may pass 2**53, Python's integers count.
+null ids take no part. Ties go to the smaller id. Scores are exact: where products may pass 2**53, Python's integers count; one beyond a long is given as the nearest long, and ranked by what it is.
 """
 
 from __future__ import annotations
@@ -37,13 +37,12 @@ def to_integers(rows: np.ndarray) -> np.ndarray:
 class Best:
     """The k best (score, id) of each query so far."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
-        self.ids, self.q, self.k = ids, vectors, k
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, large: bool = False) -> None:
+        self.ids, self.q, self.k, self.large = ids, vectors, k, large
         dims = vectors.shape[1]
         self.edges = [*range(0, dims, STEP), dims]
         # the norm of what is left of a query from each edge on
         self.left = np.stack([np.sqrt((vectors[:, e:] ** 2).sum(axis=1)) for e in self.edges], axis=1)
-        self.most = float(np.abs(vectors).max(initial=0.0))
         self.scores: list[np.ndarray] = [np.empty(0, dtype=object)] * len(ids)
         self.found: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(ids)
         self.bar = np.full(len(ids), -math.inf)
@@ -62,7 +61,7 @@ class Best:
 
     def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """All queries against a chunk of candidates."""
-        if self.most * float(np.abs(vectors).max(initial=0.0)) * max(1, self.q.shape[1]) >= 2**53:
+        if self.large:
             return self.meet_large(ids, vectors)
         columns = np.ascontiguousarray(vectors.T)
         left = np.stack([np.sqrt((columns[e:] ** 2).sum(axis=0)) for e in self.edges])
@@ -102,10 +101,10 @@ class Best:
                 self.scores[i] = self.scores[i].astype(object)
                 self.offer(i, scores, np.array([r[1] for r in rows], dtype=np.int64))
 
-    def rows(self) -> Iterator[tuple[int, int, int, int]]:
+    def rows(self) -> Iterator[tuple[int, int, int, int, str | None]]:
         for i, (s, d) in enumerate(zip(self.scores, self.found, strict=True)):
             for a, b in zip(s, d, strict=True):
-                yield i, int(self.ids[i]), int(b), max(-(2**63), min(2**63 - 1, int(a)))
+                yield i, int(self.ids[i]), int(b), max(-(2**63), min(2**63 - 1, int(a))), f"{int(a) + 10**99:0100d}" if self.large else None
 
 
 def by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -131,6 +130,9 @@ def top_k(vectors: DataFrame, is_query: F.Column | str, k: int = K, id_col: str
     _base.ship(spark)
     all_rows = valid(vectors, id_col, vector_col)
     queries = all_rows.where(is_query).distinct()
+    size = all_rows.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most"), F.max(F.size("v")).alias("dims")).first()
+    # beyond this, doubles can't sum exactly, and scores may leave a long: they stay at its ends, ranked by what they are
+    large = (256 * (size["most"] or 0.0) + 1) ** 2 * (size["dims"] or 0) >= 2**53
     blocks = max(1, -(-queries.count() // block))
     partial = None
     for b in range(blocks):
@@ -143,7 +145,7 @@ def top_k(vectors: DataFrame, is_query: F.Column | str, k: int = K, id_col: str
         sent = spark.sparkContext.broadcast(groups)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            best = {v.shape[1]: Best(ids, v, k) for ids, v in sent.value}
+            best = {v.shape[1]: Best(ids, v, k, large) for ids, v in sent.value}
             held: dict[int, list] = {}
             for batch in batches:
                 for ids, v in by_length(batch):
@@ -159,11 +161,11 @@ def top_k(vectors: DataFrame, is_query: F.Column | str, k: int = K, id_col: str
             rows = [(f"{n}:{i}", *rest) for n, x in best.items() for i, *rest in x.rows()]
             for at in range(0, len(rows), 50_000):
                 cols = list(zip(*rows[at : at + 50_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["of", "query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.string())], names=["of", "query_id", "vec_id", "score", "key"])
 
-        found = all_rows.mapInArrow(run, "of string, query_id long, vec_id long, score long").withColumn("block", F.lit(b))
+        found = all_rows.mapInArrow(run, "of string, query_id long, vec_id long, score long, key string").withColumn("block", F.lit(b))
         partial = found if partial is None else partial.unionByName(found)
-    order = Window.partitionBy("block", "of").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("block", "of").orderBy(F.desc("key"), F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
