@@ -5,7 +5,8 @@ and right from an anchor over the characters their kind allows. Nothing else in
 
 Base kinds (leftmost, not overlapping within a kind; what fails its test is dropped and not retried): email, ip, card, phone.
 The method's own kinds: url (scheme to the last URL character, closing punctuation off), account (an identifier cue, then a
-number of 6 to 34 characters holding 4 digits) and street (a house number beside a street word).
+number of 6 to 34 characters holding 4 digits), street (a house number beside a street word) and card_part (within a run of digit
+groups that is no card as a whole: one group of 16 to 19 digits, or four of 4, that passes Luhn's test).
 
 Defined cases: a null text counts as empty and has no spans; offsets are code points, end exclusive. Repeated rows give
 repeated results; very long texts are scanned whole.
@@ -30,7 +31,7 @@ LOCAL = ALNUM | frozenset("._%+-")
 LABEL = ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 
-EXTRA_KINDS = ("account", "street", "url")
+EXTRA_KINDS = ("account", "card_part", "street", "url")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 CUES = ("account number", "account no", "acct", "iban", "routing number", "sort code", "passport no", "passport number", "ssn", "tax id", "customer id", "policy number")
 STREETS = (" Street", " Avenue", " Road", " Lane", " Boulevard", "straße ", "strasse ", "rue ", "calle ")
@@ -38,6 +39,8 @@ URL_STOP = frozenset(" \t\n\r\x0b\x0c\"'<>`{}|\\^")
 ACCOUNT = ALNUM | frozenset(" -")
 
 LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]*")
+DIGIT_RUN = re.compile(r"[0-9]+")
+HOUSE_NUMBER = re.compile(r"(?:[^\W\d_]+ ){0,4}?(\d{1,4})\b")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 
 
@@ -113,6 +116,21 @@ class Finder:
                 break
         return (at, b, 16 <= len(digits) <= 19 and luhn(digits))
 
+    def card_parts(self, t: str, a: int, b: int) -> list[tuple[int, int]]:
+        """Cards among the digit groups of t[a:b], left to right, not overlapping."""
+        groups = [(m.start(), m.end()) for m in DIGIT_RUN.finditer(t, a, b)]
+        out, i = [], 0
+        while i < len(groups):
+            sizes = [y - x for x, y in groups[i : i + 4]]
+            n = 4 if sizes == [4] * 4 else 1 if 16 <= sizes[0] <= 19 else 0
+            start, end = groups[i][0], groups[i + n - 1][1]
+            if n and luhn([int(ch) for ch in t[start:end] if ch in DIGITS]):
+                out.append((start, end))
+                i += n
+            else:
+                i += 1
+        return out
+
     def phone(self, t: str, at: int, least: int) -> tuple[int, int, bool] | None:
         b, n, last, digits = at + 2, len(t), -1, 1
         run = 1
@@ -163,7 +181,7 @@ class Finder:
                     return None
                 words, start = words + 1, p - 1
             return None
-        m = re.compile(r"(?:[^\W\d_]+ ){0,4}?(\d{1,4})\b").match(t, b)
+        m = HOUSE_NUMBER.match(t, b)
         start = a
         while start > 0 and t[start - 1].isalnum():
             start -= 1
@@ -194,6 +212,8 @@ class Finder:
                 start, end, good = hit
                 if good and start >= ends[kind]:
                     found[kind].append((start, end))
+                elif kind == "card" and not good and end - start > 19:
+                    found["card_part"] += self.card_parts(text, start, end)
                 if good or kind in BASE_KINDS:
                     ends[kind] = max(ends[kind], end)
         return [(k, a, b) for k, v in found.items() for a, b in v]
@@ -217,7 +237,7 @@ class Redactor:
         out, at = [], 0
         for kind, a, b in sorted(self.finder.spans(text), key=lambda s: (s[1], -s[2])):
             if a >= at:
-                out += [text[at:a], f"<{kind.upper()}>"]
+                out += [text[at:a], f"<{kind.removesuffix('_part').upper()}>"]
                 at = b
             elif b > at:  # the rest of a span that overlaps the one before
                 at = b

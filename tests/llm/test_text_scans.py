@@ -61,6 +61,13 @@ def test_pii_planted():
     }
 
 
+def test_cards_beside_other_numbers():
+    t = "Éçan 7536784127813050 4845168114407329 en, 12 4111 1111 1111 1111 7"
+    assert [(k, t[a:b]) for k, a, b in FINDER.spans(t)] == [("card_part", "7536784127813050"), ("card_part", "4845168114407329"), ("card_part", "4111 1111 1111 1111")]
+    assert pii.Redactor()(t)[0] == "Éçan <CARD> <CARD> en, 12 <CARD> 7"
+    assert FINDER.spans("1219538112535716 or 9807915762804490 12") == []  # no card passes
+
+
 def test_pii_query_on_documents(spark):
     docs = spark.read.parquet(SF)
     texts = {r.doc_id: r.text for r in docs.collect()}
