@@ -86,24 +86,30 @@ def near_pairs(df: DataFrame, item: str, group: str, bits: str, distance: int =
     return pairs
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """node, component (its smallest node) for all nodes of the edges, by alternating large-star and small-star steps.
+def stars(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """node, root for every node that is not the smallest of its component; root is that smallest node. Alternating large-star and small-star steps.
 
-    Each step keeps at most as many rows as there are edges; state is written to the shared folder, and a count and a checksum decide when to stop.
+    Loops, repeated edges and null ends do no harm. A step keeps at most as many rows as there are edges. Minima are aggregated before their shuffle and
+    written, so that the join after them may split a hot node; a count and a checksum, all that comes to the driver, decide when to stop.
     """
-    ends = materialize(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL"), "ends")
-    nodes = ends.select("x").unionByName(ends.select(F.col("y").alias("x"))).distinct()
-    e = materialize(ends.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
-    state = None
-    while True:
+    high, low = F.greatest(F.col(a), F.col(b)), F.least(F.col(a), F.col(b))
+    e = materialize(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(high.alias("u"), low.alias("v")).where("u <> v").distinct(), "edges")
+    lowest = lambda x: materialize(x.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+    checksum = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    state = checksum(e)
+    while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        met = large.join(low, "u")
+        e = materialize(both.join(lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        met = e.join(lowest(e), "u")
         e = materialize(met.select("u", F.col("m").alias("v")).unionByName(met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "small")
-        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == state:
+        before, state = state, checksum(e)
+        if state == before:
             break
-        state = now
-    return nodes.join(e, F.col("x") == F.col("u"), "left").select(F.col("x").alias("node"), F.coalesce("v", "x").alias("component"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """node, component (its smallest node) for all nodes of the edges."""
+    ends = materialize(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL"), "ends")
+    nodes = ends.select("x").unionByName(ends.select(F.col("y").alias("x"))).distinct()
+    return nodes.join(stars(ends, "x", "y"), F.col("x") == F.col("node"), "left").select(F.col("x").alias("node"), F.coalesce("root", "x").alias("component"))
