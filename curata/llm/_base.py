@@ -1,12 +1,8 @@
-"""Shared plumbing: where intermediate tables go, and how a per-text function runs over Arrow batches."""
+"""Shared plumbing: how a per-text function runs over Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator, Sequence
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,42 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-import curata
+from curata.plans.storage import materialize, shared_dir, ship
+
+__all__ = ["SLICE", "map_texts", "materialize", "read", "shared_dir", "ship"]
 
 #: Rows turned into Python objects at a time; bounds a worker's memory, never what is processed.
 SLICE = 256
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset (local tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="curata-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/curata/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage, and a lost executor costs one task, not the history."""
-    spark = df.sparkSession
-    path = shared_dir(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each Spark context, so that they need no installation of it."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_curata_shipped", False):
-        root = Path(curata.__file__).parent
-        target = Path(tempfile.mkdtemp(prefix="curata-")) / "curata.zip"
-        with zipfile.ZipFile(target, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        sc.addPyFile(str(target))
-        sc._curata_shipped = True
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

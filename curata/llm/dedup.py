@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.llm import _base
-from curata.llm.components import components
+from curata.operators.identity import stars
 
 BANDS, ROWS = 32, 4
 SMALL = 64
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int, id_col: str = "doc
     pivots = shared.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(shared.select(F.col("node").alias("a"), F.col("high").alias("b")))
     pivots = _base.materialize(pivots.where("a < b").distinct(), "pivots")
     links = verify(pivots, sets, percent)
-    first = components(links)
+    first = stars(links, "a", "b")
 
     named = shared.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     named = _base.materialize(named, "named")
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, size: int, percent: int, id_col: str = "doc
     same = _base.materialize(same, "same").where("a <> b")
     if not same.isEmpty():
         found = found.unionByName(rows.join(same.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).distinct())
-    last = components(found)
+    last = stars(found, "a", "b")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("root", "node", "doc_id"))
     return rows.join(last, "node", "left").select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

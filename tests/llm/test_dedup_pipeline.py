@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from curata.llm import bpe, dedup, mixing, pii, quality
-from curata.llm.components import components
+from curata.operators.identity import stars
 
 
 def shingles(text, size):
@@ -100,7 +100,7 @@ def test_shingle_sets_and_signature(spark):
     assert abs(alike - len(np.intersect1d(x, y)) / len(np.union1d(x, y))) < 0.12
 
 
-def test_components_are_union_find(spark):
+def test_stars_are_union_find(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(80)] + [(5, 5), (None, 3)]
     parent = {}
@@ -116,8 +116,8 @@ def test_components_are_union_find(spark):
             parent[max(a, b)] = min(a, b)
     want = {x: find(x) for x in parent if find(x) != x}
     df = spark.createDataFrame(edges, "a long, b long")
-    assert {r.node: r.root for r in components(df).collect()} == want
-    assert components(df.limit(0)).count() == 0
+    assert {r.node: r.root for r in stars(df, "a", "b").collect()} == want
+    assert stars(df.limit(0), "a", "b").count() == 0
 
 
 SF = "/root/testdata/sf0.001"
