@@ -1,10 +1,12 @@
 """Quality classifier by compression: zstandard dictionaries of good and of bad text; the normalised difference of compressed sizes, calibrated.
 
 Training, on the driver, from a bounded sample of labelled rows (``MAX_PER_CLASS`` documents of each label, lowest hash of the id
-first; those of a length over ``MAX_CHARS`` stand back for training only): two thirds make the dictionaries, one third the calibration, a logistic curve over the
-difference by Newton steps. Scoring reads whole texts, in blocks of ``BLOCK`` bytes, so that long texts profit from the dictionaries as short ones do.
+first, of up to ``MAX_CHARS`` characters): two thirds make the dictionaries, one third the calibration, a logistic curve over the
+difference by Newton steps, moved to the shares that the labels have among all training rows. Scoring reads whole texts, in blocks of
+``BLOCK`` bytes, so that long texts profit from the dictionaries as short ones do. The difference is the bytes saved by the good
+dictionary for each byte of text, drawn towards its mean as if ``PRIOR_BYTES`` of average text came before: a few words say little.
 
-Inputs of a score: the text alone. Defined cases: null and empty texts have difference 0 and so the curve's value there; a
+Inputs of a score: the text alone. Defined cases: null and empty texts have the mean difference and so the curve's value there; a
 document with labels of both kinds, or none, trains nothing; with one class or none at all every score is the smoothed share
 of label 1. Repeated rows give repeated results.
 """
@@ -24,7 +26,8 @@ from curata.llm import _base
 MAX_PER_CLASS = 1500
 MAX_CHARS = 30_000
 DICTIONARY_BYTES = 96 << 10
-BLOCK = 2048
+BLOCK = 512
+PRIOR_BYTES = 64
 LEVEL = 3
 
 
@@ -35,6 +38,7 @@ class Model:
     raw: bool
     slope: float
     offset: float
+    mean: float = 0.0
 
 
 def _blocks(text: str | None) -> list[bytes]:
@@ -50,15 +54,20 @@ class Scorer:
         options = {"level": LEVEL, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
         self.good, self.bad = (zstandard.ZstdCompressor(dict_data=d, **options) if d else None for d in made)
 
+    def saved(self, text: str | None) -> tuple[int, int]:
+        """Bytes that the good dictionary saves against the bad one over all blocks, and the text's bytes."""
+        saved = size = 0
+        for block in _blocks(text):
+            saved += len(self.bad.compress(block)) - len(self.good.compress(block))
+            size += len(block)
+        return saved, size
+
     def difference(self, text: str | None) -> float:
-        """(size with the bad dictionary - size with the good one) / their sum, over all blocks: -1 to 1, higher for good text."""
+        """Saved bytes a byte, drawn towards the mean; higher for good text."""
         if self.good is None or self.bad is None:
             return 0.0
-        g = b = 0
-        for block in _blocks(text):
-            g += len(self.good.compress(block))
-            b += len(self.bad.compress(block))
-        return (b - g) / (b + g) if g + b else 0.0
+        saved, size = self.saved(text)
+        return (saved + PRIOR_BYTES * self.model.mean) / (size + PRIOR_BYTES)
 
     def __call__(self, text: str | None) -> tuple:
         z = self.model.slope * self.difference(text) + self.model.offset
@@ -71,7 +80,15 @@ def is_held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_per_class: int = MAX_PER_CLASS, max_chars: int = MAX_CHARS) -> list[tuple[int, str]]:
+@dataclass(frozen=True)
+class Sample:
+    """Labelled texts, and how many training rows each label has in all."""
+
+    rows: list[tuple[int, str]]
+    totals: tuple[int, int]
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_per_class: int = MAX_PER_CLASS, max_chars: int = MAX_CHARS) -> Sample:
     """At most max_per_class (label, text) of each label, none held out; the order, by hash of the id, is the same on every run."""
     marked = (
         labels.select(F.col("doc_id"), F.col(label_col).alias("y"))
@@ -79,6 +96,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
         .groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other")
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    totals = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     ids = None
     for y in (0, 1):
         # twice as many ids as are asked for, since some may have no document or too long a one
@@ -89,14 +107,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
     for y in (0, 1):
         rows = texts.where(F.col("y") == y).orderBy(*order, "text").limit(max_per_class).collect()
         out += [(y, r["text"]) for r in rows]
-    return out
+    return Sample(out, (totals.get(0, 0), totals.get(1, 0)))
 
 
-def fit(sample: list[tuple[int, str]]) -> Model:
-    by = {y: [t for label, t in sample if label == y] for y in (0, 1)}
-    prior = math.log((len(by[1]) + 1) / (len(by[0]) + 1))
+def fit(sample: Sample) -> Model:
+    by = {y: [t for label, t in sample.rows if label == y] for y in (0, 1)}
+    n0, n1 = sample.totals
     if min(map(len, by.values())) < 3:
-        return Model(b"", b"", True, 0.0, prior)
+        return Model(b"", b"", True, 0.0, math.log((n1 + 1) / (n0 + 1)))
     parts = {y: ([t for i, t in enumerate(ts) if i % 3], ts[::3]) for y, ts in by.items()}
     made: dict[int, bytes] = {}
     raw = False
@@ -109,9 +127,14 @@ def fit(sample: list[tuple[int, str]]) -> Model:
     if raw:
         made = {y: b"".join(b for t in texts for b in _blocks(t))[-DICTIONARY_BYTES:] for y, (texts, _) in parts.items()}
     flat = Scorer(Model(made[1], made[0], raw, 0.0, 0.0))
-    rest = [(y, flat.difference(t)) for y, (_, held) in parts.items() for t in held]
+    counts = {y: [flat.saved(t) for t in held] for y, (_, held) in parts.items()}
+    means = {y: sum(s / n for s, n in x) / len(x) for y, x in counts.items()}
+    mean = (n1 * means[1] + n0 * means[0]) / (n1 + n0)
+    rest = [(y, (s + PRIOR_BYTES * mean) / (n + PRIOR_BYTES)) for y, x in counts.items() for s, n in x]
     slope, offset = logistic(np.array([d for _, d in rest]), np.array([y for y, _ in rest]))
-    return Model(made[1], made[0], raw, slope, offset)
+    # the sample's shares are not those of all labelled rows
+    offset += math.log(n1 / n0) - math.log(len(counts[1]) / len(counts[0]))
+    return Model(made[1], made[0], raw, slope, offset, mean)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> tuple[float, float]:

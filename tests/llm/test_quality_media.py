@@ -20,10 +20,10 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in held)
     good, bad = [r for r in held if r.quality == 1], [r for r in held if r.quality == 0]
     assert sum(r.predicted for r in good) / len(good) > 0.95
-    assert sum(r.predicted for r in bad) / len(bad) < 0.45
+    assert sum(r.predicted for r in bad) / len(bad) < 0.25
     # area under the curve, by all pairs
     area = sum((g.score > b.score) + 0.5 * (g.score == b.score) for g in good for b in bad) / (len(good) * len(bad))
-    assert area > 0.9
+    assert area > 0.95
 
 
 def test_held_out_is_the_remainder(spark):
@@ -35,7 +35,8 @@ def test_training_sees_no_held_out_row_and_is_bounded(spark, make_docs):
     docs = make_docs([(i, f"text {i} " * 9) for i in range(300)])
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(4, 1), (None, 1), (5, None)], "doc_id long, quality int")
     sample = quality.training_sample(docs, labels, max_per_class=20)
-    ids = [int(t.split()[1]) for _, t in sample]
+    ids = [int(t.split()[1]) for _, t in sample.rows]
+    assert sum(sample.totals) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(300) if i != 4)
     assert len(ids) == 40 and not any(zlib.crc32(str(i).encode()) % 3 == 1 for i in ids)
     assert 4 not in ids  # labels of both kinds
     assert sample == quality.training_sample(docs, labels, max_per_class=20)
@@ -46,13 +47,13 @@ def test_classifier_without_labels_or_with_one_class(spark, awkward, nothing):
         labels = spark.createDataFrame(rows, "doc_id long, quality int")
         out = quality.score_quality(awkward, quality.fit(quality.training_sample(awkward, labels))).collect()
         assert len(out) == 9 and len({r.score for r in out}) == 1 and all(0 < r.score < 1 for r in out)
-    assert quality.score_quality(nothing, quality.fit([])).count() == 0
+    assert quality.score_quality(nothing, quality.fit(quality.Sample([], (0, 0)))).count() == 0
 
 
 def test_null_and_empty_score_alike(spark, make_docs):
     sample = [(1, f"plain words number {i} and more of them to read") for i in range(60)] + [(0, f"BUY NOW!!! {i} $$$ %%% CHEAP") for i in range(60)]
-    out = {r.doc_id: r.score for r in quality.score_quality(make_docs([(1, None), (2, ""), (3, "plain words number 7 to read"), (4, "BUY NOW!!! $$$ CHEAP")]), quality.fit(sample)).collect()}
-    assert out[1] == out[2] and out[3] > 0.5 > out[4]
+    out = {r.doc_id: r.score for r in quality.score_quality(make_docs([(1, None), (2, ""), (3, "plain words number 7 to read"), (4, "BUY NOW!!! $$$ CHEAP")]), quality.fit(quality.Sample(sample, (60, 60)))).collect()}
+    assert out[1] == out[2] and out[3] > out[1] > out[4] and out[3] > 0.5 > out[4]
 
 
 def brute_media(text):
