@@ -14,11 +14,17 @@ import curata
 
 #: A side of a join is broadcast up to so many rows, by a counted number; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
+BATCH_KEY, SPARK_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), "16m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each Spark context, so that they need no installation of it."""
+    """Sends this package to the executors' Python workers, once for each Spark context, so that they need no installation of it.
+
+    Also lowers the session's Arrow batches from Spark's 64 MB to BATCH_BYTES, unless they are set otherwise: rows here hold whole texts.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_KEY, SPARK_BATCH).rstrip("b") == SPARK_BATCH:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     if not getattr(sc, "_curata_shipped", False):
         root = Path(curata.__file__).parent
         target = Path(tempfile.mkdtemp(prefix="curata-")) / "curata.zip"
