@@ -23,7 +23,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +34,7 @@ from curata.operators.identity import stars
 BANDS, ROWS = 32, 4
 SMALL = 64
 SIDE = 256
-WORDS_KEPT = 300_000
+WORDS_KEPT = 50_000
 #: So many ids at most are broadcast (some 50 MB in an executor); beyond, the join is by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -153,38 +152,57 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _base.materialize(_filter_pairs(whole, linked), "links")
 
 
-def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        strays, members = rows[rows["stray"]], rows[~rows["stray"]]
-        out: list[tuple[int, int]] = []
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.get(x, x) != x:
-                parent[x] = parent.get(parent[x], parent[x])
-                x = parent[x]
-            return x
-
-        if len(strays) and len(members):
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in (*members["set"], *strays["set"])]
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            vocabulary, at = np.unique(np.concatenate(sets), return_inverse=True)
-            starts = np.cumsum(sizes) - sizes
-            k = len(members)
-            flat, ends = at[: starts[k]], starts[:k]
-            ids, roots = members["node"].to_numpy(), members["root"].to_numpy()
-            here = np.zeros(len(vocabulary), dtype=np.int64)
-            for j, (node, root) in enumerate(zip(strays["node"], strays["root"], strict=True), k):
-                mine = at[starts[j] : starts[j] + sizes[j]]
-                here[mine] = 1
-                inter = np.add.reduceat(here[flat], ends)
-                here[mine] = 0
-                for i in np.flatnonzero(enough(inter, sizes[:k], sizes[j], percent) & (roots != root)):
-                    p, q = find(int(root)), find(int(roots[i]))
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        out.append((int(node), int(ids[i])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _links_of_block(strays: list[tuple], members: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between a block's strays and members (node, root, set) that join two components; fewer than there are components."""
+    out: list[tuple[int, int]] = []
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    if not strays or not members:
+        return out
+    sets = [np.frombuffer(x[2], dtype=np.uint64) for x in (*members, *strays)]
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    vocabulary, at = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    k = len(members)
+    flat, ends = at[: starts[k]], starts[:k]
+    roots = np.array([x[1] for x in members], dtype=np.int64)
+    here = np.zeros(len(vocabulary), dtype=np.int64)
+    for j, (node, root, _) in enumerate(strays, k):
+        mine = at[starts[j] : starts[j] + sizes[j]]
+        here[mine] = 1
+        inter = np.add.reduceat(here[flat], ends)
+        here[mine] = 0
+        for i in np.flatnonzero(enough(inter, sizes[:k], sizes[j], percent) & (roots != root)):
+            p, q = find(root), find(int(roots[i]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((node, members[i][0]))
+    return out
+
+
+def _block_links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over rows sorted by block (main, mb, sb, stray, node, root, set): one block in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def close() -> pa.RecordBatch:
+            links = _links_of_block(sides[1], sides[0], percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            for main, mb, sb, stray, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (main, mb, sb) != now:
+                    yield close()
+                    now, sides = (main, mb, sb), ([], [])
+                sides[stray].append(tuple(row))
+        yield close()
 
     return run
 
@@ -200,8 +218,9 @@ def stray_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     members = rows.select("main", "node", "root", F.pmod("h", "m_blocks").cast("int").alias("mb"), each("s_blocks").alias("sb"), F.lit(False).alias("stray"))
     strays = rows.where("root <> main").select("main", "node", "root", each("m_blocks").alias("mb"), F.pmod("h", "s_blocks").cast("int").alias("sb"), F.lit(True).alias("stray"))
-    dealt = members.unionByName(strays).join(sets.select("node", "set"), "node")
-    return _base.materialize(dealt.groupBy("main", "mb", "sb").applyInPandas(_block_links(percent), "a long, b long").distinct(), "stray_links")
+    dealt = members.unionByName(strays).join(sets.select("node", "set"), "node").select("main", "mb", "sb", "stray", "node", "root", "set")
+    block = ["main", "mb", "sb"]
+    return _base.materialize(dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_block_links(percent), "a long, b long").distinct(), "stray_links")
 
 
 def near_duplicates(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
