@@ -157,3 +157,15 @@ def test_pipeline_stage_by_stage(spark):
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() > 0
+
+
+def test_stages_take_awkward_and_no_rows(spark, awkward, nothing):
+    """Extra columns are left out, nulls and repeated rows go through, and no rows give none."""
+    for docs in (awkward, nothing):
+        kept = docs
+        for name, stage in corpus_pipeline.STAGES:
+            kept = dedup._base.materialize(stage(spark, kept, SF), f"t-{name}")
+            if name != "bpe":
+                assert kept.columns == list(corpus_pipeline.COLUMNS)
+        n = kept.count()
+        assert n == 0 if docs is nothing else n > 0
