@@ -94,14 +94,14 @@ def stars(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     high, low = F.greatest(F.col(a), F.col(b)), F.least(F.col(a), F.col(b))
     e = materialize(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(high.alias("u"), low.alias("v")).where("u <> v").distinct(), "edges")
-    lowest = lambda x: materialize(x.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+    lowest = lambda x: materialize(x.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest", 2 * state[0])
     checksum = lambda x: tuple(x.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     state = checksum(e)
     while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        e = materialize(both.join(lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        e = materialize(both.join(lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large", state[0])
         met = e.join(lowest(e), "u")
-        e = materialize(met.select("u", F.col("m").alias("v")).unionByName(met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "small")
+        e = materialize(met.select("u", F.col("m").alias("v")).unionByName(met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "small", 2 * state[0])
         before, state = state, checksum(e)
         if state == before:
             break

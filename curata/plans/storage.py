@@ -14,6 +14,8 @@ import curata
 
 #: A side of a join is broadcast up to so many rows, by a counted number; beyond, the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Rows of a few numbers that make a file worth its while.
+FILE_ROWS = 100_000
 BATCH_KEY, SPARK_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20), "16m"
 
 
@@ -43,9 +45,14 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/curata/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet and reads it back: lineage ends there, and a lost executor costs its tasks alone."""
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet and reads it back: lineage ends there, and a lost executor costs its tasks alone.
+
+    rows, an upper bound of what df holds, keeps small tables of narrow rows from being a file for each shuffle partition.
+    """
     path = shared_dir(df.sparkSession, tag)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
