@@ -235,21 +235,22 @@ def near_duplicates(docs: DataFrame, size: int, percent: int, id_col: str = "doc
     in_bands = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = in_bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     shared = _base.materialize(in_bands.join(_base.materialize(buckets, "buckets"), "bucket"), "shared")
-    candidates = _base.materialize(shared.select(F.col("node").alias("doc_id")).distinct(), "candidates")
+    n = shared.count()
+    candidates = _base.materialize(shared.select(F.col("node").alias("doc_id")).distinct(), "candidates", n)
     made = _base.map_texts(only_ids(d, candidates), lambda: SetMaker(size), "n long, sig binary, `set` binary", ["doc_id"])
     sets = _base.materialize(made.where("n > 0").withColumnRenamed("doc_id", "node"), "sets")
     if sets.count() > candidates.count():  # rows of one id; equal ones count once
         sets = _base.materialize(sets.dropDuplicates(["node", "set"]), "sets")
 
     pivots = shared.select(F.col("low").alias("a"), F.col("node").alias("b")).unionByName(shared.select(F.col("node").alias("a"), F.col("high").alias("b")))
-    pivots = _base.materialize(pivots.where("a < b").distinct(), "pivots")
+    pivots = _base.materialize(pivots.where("a < b").distinct(), "pivots", 2 * n)
     links = verify(pivots, sets, percent)
     first = stars(links, "a", "b")
 
     named = shared.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    named = _base.materialize(named, "named")
+    named = _base.materialize(named, "named", n)
     mixed = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket", "m")
-    left = _base.materialize(named.join(_base.materialize(mixed, "mixed"), "bucket"), "left")
+    left = _base.materialize(named.join(_base.materialize(mixed, "mixed", n), "bucket"), "left", n)
     small = left.where(F.col("m") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("node", "root")).alias("xs"))
     one = small.select("xs", F.explode("xs").alias("x"))
     two = one.select("x", F.explode(F.filter("xs", lambda y: (y["node"] > F.col("x.node")) & (y["root"] != F.col("x.root")))).alias("y"))
