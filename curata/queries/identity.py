@@ -44,7 +44,7 @@ l AS (SELECT source, split, max(doc_id) AS i FROM r GROUP BY source, split)
 SELECT 'R3' AS rule, source AS grp, count(*) AS n_splits, min(i) AS record_index, string_agg(split, ',' ORDER BY split) AS splits FROM l GROUP BY source HAVING count(*) > 1
 """)
 def group_split_conflict(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id % 3 = 0")
+    docs = table(spark, d, "documents")
     m = F.col("doc_id") % 7
     rows = docs.select("doc_id", "source", F.when(m == 0, "test").when(m == 1, "val").otherwise("train").alias("split"))
     return I.split_conflicts(rows, "doc_id", "source", "split")
