@@ -214,7 +214,7 @@ def boxes(spark: SparkSession, d: str, shift: int) -> DataFrame:
     x, y = (F.col("l_partkey") * 7 % 50).cast("double"), (F.col("l_suppkey") * 3 % 50).cast("double")
     moved = (F.col("l_linenumber") % 4 * shift).cast("double")
     box = F.struct((x + moved).alias("x"), y.alias("y"), (F.col("l_quantity") + 5).alias("w"), F.lit(20.0).alias("h"))
-    return table(spark, d, "lineitem").where("l_orderkey % 8 < 4").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").cast("int").alias("i"), box.alias("box"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").cast("int").alias("i"), box.alias("box"))
 
 
 BOXES = """
