@@ -212,7 +212,7 @@ class Finder:
                 start, end, good = hit
                 if good and start >= ends[kind]:
                     found[kind].append((start, end))
-                elif kind == "card" and not good and end - start > 19:
+                elif kind == "card" and not good:
                     found["card_part"] += self.card_parts(text, start, end)
                 if good or kind in BASE_KINDS:
                     ends[kind] = max(ends[kind], end)
