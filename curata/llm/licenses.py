@@ -88,7 +88,10 @@ CC_PARTS = [
 ]
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
-# Single clauses that name no version: label, words, keyword.
+# Families whose short names say too little alone: the names that count without a version or "licensed under".
+LONG_NAMES = {"apache": "", "gpl": "gnu general public licen[cs]e|gnu gpl", "lgpl": "gnu lesser general public licen[cs]e|gnu library general public licen[cs]e"}
+
+# Single clauses that name no version: label, words, keywords.
 CLAUSES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use"),
@@ -100,7 +103,7 @@ CLAUSES = [
     ("zlib", "this software is provided as is without any express or implied warranty", "provided"),
     ("boost", "permission is hereby granted free of charge to any person or organization obtaining", "hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("cc0", "creative commons zero|cc0|cc zero", "cc"),
+    ("cc0", "creative commons zero|cc0|cc zero", "cc|creative"),
     ("public-domain", "released into the public domain|dedicated to the public domain|in the public domain", "public domain"),
     ("all-rights-reserved", "all rights reserved", "rights reserved"),
     ("proprietary", "proprietary and confidential|confidential and proprietary", "proprietary"),
@@ -140,8 +143,9 @@ def rules() -> list[Rule]:
             out.append(_rule(short, name + version(v), keys, 80, 0.95))
         out.append(_rule(label, rb"spdx" + SEP + rb"licen[cs]e" + SEP + rb"identifier" + SEP + _words(label.replace("-", " ")), ("spdx",), 90, 1.0))
         out.append(_rule(label, rb"(?:licen[cs]ed|released|distributed|available|provided)" + SEP + rb"under" + SEP + rb"(?:the|a|an)?" + SEP.replace(b"]+", b"]*") + name, keys, 60, 0.9))
-        if label not in ("apache", "gpl", "lgpl"):
-            out.append(_rule(label, name, keys, 40, 0.6))
+        bare = LONG_NAMES.get(label, names)
+        if bare:
+            out.append(_rule(label, b"|".join(_words(n) for n in bare.split("|")), keys, 40, 0.6))
     for suffix, spelled in CC_PARTS:
         for v in CC_VERSIONS:
             out.append(_rule(f"cc-{suffix}-{v}", b"(?:cc|creative" + SEP + b"commons)" + SEP + _words(suffix.replace("-", " ")) + SEP + re.escape(v.encode()), ("cc", "creative"), 85, 0.95))
@@ -150,7 +154,7 @@ def rules() -> list[Rule]:
         out.append(_rule(f"cc-{suffix}", b"creativecommons\\.org/licenses/" + suffix.encode(), ("creativecommons",), 75, 0.95))
         out.append(_rule(f"cc-{suffix}", b"cc" + SEP + _words(suffix.replace("-", " ")), ("cc",), 50, 0.7))
     for label, names, key in CLAUSES:
-        out.append(_rule(label, b"|".join(_words(n) for n in names.split("|")), (key,), 30 if label in ("all-rights-reserved", "bsd") else 65, 0.8))
+        out.append(_rule(label, b"|".join(_words(n) for n in names.split("|")), tuple(key.split("|")), 30 if label in ("all-rights-reserved", "bsd") else 65, 0.8))
     return out
 
 

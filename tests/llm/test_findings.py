@@ -1,8 +1,10 @@
 """One test for each gap closed in the corpus operators."""
 
+import re
+
 import pytest
 
-from curata.llm import pii
+from curata.llm import licenses, pii
 
 CARD = "4111111111111111"
 
@@ -19,3 +21,20 @@ def test_a_card_beside_a_short_number_is_found(before, after):
 
 def test_a_failed_run_without_a_card_has_no_part():
     assert not [s for s in pii.Finder().spans("4111111111111112 5 and 4111111111111112 and 12 34") if s[0] in ("card", "card_part")]
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("Creative Commons Zero", "cc0"), ("creative-commons zero", "cc0"), ("CC0", "cc0"), ("the GNU General Public License", "gpl"), ("see the GNU GPL", "gpl"),
+    ("GNU Lesser General Public Licence", "lgpl"), ("a GNU Library General Public License text", "lgpl"),
+    ("GNU General Public License version 3", "gpl-3"), ("gpl", ""),
+])
+def test_a_licence_by_name_alone(text, label):
+    assert licenses.Scanner()(text)[5] == label
+
+
+def test_each_alternative_of_a_rule_holds_a_keyword():
+    kept = lambda name, keys: any(all(w in name.replace("licen[cs]e", "license") for w in k.replace("-", " ").split()) for k in keys)
+    for _, names, _, keys in licenses.FAMILIES:
+        assert all(kept(n, keys) for n in names.split("|"))
+    for _, names, keys in licenses.CLAUSES:
+        assert all(kept(n, keys.split("|")) for n in re.sub(r"\((?:\?:)?[^)]*\)", "", names).split("|"))
