@@ -2,7 +2,8 @@
 
 Base kinds (leftmost, not overlapping within a kind; what is too short is dropped and not retried): assign, access, hex. The
 method's kind is random: a maximal run of token characters of 16 or more in which the first-order character model of random strings
-beats that of identifiers by ``THRESHOLD`` nats a character and which mixes letters and digits.
+beats that of identifiers by ``THRESHOLD`` nats a character and which holds a letter. A run without a digit may be a word of a
+language that the models have not seen: it has to beat ``LETTERS_THRESHOLD`` and to hold ``LETTERS_DISTINCT`` different characters.
 
 Both models are trained, on the driver and from fixed seeds, on labelled samples: random strings over the usual key alphabets,
 and identifiers joined from words in the usual spellings. Size: two tables of 67 x 67 numbers.
@@ -30,6 +31,8 @@ KINDS = ("assign", "access", "hex")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 THRESHOLD = 0.55
+LETTERS_THRESHOLD = 1.3
+LETTERS_DISTINCT = 6
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 WORDS = (
@@ -113,7 +116,10 @@ class Scanner:
         out = []
         for m in CANDIDATE.finditer(t):
             token = m.group()
-            if any(c in "0123456789" for c in token) and any(c.isalpha() for c in token) and self.score(token) > self.threshold:
+            digits = any(c in "0123456789" for c in token)
+            if not any(c.isalpha() for c in token) or not digits and len(set(token)) < LETTERS_DISTINCT:
+                continue
+            if self.score(token) > (self.threshold if digits else max(self.threshold, LETTERS_THRESHOLD)):
                 out.append((m.start(), m.end(), "random"))
         return out
 

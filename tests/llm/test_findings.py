@@ -1,10 +1,11 @@
 """One test for each gap closed in the corpus operators."""
 
+import random
 import re
 
 import pytest
 
-from curata.llm import licenses, pii
+from curata.llm import licenses, pii, secrets
 
 CARD = "4111111111111111"
 
@@ -38,3 +39,15 @@ def test_each_alternative_of_a_rule_holds_a_keyword():
         assert all(kept(n, keys) for n in names.split("|"))
     for _, names, keys in licenses.CLAUSES:
         assert all(kept(n, keys.split("|")) for n in re.sub(r"\((?:\?:)?[^)]*\)", "", names).split("|"))
+
+
+def test_random_letters_without_a_digit_are_found():
+    scanner, r = secrets.Scanner(secrets.ratio_table()), random.Random(11)
+    for alphabet in (secrets.ALPHABET[:52], secrets.ALPHABET[26:52]):
+        for size, least in ((16, 0.96), (20, 0.97), (32, 0.98)):
+            tokens = ["".join(r.choices(alphabet, k=size)) for _ in range(500)]
+            assert sum(bool(scanner.random_spans(t)) for t in tokens) > least * 500
+    names = [s for s in secrets.labelled_samples(2000, seed=99)[1] if not any(c.isdigit() for c in s)]
+    assert sum(bool(scanner.random_spans(s)) for s in names) < 0.005 * len(names)
+    words = "Kraftfahrzeughaftpflichtversicherung Donaudampfschifffahrtsgesellschaft anticonstitutionnellement desafortunadamente XMLHttpRequestFactory"
+    assert scanner.random_spans(f"{words} {'a' * 30} {'-' * 40} {'=' * 40} {'1' * 20}") == []
