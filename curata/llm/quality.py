@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.llm import _base
+from curata.plans.storage import materialize
 
 MAX_PER_CLASS = 1500
 MAX_CHARS = 30_000
@@ -97,12 +98,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     totals = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars))
+    # the labels may cover far more ids than the documents: the lowest hashes are taken of the ids that have a usable text
+    usable = materialize(marked.select("doc_id", "y").join(texts.select("doc_id"), "doc_id", "left_semi"), "quality_ids")
     ids = None
     for y in (0, 1):
-        # twice as many ids as are asked for, since some may have no document or too long a one
-        one = marked.where(F.col("y") == y).orderBy(*order).limit(2 * max_per_class).select("doc_id", "y")
+        one = usable.where(F.col("y") == y).orderBy(*order).limit(max_per_class)
         ids = one if ids is None else ids.unionByName(one)
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(F.broadcast(ids), "doc_id")
+    texts = texts.join(F.broadcast(ids), "doc_id")
     out: list[tuple[int, str]] = []
     for y in (0, 1):
         rows = texts.where(F.col("y") == y).orderBy(*order, "text").limit(max_per_class).collect()

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from curata.llm import licenses, pii, secrets
+from curata.llm import licenses, pii, quality, secrets
 
 CARD = "4111111111111111"
 
@@ -51,3 +51,11 @@ def test_random_letters_without_a_digit_are_found():
     assert sum(bool(scanner.random_spans(s)) for s in names) < 0.005 * len(names)
     words = "Kraftfahrzeughaftpflichtversicherung Donaudampfschifffahrtsgesellschaft anticonstitutionnellement desafortunadamente XMLHttpRequestFactory"
     assert scanner.random_spans(f"{words} {'a' * 30} {'-' * 40} {'=' * 40} {'1' * 20}") == []
+
+
+def test_labels_of_many_absent_documents_do_not_crowd_out_the_sample(spark):
+    docs = spark.range(0, 60).selectExpr("id AS doc_id", "concat('text of ', id) AS text")
+    labels = spark.range(0, 4000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
+    sample = quality.training_sample(docs, labels, max_per_class=20)
+    held = sum(r["held"] for r in docs.select(quality.is_held_out(docs["doc_id"]).alias("held")).collect())
+    assert len(sample.rows) == min(60 - held, 40) and {y for y, _ in sample.rows} == {0, 1}
