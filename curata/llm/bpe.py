@@ -9,8 +9,12 @@ alike in both shrinks only where a merge (a, b) takes its last token a in one of
 ab, and the next merge to take a token across that edge has as right operand a token grown from a or ab by merges on its right.
 ``lookahead`` is the longest such chain, in symbols, over the merge list: D(a, b) = |a| + max D(i) over earlier merges i whose left
 operand or product lies on the left spine of b. Tokens that end at least that far before the end of what has been read are
-stable. A boundary that no merge crosses separates the two sides, so what follows is encoded afresh from there. Memory: one
-window of symbols for each word, however long, and two bounded tables of short words and tokens already encoded.
+stable. A boundary that no merge crosses separates the two sides, so what follows is encoded afresh from there.
+
+**Streaming.** A text is read in parts of ``PART`` characters, cut after white space, or, in a run of text without any, where no
+normalisation and no special token crosses the cut; a word that such a cut leaves open goes on in the next part. Every word, of any length, goes through one
+``Transducer``; a table in front of it holds what it gave for words seen before. Ids go to the digest and the decoder part by part. Memory, besides the text as
+it came: one part, one window of symbols and two tables of ``TABLE_BYTES``. (A run of combining marks alone has no place to cut and is held whole.)
 
 **Decoding.** Tokens go to their bytes, with a space between two (the format without a decoder), through a UTF-8 state machine
 that holds at most three bytes between chunks of ids.
@@ -38,13 +42,20 @@ from curata.llm import _base
 # The word split of this vocabulary format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^\s{other}]+"
 
-#: Entries of each of the two bounded tables, of words and of white-space-separated tokens already encoded.
-WORDS_KEPT = 300_000
-SHORT = 40
+#: Characters of a text that are normalised and split at a time.
+PART = 1 << 15
+#: Bytes, by estimate, of each of the two tables of words and of white-space-separated tokens already encoded; a full one is emptied.
+TABLE_BYTES = 64 << 20
+#: Characters behind a cut that must be known to tell 're from a quote before a word.
+BEHIND = 3
 #: Ids fit in so many bits.
 BITS = 24
 MASK = (1 << BITS) - 1
 NONE = 1 << 62
+#: Symbols among which a search is faster than a heap.
+FEW = 24
+#: Places in a window fit in so many bits.
+PLACES = 32
 # Letters and numbers that Unicode 16 added, and the lower case of capitals that it and Unicode 17 added.
 UNICODE_16 = (
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
@@ -58,8 +69,8 @@ SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 @functools.lru_cache(maxsize=1)
 def splitters() -> tuple:
-    """findall of the split for Latin-1 texts, and for all. Letters and numbers are those of Python's own Unicode tables: the regex library knows letters assigned later."""
-    plain = regex.compile(SPLIT.format(letter=r"\p{L}", number=r"\p{N}", other=r"\p{L}\p{N}"), regex.V1).findall
+    """The split for Latin-1 texts, that for all, and what goes on with a word of letters or of other characters. Letters and numbers are those of Python's own Unicode tables: the regex library knows letters assigned later."""
+    plain = regex.compile(SPLIT.format(letter=r"\p{L}", number=r"\p{N}", other=r"\p{L}\p{N}"), regex.V1)
     is_new = regex.compile(r"[\p{L}\p{N}]").match
     new = [c for c in map(chr, range(0x250, sys.maxunicode + 1)) if unicodedata.category(c) == "Cn" and is_new(c)]
     runs: list[list[int]] = []
@@ -70,9 +81,9 @@ def splitters() -> tuple:
         else:
             runs.append([o, o])
     late = "[" + "".join(f"\\U{x:08X}-\\U{y:08X}" for x, y in runs) + "]" if runs else "[^\\s\\S]"
-    parts = {"letter": rf"[\p{{L}}--{late}]", "number": rf"[\p{{N}}--{late}]"}
-    every = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|" + parts["letter"] + "+|" + parts["number"] + rf"|(?:[^\s\p{{L}}\p{{N}}]|{late})+", regex.V1).findall
-    return plain, every
+    letter, number, other = rf"[\p{{L}}--{late}]", rf"[\p{{N}}--{late}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{late})"
+    every = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|{other}+", regex.V1)
+    return plain, every, regex.compile(f"{letter}*", regex.V1), regex.compile(f"{other}*", regex.V1)
 
 
 def byte_alphabet() -> list[str]:
@@ -141,59 +152,119 @@ def from_little_endian(raw: bytes) -> array.array:
     return ids
 
 
-def merge_all(symbols: list[int], merge: dict[int, int]) -> list[int]:
-    """All merges on a short run of symbols, lowest rank first, leftmost among equals."""
-    get = merge.get
-    found = [get(a << BITS | b, NONE) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
-    while found and (best := min(found)) != NONE:
-        at = found.index(best)
-        symbols[at : at + 2] = [product := best & MASK]
-        del found[at]
-        if at:
-            found[at - 1] = get(symbols[at - 1] << BITS | product, NONE)
-        if at < len(found):
-            found[at] = get(product << BITS | symbols[at + 1], NONE)
-    return symbols
-
-
 def merge_window(symbols: list[int], merge: dict[int, int]) -> list[int]:
-    """The same on a long window: a heap of candidate pairs over a linked list, n log n."""
-    n = len(symbols)
-    after, before, alive, stamp = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n, [0] * n
-    heap: list[tuple[int, int, int, int]] = []
-
-    def push(i: int) -> None:
-        j = after[i]
-        if j < n and (found := merge.get(symbols[i] << BITS | symbols[j])) is not None:
-            heapq.heappush(heap, (found, i, stamp[i], stamp[j]))
-
-    for i in range(n - 1):
-        push(i)
+    """All merges on a window of symbols, lowest rank first, leftmost among equals: a heap of merges with their places over a linked list, n log n; a list of few is searched for its lowest."""
+    n, get = len(symbols), merge.get
+    found = [get(a << BITS | b, NONE) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
+    if n <= FEW:
+        while found and (best := min(found)) != NONE:
+            at = found.index(best)
+            product = symbols[at] = best & MASK
+            del symbols[at + 1], found[at]
+            if at:
+                found[at - 1] = get(symbols[at - 1] << BITS | product, NONE)
+            if at < len(found):
+                found[at] = get(product << BITS | symbols[at + 1], NONE)
+        return symbols
+    heap = [f << PLACES | i for i, f in enumerate(found) if f != NONE]
+    if not heap:
+        return symbols
+    heapq.heapify(heap)
+    found.append(NONE)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
-        found, i, si, sj = heapq.heappop(heap)
-        j = after[i]
-        if not alive[i] or stamp[i] != si or j >= n or stamp[j] != sj:
+        best = heapq.heappop(heap)
+        i, best = best & (1 << PLACES) - 1, best >> PLACES
+        if found[i] != best:
             continue
-        symbols[i] = found & MASK
-        stamp[i] += 1
-        alive[j] = False
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        push(i)
-        if before[i] >= 0:
-            push(before[i])
-    return [s for s, a in zip(symbols, alive, strict=True) if a]
+        gone, left = after[i], before[i]
+        right = after[i] = after[gone]
+        symbols[i], symbols[gone], found[gone], found[i] = (product := best & MASK), -1, NONE, NONE
+        if right < n:
+            before[right] = i
+            if (f := get(product << BITS | symbols[right])) is not None:
+                found[i] = f
+                heapq.heappush(heap, f << PLACES | i)
+        if left >= 0:
+            found[left] = f = get(symbols[left] << BITS | product, NONE)
+            if f != NONE:
+                heapq.heappush(heap, f << PLACES | left)
+    return [s for s in symbols if s >= 0]
+
+
+class Transducer:
+    """Bytes of one word in, its ids out once they are stable. Holds one window of symbols, and the last byte, as the word's last symbol differs."""
+
+    def __init__(self, v: Vocabulary, window: int) -> None:
+        self.v, self.window = v, window
+        self.step = max(1, (window - v.lookahead) // 2)
+        self.held: list[int] = []
+        self.pending = b""
+
+    def feed(self, data: bytes) -> list[int]:
+        data = self.pending + data
+        data, self.pending = data[:-1], data[-1:]
+        out: list[int] = []
+        inner = self.v.inner
+        for at in range(0, len(data), self.step):
+            self.held += [i for b in data[at : at + self.step] if (i := inner[b]) is not None]
+            if len(self.held) >= self.window:
+                out += self.stable()
+        return out
+
+    def stable(self) -> list[int]:
+        """The tokens that nothing to come can change; their symbols leave the window."""
+        out, at, last = [], 0, len(self.held) - self.v.lookahead
+        for t in merge_window(self.held[:], self.v.merge):
+            if at + self.v.length[t] > last:
+                break
+            at += self.v.length[t]
+            out.append(t)
+        del self.held[:at]
+        return out
+
+    def end(self) -> list[int]:
+        """The rest of the word; the next one may follow."""
+        if self.pending and (i := self.v.final[self.pending[0]]) is not None:
+            self.held.append(i)
+        out = merge_window(self.held, self.v.merge)
+        self.held, self.pending = [], b""
+        return out
+
+
+class Table(dict):
+    """Ids by word, emptied when it is full."""
+
+    def __init__(self, room: int = TABLE_BYTES) -> None:
+        self.size, self.room = 0, room
+
+    def add(self, key: str, ids: bytes) -> bytes:
+        self.size += 200 + 4 * len(key) + len(ids)
+        if self.size > self.room:
+            self.clear()
+            self.size = 200 + 4 * len(key) + len(ids)
+        self[key] = ids
+        return ids
+
+
+@functools.lru_cache(maxsize=1)
+def joining() -> frozenset[str]:
+    """Characters that may compose with one before them, though they are no combining marks."""
+    seconds = (unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1))
+    found = {chr(int(d[1], 16)) for d in seconds if len(d) == 2 and not d[0].startswith("<")}
+    return frozenset(found | set(map(chr, (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)))))
 
 
 class Encoder:
-    def __init__(self, path: str, window: int | None = None) -> None:
+    def __init__(self, path: str, window: int | None = None, part: int = PART) -> None:
         self.v = vocabulary(path)
-        self.window = window or max(1024, 8 * self.v.lookahead)
-        self.words: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
-        self.plain, self.every = splitters()
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")").split
+        self.part = part
+        self.words, self.tokens = Table(), Table()
+        self.transducer = Transducer(self.v, window or max(1024, 8 * self.v.lookahead))
+        self.plain, self.every, *self.onward = splitters()
+        self.is_letter = self.onward[0].match
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")").split if self.v.special else lambda t: [t]
+        self.rest, self.open = "", None  # of a word cut between parts: what is undecided, or the pattern of what goes on with it
 
     def normalise(self, piece: str) -> str:
         """NFC and lower case; white space need not be made one space, as no word holds any."""
@@ -202,64 +273,85 @@ class Encoder:
             piece = piece.translate(LATE_CAPITALS)
         return unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3").lower()
 
-    def stream(self, data: Iterable[int]) -> Iterator[int]:
-        """Ids of one word from its bytes, each sent once it is stable; holds one window and one byte."""
-        v, held, pending = self.v, [], None
-        for byte in data:
-            if pending is not None and (i := v.inner[pending]) is not None:
-                held.append(i)
-            pending = byte
-            if len(held) >= self.window:
-                tokens = merge_window(held[:], v.merge)
-                at, stable = 0, len(held) - v.lookahead
-                for t in tokens:
-                    if at + v.length[t] > stable:
-                        break
-                    at += v.length[t]
-                    yield t
-                held = held[at:]
-        if pending is not None and (i := v.final[pending]) is not None:
-            held.append(i)
-        yield from merge_window(held, v.merge)
-
     def word(self, w: str) -> bytes:
         """Ids of one word as little-endian unsigned 32-bit integers."""
-        data = w.encode("utf-8", "replace")
-        if len(data) > SHORT:
-            return little_endian(array.array("I", self.stream(data)))
-        v = self.v
-        symbols = [v.inner[b] for b in data]
-        symbols[-1] = v.final[data[-1]]
-        ids = little_endian(array.array("I", merge_all([s for s in symbols if s is not None], v.merge)))
-        if len(self.words) >= WORDS_KEPT:
-            self.words.clear()
-        self.words[w] = ids
-        return ids
+        ids = self.transducer.feed(w.encode("utf-8", "replace"))
+        return self.words.add(w, little_endian(array.array("I", ids + self.transducer.end())))
 
     def token(self, t: str) -> bytes:
-        """Ids of what stands between two white spaces."""
+        """Ids of whole words, as what stands between two white spaces."""
         known, word = self.words.get, self.word
-        ids = b"".join([known(w) or word(w) for w in (self.every if max(t) > "\xff" else self.plain)(t)])
-        if len(t) <= SHORT:
-            if len(self.tokens) >= WORDS_KEPT:
-                self.tokens.clear()
-            self.tokens[t] = ids
-        return ids
+        return b"".join([known(w) or word(w) for w in (self.every if max(t, default="") > "\xff" else self.plain).findall(t)])
+
+    def whole(self, piece: str) -> bytes:
+        """Ids of a piece that starts and ends with whole words."""
+        known, keep, token = self.tokens.get, self.tokens.add, self.token
+        if any(c in piece for c in SEPARATORS):
+            return token(self.normalise(piece))
+        return b"".join([known(t) or keep(t, token(t)) for t in self.normalise(piece).split()])
+
+    def onwards(self, piece: str, last: bool) -> Iterator[bytes]:
+        """The same if its first word may have begun in the part before, or (not last) its last one may go on in the next."""
+        t = self.normalise(piece)
+        if self.open:
+            end = self.open.match(t).end()
+            ids = self.transducer.feed(t[:end].encode("utf-8", "replace"))
+            if last or end < len(t):
+                ids, self.open = ids + self.transducer.end(), None
+            yield little_endian(array.array("I", ids))
+            t = t[end:]
+        t, self.rest = self.rest + t, ""
+        for m in self.every.finditer(t):
+            a, b = m.span()
+            if last or b <= len(t) - BEHIND or b < len(t) and b - a > 1:
+                yield self.words.get(m.group()) or self.word(m.group())
+            elif b - a > BEHIND:
+                self.open = self.onward[0] if self.is_letter(m.group()).end() else self.onward[1]
+                yield little_endian(array.array("I", self.transducer.feed(m.group().encode("utf-8", "replace"))))
+                return
+            else:
+                self.rest = t[a:]
+                return
 
-    def pieces(self, text: str) -> Iterator[bytes]:
-        """The text's ids, piece by piece between special tokens."""
-        known, token = self.tokens.get, self.token
-        for piece in self.cut(text) if any(s in text for s in self.v.special) else [text]:
+    def pieces(self, text: str, last: bool) -> Iterator[bytes]:
+        """Ids of a part, piece by piece between special tokens. last: white space or the end follows it."""
+        parts = self.cut(text) if any(s in text for s in self.v.special) else [text]
+        for i, piece in enumerate(parts):
             if piece in self.v.special:
                 yield self.v.special[piece].to_bytes(4, "little")
-            elif any(c in piece for c in SEPARATORS):
-                yield token(self.normalise(piece))
+            elif (done := last or i + 1 < len(parts)) and not self.rest and not self.open:
+                yield self.whole(piece)
             else:
-                yield b"".join([known(t) or token(t) for t in self.normalise(piece).split()])
+                yield from self.onwards(piece, done)
+
+    def edge(self, text: str, a: int, b: int) -> tuple[int, bool]:
+        """Where to cut text[a:b]: behind white space (True), or else where no composition and no special token crosses."""
+        if b >= len(text):
+            return len(text), True
+        at = max(text.rfind(" ", a, b), text.rfind("\n", a, b), text.rfind("\t", a, b))
+        if at > a:
+            return at + 1, True
+        at = b
+        while at < len(text):
+            c = text[at]
+            if c.isascii() or not unicodedata.combining(c) and c not in joining():
+                if not any(text.startswith(s, i) for s in self.v.special for i in range(max(a, at - len(s) + 1), at)):
+                    return at, False
+            at += 1
+        return at, True
+
+    def encode_parts(self, text: str | None) -> Iterator[bytes]:
+        """The text's ids, in order, as little-endian unsigned 32-bit integers; each part is made when it is asked for."""
+        text, at = text or "", 0
+        self.rest, self.open = "", None
+        while at < len(text):
+            end, last = self.edge(text, at, at + self.part)
+            yield b"".join(self.pieces(text[at:end], last))
+            at = end
 
     def encode(self, text: str | None) -> bytes:
-        """All ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self.pieces(text or ""))
+        """All ids in one."""
+        return b"".join(self.encode_parts(text))
 
 
 class Decoder:
@@ -292,16 +384,23 @@ class Decoder:
 
 
 class RoundTrip:
+    """Encodes a text part by part; each part's ids go to their digest and through the decoder before the next is made."""
+
     def __init__(self, path: str, with_ids: bool) -> None:
         self.encoder, self.decoder, self.with_ids = Encoder(path), Decoder(path), with_ids
 
     def __call__(self, text: str | None) -> tuple:
-        raw = self.encoder.encode(text)
-        digest = hashlib.sha256()
-        for part in self.decoder.decode(from_little_endian(raw)):
-            digest.update(part.encode())
-        out = (len(raw) // 4, hashlib.sha256(raw).hexdigest(), digest.hexdigest())
-        return (*out, raw) if self.with_ids else out
+        n, ids_digest, text_digest, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+        self.decoder.reset()
+        for raw in self.encoder.encode_parts(text):
+            n += len(raw) // 4
+            ids_digest.update(raw)
+            text_digest.update(self.decoder.feed(from_little_endian(raw)).encode())
+            if self.with_ids:
+                kept.append(raw)
+        text_digest.update(self.decoder.end().encode())
+        out = (n, ids_digest.hexdigest(), text_digest.hexdigest())
+        return (*out, b"".join(kept)) if self.with_ids else out
 
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -1,7 +1,10 @@
 """The encoder and decoder against the library's."""
 
 import hashlib
+import itertools
+import json
 import random
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -25,6 +28,9 @@ ENCODER = bpe.Encoder(PATH)
 NARROW = bpe.Encoder(PATH, window=ENCODER.v.lookahead + 8)
 
 
+CUT = [bpe.Encoder(PATH, window=ENCODER.v.lookahead + 8, part=n) for n in (1, 2, 3, 7, 29)]
+
+
 def ids(encoder, text):
     return list(bpe.from_little_endian(encoder.encode(text)))
 
@@ -35,6 +41,8 @@ def test_same_ids_and_text(library, text):
     want = library.encode(text, add_special_tokens=False).ids
     got = ids(ENCODER, text)
     assert got == want
+    for encoder in CUT:
+        assert ids(encoder, text) == want
     assert "".join(bpe.Decoder(PATH).decode(got, step=3)) == library.decode(want, skip_special_tokens=False)
 
 
@@ -70,3 +78,71 @@ def test_awkward_rows(awkward, nothing):
     assert len(out) == 9 and bpe.encode_texts(nothing, PATH).count() == 0
     empty = hashlib.sha256(b"").hexdigest()
     assert [tuple(r)[1:] for r in out if r.doc_id in (1, 2, 4)] == [(0, empty, empty)] * 3
+
+
+def plain_merges(symbols, ranks):
+    """Merges by rank over the whole word, all places of a pair from the left before the next pair."""
+    while True:
+        pairs = [p for p in itertools.pairwise(symbols) if p in ranks]
+        if not pairs:
+            return symbols
+        best, out, i = min(pairs, key=ranks.__getitem__), [], 0
+        while i < len(symbols):
+            if tuple(symbols[i : i + 2]) == best:
+                out.append("".join(best))
+                i += 2
+            else:
+                out.append(symbols[i])
+                i += 1
+        symbols = out
+
+
+def test_lookahead_on_random_merge_lists(tmp_path):
+    """Random merge lists and words through the narrowest window that the lookahead allows, against merging whole words."""
+    r = random.Random(11)
+    for trial in range(60):
+        letters = "abc"[: r.choice((1, 2, 3))]
+        tokens, merges = [*letters, *(c + "</w>" for c in letters)], []
+        while len(merges) < r.choice((3, 8, 20)):
+            a, b = r.choice([t for t in tokens if not t.endswith("</w>")]), r.choice(tokens)
+            if len(a + b) > 14 or (a, b) in merges:
+                break
+            merges.append((a, b))
+            tokens += [a + b] if a + b not in tokens else []
+        path = tmp_path / f"{trial}.json"
+        path.write_text(json.dumps({"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": [list(m) for m in merges], "end_of_word_suffix": "</w>"}, "added_tokens": []}))
+        v = bpe.vocabulary(str(path))
+        names, ranks = {i: t for t, i in v.ids.items()}, {m: i for i, m in reversed(list(enumerate(merges)))}
+        for _ in range(150):
+            w = "".join(r.choices(letters, k=r.randint(1, 60)))
+            t = bpe.Transducer(v, v.lookahead + 1)
+            cut = r.randint(0, len(w))
+            got = t.feed(w[:cut].encode()) + t.feed(w[cut:].encode()) + t.end()
+            assert [names[i] for i in got] == plain_merges([*w[:-1], w[-1] + "</w>"], ranks), (merges, w)
+
+
+def test_every_id_comes_out_of_the_transducer(monkeypatch):
+    encoder, seen = bpe.Encoder(PATH), []
+    feed, end = bpe.Transducer.feed, bpe.Transducer.end
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, data: seen.append(x := feed(self, data)) or x)
+    monkeypatch.setattr(bpe.Transducer, "end", lambda self: seen.append(x := end(self)) or x)
+    words = [f"{a}{b}" for a in ("the", "mixture", "q", "zebra") for b in ("", "s", "ness", "x" * 70)]
+    out = ids(encoder, " ".join(words))
+    assert [i for x in seen for i in x] == out  # distinct words: each once through it
+    seen.clear()
+    assert ids(encoder, " ".join(words)) == out and not seen  # the table gives what it gave
+
+
+def test_memory_does_not_grow_with_the_text():
+    """One run of letters without white space, and one of words, of 64 and of 320 thousand characters."""
+    r = random.Random(2)
+    for piece in ("abcdefgh" * 4_000, " ".join("".join(r.choices("abcdefgh", k=4)) for _ in range(6_400))):
+        peaks = []
+        for times in (2, 10):
+            text, encoder = piece * times, bpe.Encoder(PATH)
+            tracemalloc.start()
+            for _ in encoder.encode_parts(text):
+                pass
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        assert peaks[1] < 1.3 * peaks[0] + 200_000
