@@ -1,24 +1,27 @@
-"""Secret scan: fixed credential patterns, and character Markov models of random strings against ordinary identifiers.
+"""Secret scan: fixed credential patterns, and character Markov models of random strings against ordinary ones.
 
-Base kinds (leftmost, not overlapping within a kind; what is too short is dropped and not retried): assign, access, hex. The
-method's kind is random: a maximal run of token characters of 16 or more in which the first-order character model of random strings
-beats that of identifiers by ``THRESHOLD`` nats a character and which holds a letter. A run without a digit may be a word of a
-language that the models have not seen: it has to beat ``LETTERS_THRESHOLD`` and to hold ``LETTERS_DISTINCT`` different characters.
+Base kinds (leftmost, not overlapping within a kind; what is too short is dropped and not retried): assign, access, hex.
 
-Both models are trained, on the driver and from fixed seeds, on labelled samples: random strings over the usual key alphabets,
-and identifiers joined from words in the usual spellings. Size: two tables of 67 x 67 numbers.
+The method's kind is random. Candidates are maximal runs of 16 or more of ``ALPHABET``. For each kind of random string (base64, base62,
+letters, base36, ...) a first-order model is trained, and one of second order for ordinary strings: identifiers, paths, dates, numbers, words of four
+languages. Both from ``secret_samples.tsv``, labelled samples, and both drawn to the lower order where they saw little. A character's score is the logarithm of
+the ratio of the two likelihoods. Within a candidate the segments of the highest sum count (a segment ends where the sum falls ``DROP`` below its best), so a
+name before ``=`` or a path before a key cannot hide it; a segment with a sum of ``THRESHOLD`` nats, for any random kind, is a secret. Its span is widened to the
+next ``=`` or ``/`` on either side, and counts from 16 characters on. Nothing but the ratio decides: numbers are no kind of random
+string, as those of dates, books and accounts are no less even, so digits alone are not found by it (the base kind hex has them).
 
-Defined cases: a null text counts as empty and has no spans; spans are whole matches in code points, end exclusive.
+Defined cases: a null text counts as empty and has no spans; spans are whole matches in code points, end exclusive. Repeated rows give
+repeated results; very long texts and runs are scanned whole.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import math
-import random
 import re
-from dataclasses import dataclass
+from importlib import resources
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from curata.llm import _base
@@ -29,81 +32,98 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-THRESHOLD = 0.55
-LETTERS_THRESHOLD = 1.3
-LETTERS_DISTINCT = 6
+SHORTEST = 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-
-WORDS = (
-    "account active address agent array async base batch block body buffer build byte cache call channel check child class clear client close code "
-    "column command common config connect content context control copy count create current cursor data date default delete detail device document "
-    "domain driver element email empty enable encode entry error event example export factory false feature field file filter find first flag format "
-    "frame from function global graph group handle handler header height hidden image import index info init input insert instance internal invalid "
-    "item join json key label language last layer layout length level library limit line link list load local lock logger loop main manager "
-    "map master match memory message method metric model module name network node number object offset open operator option order output package page "
-    "panel parent parse partition path pattern payload pending pool position prefix private process profile project property provider public query "
-    "queue random range read record reference region register remote remove render report request resource response result return root route row rule "
-    "sample schema scope screen script search select sequence server service session setting shadow shape signal simple size sort source split stage "
-    "start state static status step storage store stream string structure style subject summary support switch system table target task template test "
-    "text thread time timeout token total trace transaction transform tree trigger type unique update upload user util valid value vector version "
-    "view visible volume wait width window word worker wrapper write zone"
-).split()
-
-
-@dataclass(frozen=True)
-class Markov:
-    """First-order log-probabilities over ALPHABET; row 0 is the start."""
-
-    table: tuple[tuple[float, ...], ...]
-
-    @staticmethod
-    def train(samples: list[str], smooth: float = 0.2) -> Markov:
-        n = len(ALPHABET)
-        at = {c: i for i, c in enumerate(ALPHABET)}
-        counts = [[smooth] * n for _ in range(n + 1)]
-        for s in samples:
-            before = 0
-            for c in s:
-                counts[before][at[c]] += 1
-                before = at[c] + 1
-        return Markov(tuple(tuple(math.log(x / sum(row)) for x in row) for row in counts))
-
-
-def labelled_samples(n: int = 20000, seed: int = 7) -> tuple[list[str], list[str]]:
-    """(random strings, identifiers), n of each: the labelled training samples."""
-    r = random.Random(seed)
-    alphabets = (ALPHABET[:62], ALPHABET[:62] + "+/", ALPHABET[:62] + "_-", "0123456789abcdef", ALPHABET[:26] + ALPHABET[52:62], ALPHABET[26:62])
-    secrets = ["".join(r.choices(a := r.choice(alphabets), k=r.randint(16, 64))) for _ in range(n)]
-    names = []
-    for _ in range(n):
-        words = r.choices(WORDS, k=r.randint(2, 6))
-        spelling = r.randrange(6)
-        tail = str(r.randint(0, 2030)) if r.random() < 0.2 else ""
-        joined = ("_".join(words), "-".join(words), "".join(w.capitalize() for w in words), words[0] + "".join(w.capitalize() for w in words[1:]), "/".join(words), "_".join(words).upper())[spelling]
-        names.append(joined + tail)
-    return secrets, names
-
-
-def ratio_table(n: int = 20000, seed: int = 7) -> tuple[tuple[float, ...], ...]:
-    """log P(random) - log P(identifier) by character before and character."""
-    secrets, names = labelled_samples(n, seed)
-    a, b = Markov.train(secrets).table, Markov.train(names).table
-    return tuple(tuple(x - y for x, y in zip(p, q, strict=True)) for p, q in zip(a, b, strict=True))
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+THRESHOLD = 22.0
+DROP = 6.0
+#: Observations that weigh as much as the lower order's estimate.
+TRUST = 100.0
+N = len(ALPHABET)
+CODE = {c: i for i, c in enumerate(ALPHABET)}
+
+
+@functools.lru_cache(maxsize=1)
+def labelled_samples() -> dict[str, dict[str, list[str]]]:
+    """label -> kind -> strings, from the file beside this module; characters outside the alphabet end a string."""
+    out: dict[str, dict[str, list[str]]] = {}
+    for line in (resources.files("curata.llm") / "secret_samples.tsv").read_text(encoding="utf-8").splitlines():
+        if not line.startswith("#"):
+            label, kind, text = line.split("\t")
+            out.setdefault(label, {}).setdefault(kind, []).extend(p for w in text.split() for p in re.findall(r"[A-Za-z0-9+/_=-]+", w))
+    return out
+
+
+def spellings(kinds: dict[str, list[str]]) -> list[str]:
+    """Ordinary strings as they are, and words joined by the usual ways of writing names, so that each joint is seen: each word before three others of its list."""
+    out = [s for strings in kinds.values() for s in strings]
+    for kind in ("words", "english", "german", "french", "spanish"):
+        words = kinds[kind]
+        out += words + [w.lower() for w in words] + [w.upper() for w in words]
+        for i, (a, b) in enumerate((w, words[(j + step) % len(words)]) for step in (1, 7, 31) for j, w in enumerate(words)):
+            a, b = a.lower(), b.lower()
+            out += [f"{a}_{b}", f"{a}-{b}", a + b, a + b.capitalize(), a.capitalize() + b.capitalize(), f"{a.upper()}_{b.upper()}", f"{a}/{b}", f"{a}={b}", f"{a}{i}", f"{a}_{i}/{b}-{1900 + i}"]
+    return out
+
+
+def chain(samples: list[str], order: int) -> np.ndarray:
+    """log P(character | up to two before): N + 1 by N + 1 by N, index N the start; each order drawn to the one below by TRUST."""
+    seen = np.zeros((N + 1, N + 1, N))
+    for s in samples:
+        a = b = N
+        for c in map(CODE.__getitem__, s):
+            seen[a, b, c] += 1
+            a, b = b, c
+    level = (seen.sum(axis=(0, 1)) + 0.05) / (seen.sum() + 0.05 * N)
+    level = np.broadcast_to(level, seen.shape)
+    for counts in [seen.sum(axis=0, keepdims=True), seen][:order]:
+        level = (counts + TRUST * level) / (counts.sum(axis=2, keepdims=True) + TRUST)
+    return np.log(level)
+
+
+def ratio_tables() -> dict[str, np.ndarray]:
+    """For each random kind log P(random) - log P(ordinary) by the two characters before and the character."""
+    samples = labelled_samples()
+    ordinary = chain(spellings(samples["ordinary"]), 2)
+    return {kind: (chain(strings, 1) - ordinary).astype(np.float32) for kind, strings in samples["random"].items()}
 
 
 class Scanner:
-    def __init__(self, table: tuple[tuple[float, ...], ...], threshold: float = THRESHOLD) -> None:
-        self.threshold = threshold
-        self.ratio = {(ALPHABET[i - 1] if i else "", c): row[j] for i, row in enumerate(table) for j, c in enumerate(ALPHABET)}
-
-    def score(self, token: str) -> float:
-        """Mean log-likelihood ratio a character; above 0 the random model is likelier."""
-        before, total = "", 0.0
-        for c in token:
-            total += self.ratio[before, c]
-            before = c
-        return total / max(1, len(token))
+    def __init__(self, tables: dict[str, np.ndarray], threshold: float = THRESHOLD) -> None:
+        self.tables, self.threshold = [t.reshape(-1, N) for t in tables.values()], threshold
+
+    def segments(self, scores: list[float]) -> list[tuple[float, int, int]]:
+        """(sum, start, end) of the segments that reach the threshold."""
+        out, total, start, best, end = [], 0.0, 0, 0.0, 0
+        for i, x in enumerate([*scores, float("-inf")]):
+            total += x
+            if total <= 0 or total < best - DROP:
+                if best >= self.threshold:
+                    out.append((best, start, end))
+                total, start, best, end = 0.0, i + 1, 0.0, i + 1
+            elif total > best:
+                best, end = total, i + 1
+        return out
+
+    def random_parts(self, token: str) -> list[tuple[int, int]]:
+        """Spans of a candidate that look random, widened, in order, not overlapping: the higher sum first."""
+        codes = np.fromiter(map(CODE.__getitem__, token), np.int64, len(token))
+        one = np.concatenate([[N], codes[:-1]])
+        two = np.concatenate([[N], one[:-1]])
+        found = [s for t in self.tables for s in self.segments(t[two * (N + 1) + one, codes].tolist())]
+        out: list[tuple[int, int]] = []
+        for _, a, b in sorted(found, key=lambda s: (-s[0], s[1])):
+            while a and token[a - 1] not in "=/":
+                a -= 1
+            while b < len(token) and token[b] not in "=/":
+                b += 1
+            while a < b and token[a] in "=/":
+                a += 1
+            while a < b and token[b - 1] in "=/":
+                b -= 1
+            if b - a >= SHORTEST and all(b <= x or y <= a for x, y in out):
+                out.append((a, b))
+        return sorted(out)
 
     def base_spans(self, t: str) -> list[tuple[int, int, str]]:
         out = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(t) if m.end(2) - m.start(2) >= 12] if (":" in t or "=" in t) else []
@@ -113,15 +133,7 @@ class Scanner:
         return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
     def random_spans(self, t: str) -> list[tuple[int, int, str]]:
-        out = []
-        for m in CANDIDATE.finditer(t):
-            token = m.group()
-            digits = any(c in "0123456789" for c in token)
-            if not any(c.isalpha() for c in token) or not digits and len(set(token)) < LETTERS_DISTINCT:
-                continue
-            if self.score(token) > (self.threshold if digits else max(self.threshold, LETTERS_THRESHOLD)):
-                out.append((m.start(), m.end(), "random"))
-        return out
+        return [(m.start() + a, m.start() + b, "random") for m in CANDIDATE.finditer(t) for a, b in self.random_parts(m.group())]
 
     def __call__(self, text: str | None) -> tuple:
         t = text or ""
@@ -134,10 +146,10 @@ class Scanner:
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, seed: int = 7) -> DataFrame:
-    """One row for each document, with counts, a digest of the base spans and all spans. One pass, no shuffle; the trained table travels with the task."""
-    table = ratio_table(seed=seed)
-    return _base.map_texts(docs, lambda: Scanner(table, threshold), SCHEMA, [id_col], [text_col])
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each document, with counts, a digest of the base spans and all spans. One pass, no shuffle; the trained tables (some 10 MB, of a fixed size) travel with the task."""
+    tables = ratio_tables()
+    return _base.map_texts(docs, lambda: Scanner(tables, threshold), SCHEMA, [id_col], [text_col])
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
