@@ -140,3 +140,23 @@ def test_top_k_is_brute_force(spark, n, dims, scale):
     got = sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0, block=7).collect())
     want = brute(data)
     assert got == want
+
+
+def test_one_large_vector_does_not_change_the_others(spark):
+    """Components up to 1e300 beside ordinary ones: all scores exact, and only what meets the large ones is scored in integers."""
+    r = np.random.default_rng(8)
+    data = [(int(i), [float(x) for x in r.normal(size=40)]) for i in range(400)]
+    data += [(1000, [1e300] + [0.0] * 39), (1001, [-1e300] + [1.0] * 39), (1002, [3e17] * 40), (1050, [5e15, *[0.25] * 39]), (1051, [1e306] * 40)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0, block=5).collect())
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in data if all(math.isfinite(256 * x) for x in v)]
+    want = []
+    for i, q in ok:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ok if j != i)[:5]
+            want += [(i, n, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want)
+    ids, plain = np.arange(300), np.floor(256 * r.normal(size=(300, 40)))
+    best = topk.Best(np.arange(10), plain[:10], 5)
+    best.meet(ids, plain)
+    assert all(s.dtype != object for s in best.scores)
