@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from curata.plans.storage import materialize, shared_dir, ship
 
-__all__ = ["SLICE", "map_texts", "materialize", "read", "shared_dir", "ship"]
+__all__ = ["SLICE", "fresh", "map_texts", "materialize", "read", "shared_dir", "ship"]
 
 #: Rows turned into Python objects at a time; bounds a worker's memory, never what is processed.
 SLICE = 256
@@ -22,6 +22,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[..., tuple]],

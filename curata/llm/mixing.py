@@ -5,24 +5,22 @@ stops at ``REPEATS`` times its source's size and the excess goes to the others b
 sent up to REPEATS times; sending e (from 0) has the virtual finish time (e * source size + sizes up to and with this document in its
 source) / target. All sendings are sorted by it over the whole cluster, and the mix is the longest prefix of them within the budget.
 
-Both running sums, that within sources and that over finish times, are range sorts: rows are dealt by ranges of the whole sort key, so
-a source of any share is spread over many tasks; each task adds up its range, and the few range totals give the offsets.
+All running sums, those within sources, over finish times and over the sources themselves, are range sorts (``running_sums``): rows are dealt by ranges of the whole sort key, so
+a source of any share is spread over many tasks, and so are many sources; each task adds up its range, and the few range totals give the offsets.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is one source, the last; equal rows are
-interchangeable and each may be taken; with no words at all every target is 0.
+interchangeable and each may be taken; with no words at all every target is 0. Other columns, of any names, do no harm.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.llm import _base
+from curata.operators.ordering import running_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
 REPEATS = 3
@@ -31,82 +29,55 @@ WEIGHTS = 3
 BROADCAST_SOURCES = 100_000
 
 
-def prefix_sum(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """df with the running sum of ``value`` over the order of ``keys``, row by row, and a row id; range-partitioned and written once."""
-    spark = df.sparkSession
-    _base.ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    at = df.columns.index(value)
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, total, rows = TaskContext.get().partitionId(), 0, 0
-        for b in batches:
-            sums = np.cumsum(b.column(at).to_numpy(zero_copy_only=False)) + total
-            m = b.num_rows
-            if m:
-                total = int(sums[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.int64()), pa.array(np.full(m, part), pa.int32()), pa.array((part << 40) + rows + np.arange(m), pa.int64())], names=[*b.schema.names, "__sum", "__part", "__row"])
-            rows += m
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
-    local = _base.materialize(ranged.mapInArrow(add_up, f"{schema}, __sum long, __part int, __row long"), "prefix")
-    # one row for each range: as many as there are partitions
-    totals = local.groupBy("__part").agg(F.max("__sum").alias("__own"))
-    offsets = totals.select("__part", (F.sum("__own").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__own")).alias("__before"))
-    return local.join(F.broadcast(offsets), "__part").select(*[f"`{c}`" for c in df.columns], (F.col("__before") + F.col("__sum")).alias(name), F.col("__row"))
-
-
 def sizes(docs: DataFrame, text_col: str = "text") -> F.Column:
-    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
 def targets(base: DataFrame) -> DataFrame:
-    """One row for each source: skey, source_size, target, rank, and the sizes of the sources before it. The windows run over the sources' totals, not over rows."""
-    s = base.groupBy("skey").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy("skey")
-    s = s.select("skey", "source_size", F.row_number().over(order).alias("rank"), (F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("source_size")).alias("before"))
-    s = s.withColumn("w", ((F.col("rank") - 1) % WEIGHTS + 1).cast("long")).withColumn("cap", F.col("source_size") * REPEATS)
+    """One row for each source: skey, source_size, target, rank and the budget."""
+    s = running_sums(base.groupBy("skey").agg(F.sum("size").alias("source_size")), ["skey"], {"rank": None})
+    s = s.withColumn("w", (F.col("rank") - 1) % WEIGHTS + 1).withColumn("cap", F.col("source_size") * REPEATS).withColumn("full_at", F.col("cap") / F.col("w"))
     # sources by the level at which they are full; below the water line a source is full, above it all rise alike
-    filling = Window.orderBy((F.col("cap") / F.col("w")), "rank")
-    upto = filling.rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    s = s.withColumn("full_before", F.sum("cap").over(upto) - F.col("cap")).withColumn("w_left", F.sum("w").over(everything) - F.sum("w").over(upto) + F.col("w")).withColumn("budget", F.sum("source_size").over(everything))
-    s = s.withColumn("level", (F.col("budget") - F.col("full_before")).cast("double") / F.col("w_left")).withColumn("place", F.row_number().over(filling))
-    line = F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct("place", "level"))).over(everything)["level"]
-    s = s.withColumn("target", F.least(F.col("cap").cast("double"), line * F.col("w")))
-    return s.select("skey", "source_size", "target", "rank", "before", "budget")
+    s = _base.materialize(running_sums(s, ["full_at", "rank"], {"cap_upto": "cap", "w_upto": "w"}), "levels")
+    whole = F.broadcast(s.agg(F.sum("w").alias("w_all"), F.sum("source_size").alias("budget")))
+    s = s.join(whole).withColumn("level", (F.col("budget") - F.col("cap_upto") + F.col("cap")).cast("double") / (F.col("w_all") - F.col("w_upto") + F.col("w")))
+    line = s.agg(F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "rank", "level")))["level"].alias("line"))
+    return s.join(F.broadcast(line)).select("skey", "source_size", F.least(F.col("cap").cast("double"), F.col("line") * F.col("w")).alias("target"), "rank", "budget")
+
+
+RESULT = ("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: Sequence[str] = (), seed: str = "mix") -> DataFrame:
-    """One row for each document: doc_id, size, source_size, target, taken (words; a multiple of size), and the columns ``carry``."""
-    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    """One row for each document: doc_id, size, source_size, target, taken (words; a multiple of size), and the columns ``carry``, none of which may be named as one of these."""
+    if clash := set(carry) & set(RESULT):
+        raise ValueError(f"columns to carry have names of the result: {sorted(clash)}")
+    key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
     base = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("t")).alias("skey"), sizes(docs, text_col).alias("size"),
-        F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("shuffle"), *[F.col(f"`{c}`") for c in carry],
+        F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`")), F.lit("t")).alias("skey"), sizes(docs, text_col).alias("size"),
+        F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("shuffle"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("carried"),
     )
     base = _base.materialize(base, "sizes")
     table = _base.materialize(targets(base), "targets")
     small = table.count() <= BROADCAST_SOURCES
     side = F.broadcast(table) if small else table
-    placed = prefix_sum(base, ["skey", "shuffle", "doc_id", "size"], "size", "so_far").join(side, "skey")
+    placed = running_sums(base, ["skey", "shuffle", "doc_id", "size"], {"pos": "size"}, by=1, row_id="row").join(side, "skey")
     sent = F.explode(F.sequence(F.lit(0), F.when(F.col("size") > 0, REPEATS - 1).otherwise(0)))
-    items = placed.select(
-        F.col("__row").alias("row"), "doc_id", "size", "source_size", "target", "rank", "shuffle", "budget", *[f"`{c}`" for c in carry],
-        (F.col("so_far") - F.col("before")).alias("pos"), sent.alias("e"),
-    )
+    items = placed.select("row", "doc_id", "size", "source_size", "target", "rank", "shuffle", "budget", "carried", "pos", sent.alias("e"))
     items = items.withColumn("finish", F.coalesce(F.try_divide((F.col("e") * F.col("source_size") + F.col("pos")).cast("double"), F.col("target")), F.lit(0.0)))
-    queue = prefix_sum(items.drop("pos"), ["finish", "rank", "e", "shuffle", "doc_id", "size"], "size", "total")
-    rest = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target", *carry)]
+    queue = running_sums(items.drop("pos"), ["finish", "rank", "e", "shuffle", "doc_id", "size"], {"total": "size"})
+    rest = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target", "carried")]
     taken = F.sum(F.when(F.col("total") <= F.col("budget"), F.col("size")).otherwise(0)).alias("taken")
-    return queue.groupBy("row").agg(*rest, taken).select("doc_id", "size", "source_size", "target", "taken", *carry)
+    return queue.groupBy("row").agg(*rest, taken).select(*RESULT, *[F.col("carried").getField(c).alias(c) for c in carry])
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as the mix takes them: each row as often as it is taken, columns as they were."""
-    rows = _base.materialize(docs.withColumn("__row_id", F.monotonically_increasing_id()), "rows")
-    plan = mix(rows, id_col, text_col, source_col, carry=["__row_id"]).where("taken > 0").select(F.col("__row_id"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    return rows.join(plan, "__row_id").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__n")).drop("__n")
+    row, times = _base.fresh(docs, "row_number"), _base.fresh(docs, "times")
+    rows = _base.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    plan = mix(rows, id_col, text_col, source_col, carry=[row]).where("taken > 0").select(row, (F.col("taken") / F.col("size")).cast("int").alias(times))
+    taken = rows.join(plan, row)
+    return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
