@@ -5,8 +5,9 @@ width. Each task writes one tar shard after another, each distinct payload once
 shard, offset and length. The index is a Parquet table: only rows of tasks that Spark has committed are in it, so what a
 lost or repeated attempt wrote is never referred to. ``fill_metadata`` reads headers alone, by range; ``read_back`` whole payloads.
 
-Memory: one payload at a time and one shard's open stream. A payload that many tasks hold is stored once by each; no text is
-shuffled. Shards go to a folder that all executors reach, through pyarrow's file systems.
+Memory: one payload at a time, one shard's open stream and a table of digests of ``SEEN_BYTES``. No text is shuffled: tasks cannot know what others write, so a payload that several
+hold is written by each, but the index names one place for each digest (the first shard by name, from an aggregate of the digests); bytes that no row refers to may be
+left out when shards are rewritten. Shards go to a folder that all executors reach, through pyarrow's file systems.
 
 Defined cases: a null text is an empty one (one row of spaces). Equal texts have equal payloads, media and features.
 """
@@ -29,11 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.llm import _base
+from curata.plans.storage import broadcast_if_small
 
 WIDTH = 192
 FILL = b" "
 SHARD_BYTES = 256 << 20
 BLOCK = 512
+#: Bytes, by estimate, of a task's table of digests that it has stored; a full one is emptied, and a payload may then be written again.
+SEEN_BYTES, SEEN_ENTRY = 64 << 20, 400
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a tar header and of a PNG up to the end of its IHDR chunk.
 HEADER_BYTES = BLOCK + 33
@@ -133,7 +137,7 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                         payload = payload_of(text)
                         digest = hashlib.sha256(payload).digest()
                         if digest not in there:
-                            if len(there) >= 1_000_000:  # bounds memory; a payload may then be stored again
+                            if len(there) * SEEN_ENTRY >= SEEN_BYTES:
                                 there.clear()
                             there[digest] = writer.add(f"{digest.hex()}.png", to_png(payload, level))
                         rows.append((len((text or "").encode("utf-8", "replace")), digest, *there[digest]))
@@ -143,8 +147,20 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             writer.close()
 
     index = frame.mapInArrow(run, f"`{id_col}` {kind}, {INDEX}")
+    index.write.parquet(f"{folder}/written")
+    return one_place(docs.sparkSession.read.schema(index.schema).parquet(f"{folder}/written"), folder)
+
+
+def one_place(written: DataFrame, folder: str) -> DataFrame:
+    """The index with one place for each digest. Only digests stored at several places are joined; they are broadcast if they are few by their counted number."""
+    place = F.struct("shard", "offset", "length")
+    several = written.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(F.col("digest").alias("of"), "first")
+    several = _base.materialize(several, "places")
+    kept = written.join(broadcast_if_small(several), F.col("digest") == F.col("of"), "left")
+    moved = [F.coalesce(F.col(f"first.{c}"), F.col(c)).alias(c) if c in ("shard", "offset", "length") else F.col(f"`{c}`") for c in written.columns]
+    index = kept.select(*moved)
     index.write.parquet(f"{folder}/index")
-    return docs.sparkSession.read.schema(index.schema).parquet(f"{folder}/index")
+    return written.sparkSession.read.schema(written.schema).parquet(f"{folder}/index")
 
 
 class RangeReader:
