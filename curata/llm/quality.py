@@ -173,8 +173,9 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs without the rows that the model rejects; columns as they were."""
-    out = _base.map_texts(docs, lambda: Scorer(model), "`__score` double, `__predicted` int", docs.columns, [text_col])
-    return out.where("`__predicted` = 1").drop("__score", "__predicted")
+    score, predicted = _base.fresh(docs, "score"), _base.fresh(docs, "predicted")
+    out = _base.map_texts(docs, lambda: Scorer(model), f"`{score}` double, `{predicted}` int", docs.columns, [text_col])
+    return out.where(F.col(predicted) == 1).drop(score, predicted)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
