@@ -7,7 +7,7 @@
    threshold) go, the rest is confirmed on the full sets, and components follow.
 3. The second round takes only buckets that still hold several components. In small ones (``SMALL`` members) all pairs across
    components follow the same way. In large ones the classes outside the bucket's commonest component (the strays) meet all
-   members, once for all buckets of that component, in blocks of ``SIDE`` against ``SIDE`` inside Python: sets are intersected
+   members, once for all buckets of that component, in blocks of ``SIDE`` against ``SIDE``, or fewer where the sets of so many pass ``SIDE_BYTES``, inside Python: sets are intersected
    exactly, and only links that join two components come out. So no link between components is lost, and no group is gathered
    whole or turned into rows of pairs. Cost: strays times members, shared out over blocks.
 
@@ -34,6 +34,7 @@ from curata.operators.identity import stars
 BANDS, ROWS = 32, 4
 SMALL = 64
 SIDE = 256
+SIDE_BYTES = 16 << 20
 WORDS_KEPT = 50_000
 #: So many ids at most are broadcast (some 50 MB in an executor); beyond, the join is by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -210,10 +211,13 @@ def _block_links(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 def stray_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components in large buckets. hot: bucket, node, root."""
     common = hot.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    met = _base.materialize(hot.join(_base.materialize(common, "common"), "bucket").select("main", "node", "root").distinct(), "met")
-    counts = met.groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("root") != F.col("main")).alias("n_strays"))
-    blocks = lambda c: F.ceil(F.col(c) / SIDE).cast("int")
-    counts = _base.materialize(counts.where("n_strays > 0").select("main", blocks("n").alias("m_blocks"), blocks("n_strays").alias("s_blocks")), "blocks")
+    sizes = sets.groupBy("node").agg(F.max("n").alias("n"))
+    met = hot.join(_base.materialize(common, "common"), "bucket").select("main", "node", "root").distinct()
+    met = _base.materialize(met.join(sizes, "node").select("main", "node", "root", (F.col("n") * 8).alias("bytes")), "met")
+    stray = F.col("root") != F.col("main")
+    counts = met.groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"), F.count_if(stray).alias("n_strays"), F.sum(F.when(stray, F.col("bytes"))).alias("b_strays"))
+    blocks = lambda n, b: F.ceil(F.greatest(F.col(n) / SIDE, F.col(b) / SIDE_BYTES)).cast("int")
+    counts = _base.materialize(counts.where("n_strays > 0").select("main", blocks("n", "b").alias("m_blocks"), blocks("n_strays", "b_strays").alias("s_blocks")), "blocks")
     rows = met.join(counts, "main").withColumn("h", F.xxhash64("node"))
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     members = rows.select("main", "node", "root", F.pmod("h", "m_blocks").cast("int").alias("mb"), each("s_blocks").alias("sb"), F.lit(False).alias("stray"))
@@ -226,7 +230,7 @@ def stray_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links of 100 * intersection >= percent * union) and kept, one row for each row of docs."""
     _base.ship(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     prints = _base.materialize(_base.map_texts(d, lambda: Fingerprinter(size), "n_shingles long, k1 long, k2 long, bands array<long>", ["doc_id"]), "prints")
     full = prints.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = _base.materialize(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
@@ -274,12 +278,12 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
     """docs with one document of each group of near-duplicates, that of the smallest id; columns as they were."""
     found = _base.materialize(near_duplicates(docs, size, percent, id_col, text_col), "near_duplicates")
     gone = found.where("NOT kept").select("doc_id").distinct()
-    renamed = docs.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else docs
-    kept = only_ids(renamed, gone, "left_anti")
+    key = F.col(f"`{id_col}`").cast("long")
+    kept = docs.join(F.broadcast(gone.withColumnRenamed("doc_id", "__gone")) if gone.count() <= BROADCAST_IDS else gone.withColumnRenamed("doc_id", "__gone"), key == F.col("__gone"), "left_anti")
     repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.isEmpty():  # one row of several of one id
-        kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
-    return kept.withColumnRenamed("doc_id", id_col).select(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.where(key.isNull()).unionByName(kept.where(key.isNotNull()).dropDuplicates([id_col]))
+    return kept
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
 """Held-out accuracy of the classifier; exact round trips of stored media."""
 
+import collections
 import hashlib
 import io
+import math
 import tarfile
 import zlib
 
+import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from curata.llm import _base, media, quality
@@ -26,6 +30,43 @@ def test_held_out_accuracy(spark):
     assert area > 0.95
 
 
+def plain_score(model, text):
+    """A score by the description: each block of 512 bytes compressed with each dictionary afresh."""
+    raw, saved = (text or "").encode(), 0
+    for at in range(0, len(raw), 512):
+        good, bad = (len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw[at : at + 512])) for d in (model.good, model.bad))
+        saved += bad - good
+    return 1 / (1 + math.exp(-(model.slope * (saved + 64 * model.mean) / (len(raw) + 64) + model.offset)))
+
+
+def test_every_score_is_the_plain_one(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(quality.training_sample(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality.op1_quality(spark, sf).collect():
+        assert math.isclose(r.score, plain_score(model, texts[r.doc_id]), rel_tol=1e-9, abs_tol=1e-12) and r.predicted == int(r.score >= 0.5)
+
+
+def test_the_curve_is_the_best_logistic_one():
+    """No point of a fine grid around it has a lower loss on the same smoothed targets."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(0.1, 0.1, 80), r.normal(-0.05, 0.1, 40)])
+    y = np.concatenate([np.ones(80), np.zeros(40)])
+    slope, offset = quality.logistic(x, y)
+    t = np.where(y == 1, 81 / 82, 1 / 42)
+    loss = lambda a, b: float(np.sum(np.logaddexp(0, a * x + b) - t * (a * x + b)) + 1e-3 * (a * np.abs(x).max()) ** 2 / 2)
+    best = loss(slope, offset)
+    assert all(loss(slope + da, offset + db) >= best - 1e-9 for da in (-1, -0.1, 0, 0.1, 1) for db in (-0.5, -0.05, 0, 0.05, 0.5))
+
+
+def test_keep_good_with_columns_of_its_names(make_docs):
+    model = quality.fit(quality.Sample([(1, f"plain words number {i} and more of them to read") for i in range(60)] + [(0, f"BUY NOW!!! {i} $$$ %%% CHEAP") for i in range(60)], (60, 60)))
+    docs = make_docs([(1, "plain words number 7 to read"), (2, "BUY NOW!!! $$$ CHEAP")]).withColumn("score", F.lit("s")).withColumn("predicted", F.lit("p")).withColumn("__score", F.lit("t"))
+    out = quality.keep_good(docs, model)
+    assert out.columns == docs.columns and [(r.doc_id, r.score, r.predicted, r["__score"]) for r in out.collect()] == [(1, "s", "p", "t")]
+
+
 def test_held_out_is_the_remainder(spark):
     for r in spark.range(200).select("id", quality.is_held_out(F.col("id")).alias("h")).collect():
         assert r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1)
@@ -63,6 +104,34 @@ def brute_media(text):
     return (len(raw), size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def padded(raw):
+    return raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+
+
+def plain_png(raw):
+    """The picture written anew from the format's description: rows of 192 grey samples, each after a filter byte of 0."""
+    lines = b"".join(b"\0" + padded(raw)[i : i + 192] for i in range(0, len(padded(raw)), 192))
+    part = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    head = (192).to_bytes(4, "big") + (len(lines) // 193).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines, 6)) + part(b"IEND", b"")
+
+
+def plain_feature(raw):
+    data = padded(raw)
+    counts = collections.Counter(x // 32 for x in data)
+    return f"{'.'.join(str(counts[i]) for i in range(8))};{sum(data) // len(data)};{sum(a != b for a, b in zip(data, data[1:]))}"
+
+
+def test_equal_payloads_have_one_place(spark, make_docs):
+    folder = _base.shared_dir(spark, "media-test")
+    docs = make_docs([(i, f"text {i % 7}") for i in range(200)]).repartition(6)
+    index = media.store(docs, folder)
+    rows = index.collect()
+    assert len(rows) == 200 and len({(r.digest, r.shard, r.offset) for r in rows}) == 7
+    assert spark.read.parquet(f"{folder}/written").select("digest", "shard").distinct().count() > 7  # several tasks wrote them
+    assert {(r.doc_id, *brute_media(r.text)) for r in docs.collect()} == {(r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in media.read_back(index, folder).collect()}
+
+
 def test_media_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -70,6 +139,8 @@ def test_media_query(spark):
     for r in media.op2_media_columns(spark, "/root/testdata/sf0.001").collect():
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == brute_media(texts[r.doc_id])
         assert (r.width, r.height, r.depth, r.colour) == (192, r.payload_bytes // 192, 8, 0)
+        stored = plain_png((texts[r.doc_id] or "").encode())
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), plain_feature((texts[r.doc_id] or "").encode()))
         assert seen.setdefault(texts[r.doc_id], (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
 
 
