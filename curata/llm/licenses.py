@@ -1,8 +1,9 @@
 """Licence scan: ordered signature rules behind a keyword prefilter.
 
-A rule is a regex with a label, a priority and a confidence. A text is lower-cased (A-Z) once; a rule's regex runs only if
-one of its keywords occurs. Overlapping detections are resolved: one that lies within a detection of higher priority (or of
-equal priority that is longer, or as long and earlier in rule order) is suppressed. The base phrases are reported at every place, and their labels are never
+A rule is a regex with a label, a priority and a confidence. Most are written by hand, one for each clause or name, in ``license_signatures.tsv``; the others are
+versioned names, tags and addresses from the tables below. A text is lower-cased (A-Z) once; a rule's regex runs only if the words of
+one of its keywords occur (one of four bytes or fewer as a whole word). Overlapping detections are resolved: one that lies within a detection of higher priority (or of
+equal priority that is longer, or as long and earlier in rule order) is suppressed. A gap in a signature is 1 to ``GAP`` bytes. The base phrases are reported at every place, and their labels are never
 suppressed.
 
 Defined cases: a null or empty text has 0 words, no places, empty labels and score 0. Repeated rows give repeated results.
@@ -12,9 +13,12 @@ Very long texts are scanned whole.
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 from dataclasses import dataclass
+from importlib import resources
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,7 +50,8 @@ FAMILIES = [
     ("osl", "open software licen[cs]e", ("1.0", "2.0", "2.1", "3.0"), ("open software",)),
     ("afl", "academic free licen[cs]e", ("1.1", "1.2", "2.0", "2.1", "3.0"), ("academic free",)),
     ("artistic", "artistic licen[cs]e|perl artistic licen[cs]e", ("1.0", "2.0"), ("artistic",)),
-    ("bsl", "boost software licen[cs]e", ("1.0",), ("boost",)),
+    ("boost", "boost software licen[cs]e", ("1.0",), ("boost",)),
+    ("busl", "business source licen[cs]e|busl", ("1.0", "1.1"), ("business source", "busl")),
     ("zpl", "zope public licen[cs]e", ("1.1", "2.0", "2.1"), ("zope",)),
     ("python", "python software foundation licen[cs]e|psf licen[cs]e", ("2",), ("python", "psf")),
     ("php", "php licen[cs]e", ("3.0", "3.01"), ("php",)),
@@ -55,8 +60,8 @@ FAMILIES = [
     ("odbl", "open database licen[cs]e|odbl", ("1.0",), ("open database", "odbl")),
     ("odc-by", "open data commons attribution licen[cs]e", ("1.0",), ("open data commons",)),
     ("cecill", "cecill", ("1.0", "1.1", "2.0", "2.1"), ("cecill",)),
-    ("mspl", "microsoft public licen[cs]e|ms pl", (), ("microsoft public", "ms-pl")),
-    ("msrl", "microsoft reciprocal licen[cs]e|ms rl", (), ("microsoft reciprocal", "ms-rl")),
+    ("ms-pl", "microsoft public licen[cs]e|ms pl", (), ("microsoft public", "ms-pl")),
+    ("ms-rl", "microsoft reciprocal licen[cs]e|ms rl", (), ("microsoft reciprocal", "ms-rl")),
     ("mit", "mit licen[cs]e|expat licen[cs]e", (), ("mit", "expat")),
     ("isc", "isc licen[cs]e", (), ("isc",)),
     ("zlib", "zlib licen[cs]e|zlib libpng licen[cs]e", (), ("zlib",)),
@@ -91,27 +96,22 @@ CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 # Families whose short names say too little alone: the names that count without a version or "licensed under".
 LONG_NAMES = {"apache": "", "gpl": "gnu general public licen[cs]e|gnu gpl", "lgpl": "gnu lesser general public licen[cs]e|gnu library general public licen[cs]e"}
 
-# Single clauses that name no version: label, words, keywords.
-CLAUSES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use"),
-    ("bsd", "redistribution and use in source and binary forms", "redistribution and use"),
-    ("bsd-3", "neither the name of .{1,80}? nor the names of its contributors", "neither the name"),
-    ("gpl", "this program is free software you can redistribute it", "free software"),
-    ("lgpl", "this library is free software you can redistribute it", "free software"),
-    ("gpl", "either version [23] of the licen[cs]e or at your option any later version", "any later version"),
-    ("zlib", "this software is provided as is without any express or implied warranty", "provided"),
-    ("boost", "permission is hereby granted free of charge to any person or organization obtaining", "hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("cc0", "creative commons zero|cc0|cc zero", "cc|creative"),
-    ("public-domain", "released into the public domain|dedicated to the public domain|in the public domain", "public domain"),
-    ("all-rights-reserved", "all rights reserved", "rights reserved"),
-    ("proprietary", "proprietary and confidential|confidential and proprietary", "proprietary"),
-    ("proprietary", "unauthori[sz]ed copying of this file", "copying of this file"),
-    ("no-ai", "may not be used (?:to train|for training)", "may not be used"),
-    ("non-commercial", "for non ?commercial (?:use|purposes) only", "commercial"),
-    ("no-redistribution", "redistribution is (?:not permitted|prohibited|forbidden)", "redistribution is"),
-]
+# SPDX identifiers that are not a label with a version: label, identifier as words.
+TAGS = [
+    ("boost-1", "bsl 1.0"), ("busl-1.1", "bsl 1.1"), ("0bsd", "0bsd"), ("mit-0", "mit 0"), ("bsd-1", "bsd 1 clause"), ("bsd-2", "bsd 2 clause"), ("bsd-3", "bsd 3 clause"), ("bsd-4", "bsd 4 clause"), ("cc0", "cc0 1.0"),
+    ("python-2", "psf 2.0"), ("ncsa", "ncsa"), ("x11", "x11"), ("postgresql", "postgresql"), ("elastic-2", "elastic 2.0"), ("sspl-1", "sspl 1.0"), ("hpnd", "hpnd"), ("ftl", "ftl"), ("vim", "vim"), ("curl", "curl"),
+]
+
+GAP = 80
+#: Priority and confidence of a signature by its weight.
+WEIGHTS = {"clause": (65, 0.8), "name": (55, 0.8), "weak": (30, 0.8)}
+
+
+@functools.lru_cache(maxsize=1)
+def signatures() -> list[tuple[str, str, str, str]]:
+    """(label, keyword, weight, phrase) of each line of the file beside this module."""
+    lines = (resources.files("curata.llm") / "license_signatures.tsv").read_text(encoding="utf-8").splitlines()
+    return [tuple(x.split("\t")) for x in lines if not x.startswith("#")]
 
 
 @dataclass(frozen=True)
@@ -124,7 +124,8 @@ class Rule:
 
 
 def _words(phrase: str) -> bytes:
-    return phrase.encode().replace(b".{1,80}?", b"\x00GAP\x00").replace(b" ?", b"\x00OPT\x00").replace(b" ", SEP).replace(b"\x00OPT\x00", SEP.replace(b"]+", b"]*")).replace(b"\x00GAP\x00", rb".{1,80}?")
+    parts = re.split(r"( \?| \* | )", phrase)
+    return b"".join({" ?": SEP.replace(b"]+", b"]*"), " * ": b".{1,%d}?" % GAP, " ": SEP}.get(x, x.encode()) for x in parts)
 
 
 def _rule(label: str, phrase: bytes, keywords: tuple[str, ...], priority: int, confidence: float) -> Rule:
@@ -132,16 +133,26 @@ def _rule(label: str, phrase: bytes, keywords: tuple[str, ...], priority: int, c
 
 
 def rules() -> list[Rule]:
-    """The ordered rules, built from the tables above: SPDX tags, versioned names, bare names, clauses and addresses."""
+    """The ordered rules: SPDX tags, versioned and bare names, Creative Commons parts and addresses, signatures."""
     out: list[Rule] = []
     version = lambda v: rb"(?:" + SEP + rb"(?:version|v))?" + SEP.replace(b"]+", b"]*") + rb"v?" + re.escape(v.encode()) + rb"(?:\.0)?"
+    spdx = rb"spdx" + SEP + rb"licen[cs]e" + SEP + rb"identifier" + SEP
+    field = rb"licen[cs]e[\x20\"']*[:=][\x20\"']*"
+    exact = lambda tag: _words(tag.replace(".", r"\."))
+    for label, tag in TAGS:
+        out.append(_rule(label, spdx + exact(tag), ("spdx",), 100, 1.0))
+        out.append(_rule(label, field + exact(tag), (tag.split()[0],), 85, 0.9))
     for label, names, versions, keys in FAMILIES:
-        name = b"(?:" + b"|".join(_words(n) for n in names.split("|")) + b")"
+        name, tag = b"(?:" + b"|".join(_words(n) for n in names.split("|")) + b")", _words(label.replace("-", " "))
         for v in sorted(versions, key=len, reverse=True):
             short = f"{label}-{v.removesuffix('.0')}"
-            out.append(_rule(short, rb"spdx" + SEP + rb"licen[cs]e" + SEP + rb"identifier" + SEP + _words(label.replace("-", " ")) + SEP + re.escape(v.encode()) + rb"(?:\.0)?" + rb"(?:" + SEP + rb"(?:only|or" + SEP + rb"later))?", ("spdx",), 100, 1.0))
+            later = re.escape(v.encode()) + rb"(?:\.0)?" + rb"(?:" + SEP + rb"(?:only|or" + SEP + rb"later))?"
+            out.append(_rule(short, spdx + tag + SEP + later, ("spdx",), 100, 1.0))
+            out.append(_rule(short, field + tag + SEP + later, (label.split("-")[0],), 85, 0.9))
             out.append(_rule(short, name + version(v), keys, 80, 0.95))
-        out.append(_rule(label, rb"spdx" + SEP + rb"licen[cs]e" + SEP + rb"identifier" + SEP + _words(label.replace("-", " ")), ("spdx",), 90, 1.0))
+        if label != "boost":  # its identifier, bsl, is another's without the version
+            out.append(_rule(label, spdx + tag, ("spdx",), 90, 1.0))
+        out.append(_rule(label, field + tag, (label.split("-")[0],), 70, 0.9))
         out.append(_rule(label, rb"(?:licen[cs]ed|released|distributed|available|provided)" + SEP + rb"under" + SEP + rb"(?:the|a|an)?" + SEP.replace(b"]+", b"]*") + name, keys, 60, 0.9))
         bare = LONG_NAMES.get(label, names)
         if bare:
@@ -153,8 +164,8 @@ def rules() -> list[Rule]:
         out.append(_rule(f"cc-{suffix}", b"creative" + SEP + b"commons" + SEP + _words(spelled), ("creative",), 70, 0.85))
         out.append(_rule(f"cc-{suffix}", b"creativecommons\\.org/licenses/" + suffix.encode(), ("creativecommons",), 75, 0.95))
         out.append(_rule(f"cc-{suffix}", b"cc" + SEP + _words(suffix.replace("-", " ")), ("cc",), 50, 0.7))
-    for label, names, key in CLAUSES:
-        out.append(_rule(label, b"|".join(_words(n) for n in names.split("|")), tuple(key.split("|")), 30 if label in ("all-rights-reserved", "bsd") else 65, 0.8))
+    for label, key, weight, phrase in signatures():
+        out.append(_rule(label, _words(phrase), (key,), *WEIGHTS[weight]))
     return out
 
 
@@ -162,6 +173,16 @@ class Scanner:
     def __init__(self) -> None:
         self.rules = rules()
         self.keywords = sorted({k for r in self.rules for k in r.keywords})
+        words = {k: k.replace(b"-", b" ").split() for k in self.keywords}
+        self.whole = {w: re.compile(LEFT + re.escape(w) + RIGHT).search for ws in words.values() for w in ws if len(w) <= 4}
+        # one pass finds the longest word of each keyword; the keyword's other words are looked up only then
+        self.longest: dict[str, list[tuple[bytes, list[bytes]]]] = {}
+        for k, ws in words.items():
+            self.longest.setdefault(max(ws, key=len).decode("latin-1"), []).append((k, ws))
+        self.anchors = ahocorasick.Automaton()
+        for w in self.longest:
+            self.anchors.add_word(w, w)
+        self.anchors.make_automaton()
         self.by_keyword = {k: [i for i, r in enumerate(self.rules) if k in r.keywords] for k in self.keywords}
         self.base = [(re.compile(LEFT + _words(p) + RIGHT), tuple(w.encode() for w in p.split()), label) for p, label in BASE]
         table = bytearray(b"\x01" * 256)
@@ -169,15 +190,19 @@ class Scanner:
             table[lo : hi + 1] = bytes(hi + 1 - lo)
         self.word_bytes = bytes(table)
 
+    def present(self, text: bytes) -> list[bytes]:
+        """The keywords that a lower-cased text holds."""
+        seen = {w for _, w in self.anchors.iter(text.decode("latin-1"))}
+        return sorted(k for w in seen for k, ws in self.longest[w] if all(x in text and (x not in self.whole or self.whole[x](text)) for x in ws))
+
     def detections(self, text: bytes) -> list[tuple[int, int, Rule]]:
         """What the rules find in a lower-cased text, overlaps resolved, by start."""
         ran, found = set(), []
-        for key in self.keywords:
-            if all(word in text for word in key.replace(b"-", b" ").split()):
-                for i in self.by_keyword[key]:
-                    if i not in ran:
-                        ran.add(i)
-                        found += [(m.start(), m.end(), i) for m in self.rules[i].pattern.finditer(text)]
+        for key in self.present(text):
+            for i in self.by_keyword[key]:
+                if i not in ran:
+                    ran.add(i)
+                    found += [(m.start(), m.end(), i) for m in self.rules[i].pattern.finditer(text)]
         found.sort(key=lambda d: (-self.rules[d[2]].priority, d[0] - d[1], d[2], d[0]))
         kept: list[tuple[int, int, int]] = []
         starts = sorted({d[0] for d in found})
