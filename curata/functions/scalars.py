@@ -53,8 +53,8 @@ def url_host(c: Column) -> Column:
 
 
 def safe_cell(c: Column) -> Column:
-    """A spreadsheet cell that cannot be read as a formula."""
-    return F.when(c.rlike(r"^[=+@\t\r-]"), F.concat(F.lit("'"), c)).otherwise(c)
+    """A spreadsheet cell that cannot be read as a formula. A minus before a digit is a number's and stays."""
+    return F.when(c.rlike(r"^(?:[=+@\t\r]|-(?![0-9]))"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
 def collapse_space(c: Column) -> Column:
@@ -101,39 +101,46 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 # -- signed years without a year 0 ------------------------------------------------------------------
 
+# The words in which years and ranges are written.
+BEFORE, SINCE, UNTIL_YEAR, FROM_YEAR, BETWEEN, OPEN = " BCE", " CE", "no later than ", "no earlier than ", " \u2013 ", "unconstrained"
+CENTURY, ORDINALS, ORDINAL = " century", ("st", "nd", "rd"), "th"
+
 
 def valid_year(y: Column, low: int = -3000, high: int = 2100) -> Column:
     return (y != 0) & y.between(low, high)
 
 
-def years_between(start: Column, end: Column) -> Column:
-    return end - start - F.when((start < 0) & (end > 0), 1).otherwise(0)
+def year_span(start: Column, end: Column) -> Column:
+    """Years from start to end, on a line without a year 0: years before it move up by one."""
+    on_line = lambda y: y + (y < 0).cast("int")
+    return on_line(end) - on_line(start)
 
 
-def format_year(y: Column) -> Column:
-    return F.when(y < 0, F.concat((-y).cast("string"), F.lit(" BCE"))).otherwise(F.concat(y.cast("string"), F.lit(" CE")))
+def _with_era(number: Column, y: Column) -> Column:
+    return F.concat(number.cast("string"), F.element_at(F.array(F.lit(BEFORE), F.lit(SINCE)), F.when(y < 0, 1).otherwise(2)))
 
 
-def century_of(y: Column) -> Column:
-    n = F.floor((F.abs(y) - 1) / 100).cast("int") + 1
-    teen = (n % 100).between(10, 20)
-    suffix = F.when(teen, "th").when(n % 10 == 1, "st").when(n % 10 == 2, "nd").when(n % 10 == 3, "rd").otherwise("th")
-    return F.concat(n.cast("string"), suffix, F.lit(" century "), F.when(y < 0, "BCE").otherwise("CE"))
+def year_label(y: Column) -> Column:
+    return _with_era(F.abs(y), y)
 
 
-def format_range(start: Column, end: Column) -> Column:
-    return (
-        F.when(start.isNull() & end.isNull(), "unconstrained")
-        .when(start.isNull(), F.concat(F.lit("no later than "), format_year(end)))
-        .when(end.isNull(), F.concat(F.lit("no earlier than "), format_year(start)))
-        .when(start == end, format_year(start))
-        .otherwise(F.concat(format_year(start), F.lit(" – "), format_year(end)))
-    )
+def century_label(y: Column) -> Column:
+    """Centuries count from 1 on either side; 11th to 13th are no exception to be listed: their tens digit is 1."""
+    n = ((F.abs(y) + 99) / 100).cast("int")
+    unit = F.when((n / 10).cast("int") % 10 == 1, 0).otherwise(n % 10)
+    ending = F.coalesce(F.get(F.array(*map(F.lit, ORDINALS)), unit - 1), F.lit(ORDINAL))
+    return _with_era(F.concat(n.cast("string"), ending, F.lit(CENTURY)), y)
+
+
+def span_label(start: Column, end: Column) -> Column:
+    """Both bounds' labels, once if they are equal; a word stands for an open one, or for both."""
+    open_side = F.when(start.isNull(), UNTIL_YEAR).when(end.isNull(), FROM_YEAR).otherwise("")
+    both = F.concat(open_side, F.concat_ws(BETWEEN, year_label(start), year_label(end)))
+    return F.when(start.eqNullSafe(end), F.coalesce(year_label(start), F.lit(OPEN))).otherwise(both)
 
 
-def describe_centuries(start: Column, end: Column) -> Column:
-    a, b = century_of(start), century_of(end)
-    return F.when(a == b, a).otherwise(F.concat(a, F.lit(" – "), b))
+def centuries_label(start: Column, end: Column) -> Column:
+    return F.array_join(F.array_distinct(F.array(century_label(start), century_label(end))), BETWEEN)
 
 
 def parse_range(c: Column) -> Column:
@@ -143,17 +150,16 @@ def parse_range(c: Column) -> Column:
     return F.struct(part(1).alias("start"), part(2).alias("end"))
 
 
-def intersect(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+def common_range(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     """struct(start, end) of two ranges with open (null) bounds, or null if they are apart."""
-    low, high = F.greatest(a_start, b_start), F.least(a_end, b_end)
-    return F.when(F.coalesce(low <= high, F.lit(True)), F.struct(low.alias("start"), high.alias("end")))
+    low, high = F.array_max(F.array(a_start, b_start)), F.array_min(F.array(a_end, b_end))
+    return F.when(F.coalesce(high - low, F.lit(0)) >= 0, F.struct(low.alias("start"), high.alias("end")))
 
 
-def hull(start: Column, end: Column) -> Column:
-    """Aggregate: the smallest range around all; an open bound stays open."""
-    low = F.when(~F.bool_or(start.isNull()), F.min(start))
-    high = F.when(~F.bool_or(end.isNull()), F.max(end))
-    return F.struct(low.alias("start"), high.alias("end"))
+def enclosing_range(start: Column, end: Column) -> Column:
+    """Aggregate: the smallest range around all; a bound that is open anywhere stays open."""
+    closed = lambda bound, at: F.when(F.count(bound) == F.count(F.lit(1)), at(bound))
+    return F.struct(closed(start, F.min).alias("start"), closed(end, F.max).alias("end"))
 
 
 def range_relation(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

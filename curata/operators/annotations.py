@@ -36,11 +36,11 @@ def pair_raters(log: DataFrame, item: str, author: str, a: str, b: str, value: s
     return j.select(item, F.when(ok, F.col("value_a")).alias("value_a"), F.when(ok, F.col("value_b")).alias("value_b"), why.alias("skipped"))
 
 
-def disagreements(log: DataFrame, item: str, author: str, order: str, fields: Sequence[str]) -> DataFrame:
-    """item, field, n_values, values: fields in which the authors' last values differ. Long form, values by author in a map-side combined aggregate."""
+def disagreements(log: DataFrame, item: str, author: str, order: str, fields: Sequence[str], unassessed: Sequence[str] = ("unknown", "not_assessed")) -> DataFrame:
+    """item, field, n_values, values: fields in which the authors' last values differ; null and ``unassessed`` values agree with any. Long form, values by author in a map-side combined aggregate."""
     last = log.groupBy(item, author).agg(*[F.max_by(f, order).alias(f) for f in fields])
     long = last.select(item, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select(item, "x.*")
-    values = F.array_sort(F.collect_set("value"))
+    values = F.array_sort(F.collect_set(F.when(~F.col("value").isin(*unassessed), F.col("value"))))
     return long.groupBy(item, "field").agg(values.alias("v")).where(F.size("v") > 1).select(item, "field", F.size("v").alias("n_values"), F.array_join("v", "|").alias("values"))
 
 

@@ -42,7 +42,7 @@ def estimate(df: DataFrame, group: str, tier: str, item: str, start: str, end: s
     items = F.collect_list(F.struct(F.col(tier).alias("tier"), F.col(item).alias("id"), F.col(start).cast("int").alias("start"), F.col(end).cast("int").alias("end")))
     g = df.groupBy(group).agg(interval_fold(items).alias("f"))
     state = F.when(F.size("f.used") > 0, "estimated").otherwise("insufficient_evidence")
-    shown = F.when(F.size("f.used") > 0, S.format_range(F.col("f.start"), F.col("f.end"))).otherwise("Insufficient evidence")
+    shown = F.when(F.size("f.used") > 0, S.span_label(F.col("f.start"), F.col("f.end"))).otherwise("Insufficient evidence")
     return g.select(group, state.alias("state"), F.col("f.start").alias("start"), F.col("f.end").alias("end"), shown.alias("display"), F.array_join("f.used", ",").alias("used"), F.array_join("f.conflicts", ",").alias("conflicts"))
 
 
@@ -82,24 +82,31 @@ def reference_status(references: DataFrame, records: DataFrame) -> DataFrame:
     return references.join(g, "ref_id", "left").select("ref_id", status.alias("effective"))
 
 
-def claim_report(claims: DataFrame, records: DataFrame) -> DataFrame:
-    """claim_id, ref_id, status: the record under the claim's id, else that under its text, else unverified. claims has ref_ids (an array) and statement."""
+def claim_report(claims: DataFrame, records: DataFrame, order: str) -> DataFrame:
+    """claim_id, ref_id, status, one row for each citation: the latest record (by ``order``) under the claim's id, else that under its text, else unverified. claims has ref_ids (an array) and statement."""
     text = lambda c: F.lower(S.collapse_space(c))
-    edges = claims.select("claim_id", text(F.col("statement")).alias("key_text"), F.explode("ref_ids").alias("ref_id"))
-    by_id = records.where("claim_id IS NOT NULL").select("ref_id", "claim_id", F.col("status").alias("s1"))
-    by_text = records.where("claim_id IS NULL").select("ref_id", text(F.col("claim")).alias("key_text"), F.col("status").alias("s2"))
+    edges = claims.select("claim_id", text(F.col("statement")).alias("key_text"), F.explode(F.array_distinct("ref_ids")).alias("ref_id")).distinct()
+    by_id = records.where("claim_id IS NOT NULL").groupBy("ref_id", "claim_id").agg(F.max_by("status", order).alias("s1"))
+    by_text = records.where("claim_id IS NULL").groupBy("ref_id", text(F.col("claim")).alias("key_text")).agg(F.max_by("status", order).alias("s2"))
     return edges.join(by_id, ["ref_id", "claim_id"], "left").join(by_text, ["ref_id", "key_text"], "left").select("claim_id", "ref_id", F.coalesce("s1", "s2", F.lit("unverified")).alias("status"))
 
 
+# Spellings that are recognised, and the ids they stand for.
+ZERO_IDS, DOMAIN_IDS, GODL = ("CC0", "CC0 1.0", "CC ZERO"), ("PD", "PDM", "PUBLIC DOMAIN"), "GODL"
+PARTS = ("BY", "SA", "NC", "ND")
+
+
 def license_id(verbatim: Column) -> Column:
-    """Normalised licence id, public_domain, GODL-India or unknown."""
-    s = F.replace(F.upper(F.regexp_replace(F.trim(verbatim), r"\s+", " ")), F.lit("_"), F.lit(" "))
-    cc = r"^CC[ -](BY(?:[ -](?:SA|NC|ND))*)[ -]?(\d\.\d)(?: [A-Z ]+)?$"
-    return (
-        F.when(F.coalesce(verbatim, F.lit("")) == "", "unknown").when(s.isin("CC0", "CC0 1.0", "CC ZERO", "CC-ZERO", "CC0-1.0"), "CC0-1.0")
-        .when(s.rlike(cc), F.concat(F.lit("CC-"), F.replace(F.regexp_extract(s, cc, 1), F.lit(" "), F.lit("-")), F.lit("-"), F.regexp_extract(s, cc, 2)))
-        .when(s.contains("PUBLIC DOMAIN") | s.isin("PD", "PDM", "PUBLIC-DOMAIN"), "public_domain").when(s.contains("GODL"), "GODL-India").otherwise("unknown")
-    )
+    """Normalised licence id, public_domain, GODL-India or unknown. The words are read from the left: CC, then parts of which the first is BY, then a version, then only words."""
+    plain = F.upper(F.coalesce(verbatim, F.lit("")))
+    words = F.filter(F.split(F.regexp_replace(plain, "(BY|SA|NC|ND)(?=[0-9])", "$1 "), r"[\s_-]+"), lambda w: w != "")
+    joined = F.array_join(words, " ")
+    n = F.size(F.filter(words, lambda w: w.isin(*PARTS)))
+    version = F.try_element_at(words, n + 2)
+    is_cc = (F.slice(words, 1, 2) == F.array(F.lit("CC"), F.lit("BY"))) & F.forall(F.slice(words, F.lit(2), n), lambda w: w.isin(*PARTS)) & version.rlike(r"^[0-9]\.[0-9]$") & F.forall(F.slice(words, n + 3, F.size(words)), lambda w: w.rlike("^[A-Z]+$"))
+    of_parts = F.array_join(F.concat(F.array(F.lit("CC")), F.slice(words, F.lit(2), n), F.array(version)), "-")
+    named = [(joined.isin(*ZERO_IDS), F.lit("CC0-1.0")), (is_cc, of_parts), (F.regexp_replace(plain, r"\s+", " ").contains("PUBLIC DOMAIN") | joined.isin(*DOMAIN_IDS), F.lit("public_domain")), (plain.contains(GODL), F.lit("GODL-India"))]
+    return F.coalesce(*[F.when(found, name) for found, name in named], F.lit("unknown"))
 
 
 def license_decision(verbatim: Column) -> Column:

@@ -6,6 +6,7 @@ then a skewed join, which adaptive execution splits, and not one task that sorts
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -49,36 +50,45 @@ def canonical(columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
+#: Hexadecimal digits of an id's digest that name its bucket, level by level.
+LEVELS = (6, 3, 0)
+
+
 def fingerprint(df: DataFrame, id_col: str, row: Column, header: str) -> DataFrame:
-    """One digest of all rows in the order of (id, row), whatever order they come in.
+    """One digest of all rows in the order of (bucket, id, row), whatever order they come in.
 
-    A digest a row, then a digest a bucket of ids in order, then one over the buckets: no task holds more than a bucket of digests.
+    A digest a row, then one for each of 16 million buckets of ids, one for each 4,096 of those, one over the last 4,096: some thousands of digests in a task's group at 10**10 rows.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.sha2(row, 256).alias("h")).withColumn("bucket", F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 3))
+    rows = df.select(F.col(id_col).alias("key"), F.sha2(row, 256).alias("h")).withColumn("b", F.substring(F.sha2(F.coalesce(F.col("key").cast("string"), F.lit("")), 256), 1, LEVELS[0]))
     ordered = lambda xs: F.array_join(F.transform(F.array_sort(xs), lambda x: x["h"]), "")
-    buckets = rows.groupBy("bucket").agg(F.sha2(ordered(F.collect_list(F.struct("id", "h"))), 256).alias("b"), F.count(F.lit(1)).alias("n"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "b"))), lambda x: x["b"]), "")
-    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"), F.sha2(F.concat(F.lit(header), whole), 256).alias("fingerprint"))
+    rows = rows.select("b", "key", "h", F.lit(1).cast("long").alias("n"))
+    for digits in LEVELS[1:]:
+        rows = rows.groupBy("b").agg(F.sha2(ordered(F.collect_list(F.struct("key", "h"))), 256).alias("h"), F.sum("n").alias("n"))
+        rows = rows.select(F.substring("b", 1, digits).alias("b"), F.col("b").alias("key"), "h", "n")
+    whole = ordered(F.collect_list(F.struct("key", "h")))
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"), F.sha2(F.concat(F.lit(header), whole), 256).alias("fingerprint"))
 
 
-def near_pairs(df: DataFrame, item: str, group: str, bits: str, distance: int = 6, exceptions: DataFrame | None = None) -> DataFrame:
-    """Pairs of items of different groups whose 64-bit patterns differ in at most ``distance`` (up to 7) bits.
+def near_pairs(df: DataFrame, item: str, group: str, bits: str, distance: int = 6, exceptions: DataFrame | None = None, agree: int = 3) -> DataFrame:
+    """Pairs of items of different groups whose 64-bit patterns differ in at most ``distance`` bits.
 
-    Two such patterns agree in at least one of eight bytes, so an equi-join on (byte number, byte value) finds them all. Equal patterns meet
-    first and count once for each byte. Items of one byte value are many; each is joined on that byte together with the number of bits set, which differs by at most ``distance``.
+    Of ``distance + agree`` blocks of bits two such patterns agree in at least ``agree``, so an equi-join on all choices of so many blocks finds them all: for 6 and 3, 84 keys of some 21 bits
+    a pattern. A key's bucket then holds a two-millionth of evenly spread patterns. Equal patterns meet first and count once. Larger ``agree``: more and smaller buckets.
     """
-    if not 0 <= distance <= 7:
-        raise ValueError("the distance must be 0 to 7: eight bytes cannot all differ in seven bits")
+    blocks = distance + agree
+    if not (distance >= 0 and agree >= 1 and blocks <= 64):
+        raise ValueError("the distance and the blocks that agree must add up to 64 at most")
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in itertools.combinations(range(blocks), agree)]
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     patterns = df.where(F.col(bits).isNotNull()).select(F.col(item).alias("item"), F.col(group).alias("grp"), F.col(bits).alias("bits"))
-    distinct = patterns.select("bits").distinct()
-    byte = lambda i: F.shiftrightunsigned("bits", 8 * i).bitwiseAND(F.lit(255))
-    banded = distinct.select("bits", F.explode(F.array(*[F.struct(F.lit(i).alias("b"), byte(i).alias("v"), F.bit_count("bits").alias("ones")) for i in range(8)])).alias("k")).select("bits", "k.*")
-    spread = banded.select(F.col("bits").alias("other"), "b", "v", F.explode(F.sequence(F.col("ones") - distance, F.col("ones") + distance)).alias("ones"))
-    met = banded.join(spread, ["b", "v", "ones"]).where("bits <= other")
+    keyed = patterns.select("bits").distinct().select("bits", F.posexplode(F.transform(F.array(*map(F.lit, signed)), lambda m: F.col("bits").bitwiseAND(m))).alias("k", "v"))
+    met = keyed.join(keyed.select(F.col("bits").alias("other"), "k", "v"), ["k", "v"]).where("bits < other")
     met = met.withColumn("distance", F.bit_count(F.col("bits").bitwiseXOR(F.col("other")))).where(F.col("distance") <= distance).select("bits", "other", "distance").distinct()
+    same = patterns.select("bits", F.col("bits").alias("other"), F.lit(0).alias("distance")).distinct()
     left = patterns.select("bits", F.col("item").alias("i1"), F.col("grp").alias("g1"))
     right = patterns.select(F.col("bits").alias("other"), F.col("item").alias("i2"), F.col("grp").alias("g2"))
-    pairs = met.join(left, "bits").join(right, "other").where("g1 <> g2 AND (bits <> other OR i1 < i2)")
+    pairs = met.unionByName(same).join(left, "bits").join(right, "other").where("g1 <> g2 AND (bits <> other OR i1 < i2)")
     pairs = pairs.select(F.least("i1", "i2").alias("item_a"), F.greatest("i1", "i2").alias("item_b"), "distance")
     if exceptions is not None:
         allowed = exceptions.select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b"))

@@ -99,8 +99,6 @@ def record_problems(raw: Column, v: Column, export_mode: bool = False, schema_ma
     path, script, low, high = F.nullif(s("image_path"), F.lit("")), s("script_type"), whole("dating_lower_year"), whole("dating_upper_year")
     basis = _value(v, "dating_basis", "array<string>")
     w, h = whole("image_width_px"), whole("image_height_px")
-    regions = _value(v, "inscription_regions", "array<struct<x:bigint,y:bigint,w:bigint,h:bigint>>")
-    outside = F.exists(regions, lambda r: (r["x"] + r["w"] > w) | (r["y"] + r["h"] > h))
     problems = [(p, "E3", "error", "image_path", F.array_contains(S.path_problems(path), p)) for p in ("backslash", "absolute", "traversal")]
     checks = [
         *[(rule, sev, field, cond) for _, rule, sev, field, cond in problems],
@@ -113,12 +111,18 @@ def record_problems(raw: Column, v: Column, export_mode: bool = False, schema_ma
         ("R10", "error", "context_reliability", F.array_contains(basis, "stratigraphy") & ~s("context_reliability").eqNullSafe(F.lit("excavated_stratified"))),
         ("R11", "error", "redistributable", F.lit(export_mode) & ~s("redistributable").eqNullSafe(F.lit("yes"))),
         ("R12", "error", "split_exclusion_reason", (s("split") == "excluded") & ~A.has_real_text(s("split_exclusion_reason"))),
-        ("R13", "error", "inscription_regions", outside),
         ("R14", "warning", "label_source", (s("split") == "test") & (s("label_source") == "project_annotation_unverified")),
         *[("R15", "warning", f, ~has(f)) for f in RECOMMENDED],
     ]
-    items = [F.when(c, F.struct(F.lit(rule).alias("rule"), F.lit(sev).alias("severity"), F.lit(field).alias("field"))) for rule, sev, field, c in checks]
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    found = lambda rule, sev, field: F.struct(F.lit(rule).alias("rule"), F.lit(sev).alias("severity"), (field if isinstance(field, Column) else F.lit(field)).alias("field"))
+    items = F.array(*[F.when(c, found(rule, sev, field)) for rule, sev, field, c in checks])
+    # R13: one finding for each region that leaves the image; a number that is not written as a whole one is none
+    regions = _value(v, "inscription_regions", "array<variant>")
+    whole_of = lambda r, n: F.when(_type(r, n) == "int", _value(r, n, "bigint"))
+    beyond = lambda r: (whole_of(r, "x") + whole_of(r, "w") > w) | (whole_of(r, "y") + whole_of(r, "h") > h)
+    sides = lambda r: (whole_of(r, "x") + whole_of(r, "y") + whole_of(r, "w") + whole_of(r, "h")).isNotNull()
+    outside = F.transform(regions, lambda r, i: F.when(sides(r) & beyond(r), found("R13", "error", F.concat(F.lit("inscription_regions."), i.cast("string")))))
+    return F.filter(F.concat(items, F.coalesce(outside, F.array().cast("array<struct<rule:string,severity:string,field:string>>"))), lambda x: x.isNotNull())
 
 
 def record_findings(df: DataFrame, index: str, raw: str, fields: Sequence[Field] = (), export_mode: bool = False) -> DataFrame:

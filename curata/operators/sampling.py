@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curata.operators.ordering import running_sums
+from curata.plans.storage import materialize
+
 
 def value_counts(df: DataFrame, columns: Sequence[str], absent: str = "unknown") -> DataFrame:
     """field, value, n: one pass over all columns; absent values count under a name."""
@@ -43,23 +46,33 @@ def imbalance(df: DataFrame, label: str, group: str, classes: Sequence[str]) ->
     return g.withColumn("share", 100.0 * F.col("n_groups") / F.sum("n_groups").over(Window.partitionBy()))
 
 
+#: A weight of 1 counts as so many; smaller parts of it are cut off.
+WEIGHT_UNIT = 1 << 40
+
+
 def weighted_sample(df: DataFrame, item: str, weight: str, n: int, seed: int = 7) -> DataFrame:
-    """item, times: a draw of about n with replacement, each item as a Poisson number of times of mean n * weight / total. One aggregate, no sort."""
-    total = df.agg(F.sum(weight)).first()[0] or 0.0
-    if total <= 0:
-        return df.select(item, F.lit(0).alias("times")).limit(0)
-    mean = F.col(weight) * (n / total)
-    # inverse of the Poisson distribution at a uniform number
-    u = F.rand(seed)
-    step = lambda acc, k: F.struct((acc["p"] * mean / k).alias("p"), (acc["c"] + acc["p"] * mean / k).alias("c"), F.when(acc["c"] < acc["u"], k).otherwise(acc["n"]).alias("n"), acc["u"].alias("u"))
-    zero = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"), u.alias("u"))
-    times = F.aggregate(F.sequence(F.lit(1), F.ceil(mean * 4 + 20).cast("int")), zero, step)["n"]
-    return df.select(item, times.alias("times")).where("times > 0")
+    """item, times: exactly n draws with replacement, each item with a probability in proportion to its weight (in units of 2**-40; null, 0 and less are never drawn). Items are distinct.
+
+    Draw i falls on the digest of seed and i, as a point of the line on which the items lie end to end in their order: the same draws on every layout. Items and draws
+    are sorted together by ranges, so neither n nor the items need fit anywhere.
+    """
+    units = F.floor(F.col(weight).cast("double") * WEIGHT_UNIT).cast("long")
+    rows = df.select(F.col(item).alias("item"), units.alias("w")).where("w > 0 AND item IS NOT NULL")
+    line = materialize(running_sums(rows, ["item"], {"to": "w", "place": None}), "line")
+    total = line.agg(F.max("to")).first()[0]
+    if not total:
+        return df.select(item, F.lit(0).cast("long").alias("times")).limit(0)
+    point = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long") % F.lit(total)
+    starts = line.select((F.col("to") - F.col("w")).alias("at"), F.lit(0).alias("draw"), "place", F.lit(1).cast("long").alias("one"))
+    draws = df.sparkSession.range(n).select(point.alias("at"), F.lit(1).alias("draw"), F.col("id").alias("place"), F.lit(0).cast("long").alias("one"))
+    met = running_sums(starts.unionByName(draws), ["at", "draw", "place"], {"under": "one"})
+    times = met.where("draw = 1").groupBy(F.col("under").alias("place")).agg(F.count(F.lit(1)).alias("times"))
+    return line.join(times, "place").select(F.col("item").alias(item), "times")
 
 
 def every_kth(df: DataFrame, order: Sequence[str], k: int, by: Sequence[str]) -> DataFrame:
-    """Systematic sample: of each stratum the rows 1, k + 1, 2 k + 1, ... in order."""
-    return df.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where((F.col("__i") - 1) % k == 0).drop("__i")
+    """Systematic sample: of each stratum the rows 1, k + 1, 2 k + 1, ... in order, which should tell rows apart. Positions come from a range sort, so a stratum may be any share of the rows."""
+    return running_sums(df, [*by, *order], {"__i": None}, by=len(by)).where((F.col("__i") - 1) % k == 0).drop("__i")
 
 
 def group_sizes(df: DataFrame, group: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Group-aware stratified splits: eligibility of whole groups, hash shuffle, round-robin interleave, proportional deal, and what verifies them.
 
 Shuffles order by a digest of seed, label, stratum and id: as deterministic as a seeded generator, but not its order. Positions within a class come
-from a window over groups (not rows) of one class.
+from range sorts over groups.
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from curata.operators.ordering import running_sums
+from curata.plans.storage import broadcast_if_small, materialize
+
 HOLDOUT = (("train", 0.7), ("val", 0.15), ("test", 0.15))
 
 
@@ -74,18 +77,21 @@ def deal_plan(ratios: Sequence[float], n: int) -> list[int]:
 
 
 def interleave(groups: DataFrame, group: str, label: str, stratum: str, seed: int) -> DataFrame:
-    """groups with ``position`` (from 0) in their class: strata shuffled by digest, then drawn in turn, largest stratum first."""
+    """groups with ``position`` (from 0) in their class: strata shuffled by digest, then drawn in turn, largest stratum first. Both positions come from range sorts, so a class may hold all groups."""
     key = F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), F.col(label), F.col(stratum).cast("string"), F.col(group).cast("string")), 256)
-    in_stratum = Window.partitionBy(label, stratum)
-    w = groups.withColumn("__h", key)
-    w = w.withColumn("__turn", F.row_number().over(in_stratum.orderBy("__h", group))).withColumn("__size", F.count(F.lit(1)).over(in_stratum)).withColumn("__first", F.min(F.struct("__h", group)).over(in_stratum)[group])
-    order = Window.partitionBy(label).orderBy("__turn", F.desc("__size"), "__first")
-    return w.withColumn("position", F.row_number().over(order) - 1).drop("__h", "__turn", "__size", "__first")
+    w = materialize(running_sums(groups.withColumn("__h", key), [label, stratum, "__h", group], {"__turn": None}, by=2), "turns")
+    sizes = w.groupBy(label, stratum).agg((-F.count(F.lit(1))).alias("__size"), F.min(F.struct("__h", group))[group].alias("__first"))
+    sizes = sizes.select(F.col(label).alias("__l"), F.col(stratum).alias("__s"), "__size", "__first")
+    w = w.join(sizes, F.col(label).eqNullSafe(F.col("__l")) & F.col(stratum).eqNullSafe(F.col("__s")))
+    placed = running_sums(w.drop("__l", "__s"), [label, "__turn", "__size", "__first", "__h"], {"__i": None}, by=1)
+    return placed.withColumn("position", F.col("__i") - 1).drop("__h", "__turn", "__size", "__first", "__i")
 
 
 def assign(groups: DataFrame, group: str, label: str, stratum: str, names: Sequence[str], ratios: Sequence[float], seed: int = 7) -> DataFrame:
     """group, label, position, partition. The deal repeats itself where the ratios are hundredths: position i beyond two hundred goes where i - 100 k went."""
-    placed = interleave(groups, group, label, stratum, seed).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(label)))
+    counts = groups.groupBy(label).agg(F.count(F.lit(1)).alias("__n")).select(F.col(label).alias("__l"), "__n")
+    placed = interleave(groups, group, label, stratum, seed)
+    placed = placed.join(broadcast_if_small(counts), F.col(label).eqNullSafe(F.col("__l"))).drop("__l")
     k = len(names)
     period, lead = 100, 200
     long, short = deal_plan(ratios, lead), {n: deal_plan(ratios, n) for n in range(1, k)}
@@ -131,9 +137,26 @@ def accounting(df: DataFrame, group: str, assigned: DataFrame, excluded: DataFra
     return marks.agg(F.count_if(has("a") & has("e")).alias("n_both"), F.count_if(has("d") & ~has("a") & ~has("e")).alias("n_unaccounted"), F.count_if(~has("d")).alias("n_unknown"))
 
 
-def regroup(assignments: DataFrame, members: DataFrame, group: str, component: str, partition: str) -> DataFrame:
-    """Moves whole components to the partition that most of their groups are in (ties to the smaller name): group, was, partition."""
-    j = assignments.join(members, group, "left").withColumn("__c", F.coalesce(F.col(component).cast("string"), F.concat(F.lit("own:"), F.col(group).cast("string"))))
-    counts = j.groupBy("__c", partition).agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("__c").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(partition).alias("p")))["p"].alias("__p"))
-    return j.join(main, "__c").select(group, F.col(partition).alias("was"), F.col("__p").alias("partition"))
+def regroup(assignments: DataFrame, members: DataFrame, group: str, component: str, partition: str, label: str, order: Sequence[str] = ("train", "val", "test"), seed: int = 7) -> DataFrame:
+    """group, was, partition: no component (members: group, component; of several groups) is left divided, and no class count of a partition changes.
+
+    A component goes to the partition that holds most of its groups, the earlier in ``order`` among equals. Then, class by class, groups of no component move from partitions that
+    have gained to those that have lost, by name, in the order of a digest of the seed. Raises ValueError if there are too few of them.
+    """
+    rows = assignments.select(F.col(group).alias("g"), F.col(partition).alias("was"), F.col(label).alias("l")).join(members.select(F.col(group).alias("g"), F.col(component).alias("c")), "g", "left")
+    shared = rows.where("c IS NOT NULL").groupBy("c", "was").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.array_position(F.array(*map(F.lit, order)), F.col("was")))
+    home = shared.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("n"), "rank", "was"))["was"].alias("home"), F.sum("n").alias("size"))
+    moved = materialize(rows.join(home, "c", "left").select("g", "was", "l", (F.coalesce("size", F.lit(1)) == 1).alias("alone"), F.coalesce("home", "was").alias("now")), "moved")
+    both = moved.select("l", F.explode(F.array(F.struct(F.col("now").alias("p"), F.lit(1).alias("v")), F.struct(F.col("was").alias("p"), F.lit(-1).alias("v")))).alias("x"))
+    change = both.groupBy("l", F.col("x.p").alias("p")).agg(F.sum("x.v").alias("d"))
+    upto = Window.partitionBy("l", F.col("d") > 0).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)  # over the partitions of a class
+    slots = materialize(change.where("d <> 0").withColumn("to", F.sum(F.abs("d")).over(upto)), "slots")
+    gave = slots.where("d > 0").select(F.col("l").alias("gl"), F.col("p").alias("gp"), "d", (F.col("to") - F.col("d")).alias("before"))
+    took = slots.where("d < 0").select(F.col("l").alias("tl"), F.col("p").alias("dest"), F.col("to").alias("last"), (F.col("to") + F.col("d")).alias("first"))
+    free = moved.where("alone").join(broadcast_if_small(gave), F.col("l").eqNullSafe(F.col("gl")) & (F.col("now") == F.col("gp"))).withColumn("h", F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), F.lit("rebalance"), F.col("g").cast("string")), 256))
+    ranked = running_sums(free, ["l", "now", "h", "g"], {"k": None}, by=2).where("k <= d").withColumn("slot", F.col("before") + F.col("k"))
+    swaps = materialize(ranked.join(broadcast_if_small(took), F.col("l").eqNullSafe(F.col("tl")) & (F.col("slot") > F.col("first")) & (F.col("slot") <= F.col("last"))).select("g", "dest"), "swaps")
+    wanted = gave.agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0]
+    if (found := swaps.count()) < wanted:
+        raise ValueError(f"class counts cannot be restored: {wanted} groups of no component are needed, {found} are there")
+    return moved.join(swaps, "g", "left").select(F.col("g").alias(group), "was", F.coalesce("dest", "now").alias("partition"))

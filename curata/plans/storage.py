@@ -38,11 +38,26 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local master gets a temporary one; a cluster is refused, as its executors would each write to a disk of their own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         root = "file://" + tempfile.mkdtemp(prefix="curata-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/curata/{tag}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/curata/{tag}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_curata_folders", []).append(path)
+    return path
+
+
+def discard(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this session's context has made so far; how many. For the end of a job: results that still read them are lost."""
+    made = spark.sparkContext.__dict__.pop("_curata_folders", [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in made:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return len(made)
 
 
 def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:

@@ -109,7 +109,7 @@ def resolve_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {RATINGS}, h AS (SELECT * FROM r WHERE kind <> 'ai_prediction'), l AS (SELECT doc_id, 'label' AS field, label AS value FROM h UNION ALL SELECT doc_id, 'state', state FROM h)
-SELECT doc_id, field, CAST(count(DISTINCT value) AS INT) AS n_values, string_agg(DISTINCT value, '|' ORDER BY value) AS values FROM l GROUP BY doc_id, field HAVING count(DISTINCT value) > 1
+SELECT doc_id, field, CAST(count(DISTINCT value) AS INT) AS n_values, string_agg(DISTINCT value, '|' ORDER BY value) AS values FROM l WHERE value NOT IN ('unknown', 'not_assessed') GROUP BY doc_id, field HAVING count(DISTINCT value) > 1
 """)
 def disagreements(spark: SparkSession, d: str) -> DataFrame:
     rows = ratings(spark, d).where("kind <> 'ai_prediction'")

@@ -46,19 +46,20 @@ def interval_fold(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {IV} SELECT l_orderkey, CASE WHEN NOT bool_or(s IS NULL) THEN min(s) END AS start, CASE WHEN NOT bool_or(e IS NULL) THEN max(e) END AS \"end\" FROM i GROUP BY l_orderkey")
 def interval_hull(spark: SparkSession, d: str) -> DataFrame:
-    return intervals(spark, d).groupBy("l_orderkey").agg(S.hull(F.col("start"), F.col("end")).alias("h")).select("l_orderkey", "h.*")
+    return intervals(spark, d).groupBy("l_orderkey").agg(S.enclosing_range(F.col("start"), F.col("end")).alias("h")).select("l_orderkey", "h.*")
 
 
 @query(f"""
 WITH {IV}
-SELECT a.l_orderkey, CASE WHEN b.s IS NULL AND b.e IS NULL THEN 'one_sided' WHEN a.s IS NULL OR a.e IS NULL OR b.s IS NULL OR b.e IS NULL THEN 'open' WHEN a.s = b.s AND a.e = b.e THEN 'identical' WHEN a.s > b.e OR b.s > a.e THEN 'disjoint' ELSE 'overlapping' END AS relation
-FROM i a JOIN i b ON a.l_orderkey = b.l_orderkey AND a.item = 1 AND b.item = 2
+SELECT a.l_orderkey, a.item, CASE WHEN a.s IS NULL AND a.e IS NULL AND b.s IS NULL AND b.e IS NULL THEN 'none' WHEN (a.s IS NULL AND a.e IS NULL) OR (b.s IS NULL AND b.e IS NULL) THEN 'one_sided' WHEN a.s IS NULL OR a.e IS NULL OR b.s IS NULL OR b.e IS NULL THEN 'open' WHEN a.s = b.s AND a.e = b.e THEN 'identical' WHEN a.s > b.e OR b.s > a.e THEN 'disjoint' ELSE 'overlapping' END AS relation
+FROM i a JOIN i b ON a.l_orderkey = b.l_orderkey AND a.item + 1 = b.item
 """)
 def interval_relation(spark: SparkSession, d: str) -> DataFrame:
+    """Each line's interval against the next line's, by line number."""
     i = intervals(spark, d)
-    a = i.where("item = 1").select("l_orderkey", F.col("start").alias("s1"), F.col("end").alias("e1"))
-    b = i.where("item = 2").select("l_orderkey", F.col("start").alias("s2"), F.col("end").alias("e2"))
-    return a.join(b, "l_orderkey").select("l_orderkey", S.range_relation(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")).alias("relation"))
+    a = i.select("l_orderkey", "item", F.col("start").alias("s1"), F.col("end").alias("e1"))
+    b = i.select("l_orderkey", (F.col("item") - 1).alias("item"), F.col("start").alias("s2"), F.col("end").alias("e2"))
+    return a.join(b, ["l_orderkey", "item"]).select("l_orderkey", "item", S.range_relation(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2")).alias("relation"))
 
 
 @query("""
@@ -71,7 +72,7 @@ FROM y WHERE a <> 0 AND b <> 0
 def years_between(spark: SparkSession, d: str) -> DataFrame:
     a = (F.col("o_orderkey") % 601 - 300).cast("int")
     y = table(spark, d, "orders").select("o_orderkey", a.alias("a"), ((F.col("o_custkey") % 211).cast("int") + 1 + a).alias("b")).where(S.valid_year(F.col("a")) & S.valid_year(F.col("b")))
-    return y.select("o_orderkey", S.years_between(F.col("a"), F.col("b")).alias("years"), S.format_year(F.col("a")).alias("start_year"), S.century_of(F.col("a")).alias("century"))
+    return y.select("o_orderkey", S.year_span(F.col("a"), F.col("b")).alias("years"), S.year_label(F.col("a")).alias("start_year"), S.century_label(F.col("a")).alias("century"))
 
 
 PERIODS = [("early", -300, -100), ("middle", -150, 100), ("late", 50, 300), ("long", -300, 300)]
@@ -91,7 +92,8 @@ def period_overlap(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT s_suppkey AS claim_id, s_name AS statement, s_nationkey, (s_nationkey + 1) % 25 AS other FROM supplier),
 x AS (SELECT claim_id, statement, s_nationkey AS ref_id FROM c UNION ALL SELECT claim_id, statement, other FROM c),
-r AS (SELECT s_suppkey AS claim_id, s_name AS claim, s_nationkey AS ref_id, CASE s_suppkey % 3 WHEN 0 THEN 'verified_against_source' WHEN 1 THEN 'discrepancy_found' ELSE 'could_not_access' END AS status FROM supplier WHERE s_suppkey % 4 <> 0)
+h AS (SELECT s_suppkey AS claim_id, s_name AS claim, s_nationkey AS ref_id, v, CASE (s_suppkey + v) % 3 WHEN 0 THEN 'verified_against_source' WHEN 1 THEN 'discrepancy_found' ELSE 'could_not_access' END AS status FROM supplier, (SELECT unnest([1, 2, 3]) AS v) WHERE s_suppkey % 4 <> 0 AND v <= 1 + s_suppkey % 3),
+r AS (SELECT claim_id, claim, ref_id, arg_max(status, v) AS status FROM h GROUP BY ALL)
 SELECT x.claim_id, x.ref_id, coalesce(a.status, b.status, 'unverified') AS status
 FROM x LEFT JOIN r a ON a.claim_id = x.claim_id AND a.ref_id = x.ref_id AND a.claim_id % 2 = 0 LEFT JOIN r b ON lower(b.claim) = lower(x.statement) AND b.ref_id = x.ref_id AND b.claim_id % 2 = 1
 """)
@@ -99,7 +101,7 @@ def claim_status(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as claims that cite two nations; records name a claim by its id, or, where that is odd, by its text."""
     s = table(spark, d, "supplier")
     claims = s.select(F.col("s_suppkey").alias("claim_id"), F.col("s_name").alias("statement"), F.array(F.col("s_nationkey"), (F.col("s_nationkey") + 1) % 25).alias("ref_ids"))
-    return E.claim_report(claims, claim_records(s)).select("claim_id", "ref_id", "status")
+    return E.claim_report(claims, claim_history(s), "v").select("claim_id", "ref_id", "status")
 
 
 def claim_records(s: DataFrame) -> DataFrame:
@@ -108,6 +110,13 @@ def claim_records(s: DataFrame) -> DataFrame:
     return s.where(k % 4 != 0).select(F.when(k % 2 == 0, k).alias("claim_id"), F.col("s_name").alias("claim"), F.col("s_nationkey").alias("ref_id"), status.alias("status"))
 
 
+def claim_history(s: DataFrame) -> DataFrame:
+    """One to three records of a claim, of which the one of the highest v is the latest; a quarter of the claims has none."""
+    k, v = F.col("s_suppkey"), F.col("v")
+    status = F.when((k + v) % 3 == 0, "verified_against_source").when((k + v) % 3 == 1, "discrepancy_found").otherwise("could_not_access")
+    return s.where(k % 4 != 0).withColumn("v", F.explode(F.sequence(F.lit(1), (1 + k % 3).cast("int")))).select("v", F.when(k % 2 == 0, k).alias("claim_id"), F.col("s_name").alias("claim"), F.col("s_nationkey").alias("ref_id"), status.alias("status"))
+
+
 @query("""
 WITH g AS (SELECT s_nationkey AS ref_id, bool_or(s_suppkey % 3 = 1) AS d, bool_or(s_suppkey % 3 = 0) AS v FROM supplier WHERE s_suppkey % 4 <> 0 GROUP BY 1),
 n AS (SELECT n_nationkey AS ref_id, CASE WHEN n_nationkey % 2 = 0 THEN 'verified_against_source' ELSE 'located' END AS kb FROM nation)
@@ -139,7 +148,18 @@ def page_policy(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", E.url_problems(F.col("url"), ["example.com"]).alias("problem"))
 
 
-@query()
+@query(f"""
+WITH l(k, why) AS (VALUES {", ".join(str((i, x[1])) for i, x in enumerate(DECISIONS))}),
+u AS (SELECT page_id AS i, coalesce(url, '') AS url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host, length(html) AS size, why FROM pages JOIN l ON page_id % 10 = k),
+b AS (SELECT *, url = '' OR url NOT LIKE 'https://%' OR host = 'example.com' OR host LIKE '%.example.com' AS bad FROM u),
+r AS (
+  SELECT i, array_to_string([x FOR x IN [
+    CASE WHEN i % 9 = 0 THEN 'A1' END, CASE WHEN bad THEN 'A2:source_url' END, CASE WHEN bad THEN 'A2:image_url' END, CASE WHEN why <> 'allowed' THEN 'A3' END, CASE WHEN i % 4 = 0 THEN 'A4' END, CASE WHEN i % 31 = 0 THEN 'A5:restrictions' END,
+    CASE WHEN i % 17 = 0 THEN 'A5:flagged' END, CASE WHEN i % 23 = 0 THEN 'A6:artist' END, CASE WHEN i % 6 = 0 THEN 'A7' END, CASE WHEN NOT coalesce(size BETWEEN 1 AND 100000, false) THEN 'A8' END, CASE WHEN i IN (7, 8) THEN 'A9' END
+  ] IF x IS NOT NULL], ',') AS reasons FROM b
+)
+SELECT i AS page_id, reasons = '' AS accepted, reasons FROM r
+""")
 def acquisition_policy(spark: SparkSession, d: str) -> DataFrame:
     """Pages as candidates under all rules A1 to A9."""
     i = F.col("page_id")
@@ -218,29 +238,59 @@ def boxes(spark: SparkSession, d: str, shift: int) -> DataFrame:
 
 
 BOXES = """
-t AS (SELECT l_orderkey AS image, CAST(l_linenumber AS INT) AS i, CAST(l_partkey * 7 % 50 AS DOUBLE) AS x, CAST(l_suppkey * 3 % 50 AS DOUBLE) AS y, l_quantity + 5 AS w, CAST(l_linenumber % 4 * 3 AS DOUBLE) AS m FROM lineitem WHERE l_orderkey % 8 < 4),
+t AS (SELECT l_orderkey AS image, CAST(l_linenumber AS INT) AS i, CAST(l_partkey * 7 % 50 AS DOUBLE) AS x, CAST(l_suppkey * 3 % 50 AS DOUBLE) AS y, l_quantity + 5 AS w, CAST(l_linenumber % 4 * 3 AS DOUBLE) AS m FROM lineitem),
 o AS (SELECT a.image, a.i, greatest(0, least(a.x + a.m + a.w, b.x + b.w) - greatest(a.x + a.m, b.x)) * greatest(0, least(a.y, b.y) + 20 - greatest(a.y, b.y)) AS inter, a.w * 20 + b.w * 20 AS area FROM t a JOIN t b USING (image))
 """
 
 
+GREEDY = """
+c AS (SELECT a.image, a.i AS pi, b.i AS ti, o.inter / (o.area - o.inter) AS iou, sqrt(pow(a.x + a.m + a.w / 2 - b.x - b.w / 2, 2) + pow(a.y - b.y, 2)) AS dist, greatest(b.w, 20) / 2 AS reach
+  FROM t a JOIN t b USING (image), LATERAL (SELECT greatest(0, least(a.x + a.m + a.w, b.x + b.w) - greatest(a.x + a.m, b.x)) * greatest(0, least(a.y, b.y) + 20 - greatest(a.y, b.y)) AS inter, a.w * 20 + b.w * 20 AS area) o),
+k AS (SELECT image, pi, ti, iou AS v, row_number() OVER (PARTITION BY image ORDER BY iou DESC, pi DESC, ti DESC) AS k FROM c WHERE iou >= 0.5),
+g(image, k, ps, ts, pi, ti, v, taken) AS (
+  SELECT image, k, [pi], [ti], pi, ti, v, true FROM k WHERE k = 1
+  UNION ALL
+  SELECT k.image, k.k, CASE WHEN list_contains(g.ps, k.pi) OR list_contains(g.ts, k.ti) THEN g.ps ELSE list_append(g.ps, k.pi) END, CASE WHEN list_contains(g.ps, k.pi) OR list_contains(g.ts, k.ti) THEN g.ts ELSE list_append(g.ts, k.ti) END,
+    k.pi, k.ti, k.v, NOT (list_contains(g.ps, k.pi) OR list_contains(g.ts, k.ti)) FROM g JOIN k ON k.image = g.image AND k.k = g.k + 1
+)
+"""
+CENTRE = """
+c AS (SELECT a.image, a.i AS pi, b.i AS ti, o.inter / (o.area - o.inter) AS iou, sqrt(pow(a.x + a.m + a.w / 2 - b.x - b.w / 2, 2) + pow(a.y - b.y, 2)) AS dist, greatest(b.w, 20) / 2 AS reach
+  FROM t a JOIN t b USING (image), LATERAL (SELECT greatest(0, least(a.x + a.m + a.w, b.x + b.w) - greatest(a.x + a.m, b.x)) * greatest(0, least(a.y, b.y) + 20 - greatest(a.y, b.y)) AS inter, a.w * 20 + b.w * 20 AS area) o),
+k AS (SELECT image, pi, ti, dist AS v, row_number() OVER (PARTITION BY image ORDER BY pi, dist, ti) AS k FROM c WHERE dist <= reach),
+g(image, k, ps, ts, pi, ti, v, taken) AS (
+  SELECT image, k, [pi], [ti], pi, ti, v, true FROM k WHERE k = 1
+  UNION ALL
+  SELECT k.image, k.k, CASE WHEN list_contains(g.ps, k.pi) OR list_contains(g.ts, k.ti) THEN g.ps ELSE list_append(g.ps, k.pi) END, CASE WHEN list_contains(g.ps, k.pi) OR list_contains(g.ts, k.ti) THEN g.ts ELSE list_append(g.ts, k.ti) END,
+    k.pi, k.ti, k.v, NOT (list_contains(g.ps, k.pi) OR list_contains(g.ts, k.ti)) FROM g JOIN k ON k.image = g.image AND k.k = g.k + 1
+)
+"""
+
+
 @query(f"WITH {BOXES} SELECT image, i, round(max(inter / (area - inter)), 9) AS best_iou FROM o GROUP BY image, i")
 def box_iou_best(spark: SparkSession, d: str) -> DataFrame:
     out = E.best_iou(boxes(spark, d, 3), boxes(spark, d, 0), "image", "i", "box")
     return out.withColumn("best_iou", F.round("best_iou", 9))
 
 
-@query()
+@query(f"WITH RECURSIVE {BOXES}, {GREEDY} SELECT image, pi AS pred_index, ti AS truth_index, round(v, 9) AS iou FROM g WHERE taken")
 def greedy_box_match(spark: SparkSession, d: str) -> DataFrame:
-    return E.greedy_match(boxes(spark, d, 3), boxes(spark, d, 0), "image", "i", "box")
+    return E.greedy_match(boxes(spark, d, 3), boxes(spark, d, 0), "image", "i", "box").withColumn("iou", F.round("iou", 9))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {BOXES}, {GREEDY}, n AS (SELECT image, count(*) AS n FROM t GROUP BY image), m AS (SELECT image, count(*) AS m, sum(v) AS s FROM g WHERE taken GROUP BY image),
+r AS (SELECT CAST(sum(coalesce(m, 0)) AS BIGINT) AS tp, CAST(sum(n - coalesce(m, 0)) AS BIGINT) AS fp, sum(s) AS s, count(*) FILTER (WHERE coalesce(m, 0) < n) AS n_missed_images FROM n LEFT JOIN m USING (image))
+SELECT tp, fp, fp AS fn, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fp), 9) AS recall, round(tp / (tp + fp), 9) AS f1, round(s / tp, 9) AS mean_iou, n_missed_images FROM r
+""")
 def detection_prf(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions and truth hold the same number of boxes, so false positives are as many as false negatives."""
     pred, truth = boxes(spark, d, 3), boxes(spark, d, 0)
-    return E.detection_report(E.greedy_match(pred, truth, "image", "i", "box"), pred, truth, "image")
+    out = E.detection_report(E.greedy_match(pred, truth, "image", "i", "box"), pred, truth, "image")
+    return out.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "mean_iou")], "n_missed_images")
 
 
-@query()
+@query(f"WITH RECURSIVE {BOXES}, {CENTRE} SELECT image, pi AS pred_index, ti AS truth_index FROM g WHERE taken")
 def glyph_centre_match(spark: SparkSession, d: str) -> DataFrame:
     b = lambda s: boxes(spark, d, s).select("image", "i", (F.col("box.x") + F.col("box.w") / 2).alias("cx"), (F.col("box.y") + F.col("box.h") / 2).alias("cy"), F.col("box.w").alias("w"), F.col("box.h").alias("h"))
     return E.centre_match(b(3), b(0), "image", "i")

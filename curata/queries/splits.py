@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curata.operators import splits
 from curata.operators.splits import deal_plan
 from curata.queries._registry import query, table
+from curata.queries.identity import SIMHASH, near_dup_components, representatives
 
 CLASSES, HELD_OUT = ["en", "fr", "de"], ["es"]
 NAMES, RATIOS = ["train", "val", "test"], [0.7, 0.15, 0.15]
@@ -120,14 +121,25 @@ def adopt_split(spark: SparkSession, d: str) -> DataFrame:
     return splits.adopt(docs, "source", "s")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {SIMHASH},
+e AS (SELECT item_a AS a, item_b AS b FROM p UNION SELECT item_b, item_a FROM p),
+r(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+mem AS (SELECT node AS g, min(root) AS c FROM r GROUP BY node),
+x AS (SELECT c.item AS g, CASE WHEN c.item % 10 < 7 THEN 'train' WHEN c.item % 10 < 9 THEN 'val' ELSE 'test' END AS was, d.lang AS l, mem.c FROM c JOIN documents d ON d.doc_id = c.item LEFT JOIN mem ON mem.g = c.item),
+n AS (SELECT c, was, count(*) AS n FROM x WHERE c IS NOT NULL GROUP BY c, was),
+h AS (SELECT c, was AS home FROM n QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC, list_position(['train', 'val', 'test'], was)) = 1),
+y AS (SELECT x.g, x.was, x.l, x.c, coalesce(h.home, x.was) AS now FROM x LEFT JOIN h USING (c)),
+d AS (SELECT l, q, sum(v) AS d FROM (SELECT l, now AS q, 1 AS v FROM y UNION ALL SELECT l, was, -1 FROM y) GROUP BY l, q HAVING sum(v) <> 0),
+slot AS (SELECT *, sum(abs(d)) OVER (PARTITION BY l, d > 0 ORDER BY q) AS upto FROM d),
+f AS (SELECT y.g, y.l, s.upto - s.d AS before, s.d AS d, row_number() OVER (PARTITION BY y.l, y.now ORDER BY sha256('7' || chr(31) || 'rebalance' || chr(31) || y.g), y.g) AS k FROM y JOIN slot s ON s.l = y.l AND s.q = y.now AND s.d > 0 WHERE y.c IS NULL),
+z AS (SELECT f.g, s.q AS dest FROM f JOIN slot s ON s.l = f.l AND s.d < 0 AND f.before + f.k > s.upto + s.d AND f.before + f.k <= s.upto WHERE f.k <= f.d)
+SELECT y.g AS item, y.was, coalesce(z.dest, y.now) AS partition FROM y LEFT JOIN z USING (g)
+""")
 def component_regroup(spark: SparkSession, d: str) -> DataFrame:
-    """Representatives of near-duplicate patterns, split by id, moved so that no component is divided."""
-    from curata.queries.identity import near_dup_components, representatives
-
+    """Representatives of near-duplicate patterns, split by id, moved so that no component is divided and no language's share of a partition changes."""
     m = F.col("item") % 10
-    start = representatives(spark, d).select("item", F.when(m < 7, "train").when(m < 9, "val").otherwise("test").alias("partition"))
+    langs = table(spark, d, "documents").select(F.col("doc_id").alias("item"), "lang")
+    start = representatives(spark, d).select("item", F.when(m < 7, "train").when(m < 9, "val").otherwise("test").alias("partition")).join(langs, "item")
     members = near_dup_components(spark, d).select(F.col("node").alias("item"), "component")
-    return splits.regroup(start, members, "item", "component", "partition")
-
-
+    return splits.regroup(start, members, "item", "component", "partition", "lang")

@@ -69,8 +69,15 @@ def systematic_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.every_kth(table(spark, d, "documents").select("doc_id", "lang"), ["doc_id"], 25, ["lang"])
 
 
-@query()
+@query("""
+WITH d AS (SELECT doc_id, lang, sha256(text) AS h FROM documents), g AS (SELECT lang, h, count(*) AS n FROM d GROUP BY lang, h), c AS (SELECT lang, count(*) AS n_h FROM g GROUP BY lang),
+w AS (SELECT doc_id, CAST(floor((1.0e0 / n_h / n) * 1099511627776) AS BIGINT) AS w FROM d JOIN g USING (lang, h) JOIN c USING (lang)),
+l AS (SELECT doc_id, w, CAST(sum(w) OVER (ORDER BY doc_id) AS BIGINT) AS upto FROM w WHERE w > 0),
+p AS (SELECT CAST('0x' || substr(md5('7|' || i), 1, 15) AS BIGINT) % (SELECT max(upto) FROM l) AS pt FROM (SELECT unnest(range(500)) AS i))
+SELECT doc_id, count(*) AS times FROM l JOIN p ON pt >= upto - w AND pt < upto GROUP BY doc_id
+""")
 def weighted_sampler(spark: SparkSession, d: str) -> DataFrame:
+    """500 draws of documents, each language and each text of it as likely as any other."""
     docs = table(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"))
     return sampling.weighted_sample(sampling.sample_weights(docs, "doc_id", "lang", "h"), "doc_id", "weight", 500)
 

@@ -1,7 +1,9 @@
 """Semantics that the tables do not show: rules one by one, traps, undefined values, matchers against brute force."""
 
+import collections
 import hashlib
 import json
+import math
 import random
 import unicodedata
 
@@ -12,6 +14,7 @@ from curata.functions import absence as A
 from curata.functions import scalars as S
 from curata.operators import annotations, evidence, identity, metrics, rules, sampling, splits
 from curata.operators.rules import Field
+from curata.plans import storage
 
 # -- absence -----------------------------------------------------------------------------------------------------------
 
@@ -66,7 +69,7 @@ def findings(spark, change, drop=(), export=False):
         ({"dating_basis": ["stratigraphy"], "context_reliability": "surface"}, (), [("R10", "context_reliability")]),
         ({"split": "excluded", "split_exclusion_reason": "not_available"}, (), [("R12", "split_exclusion_reason")]),
         ({"split": "test", "label_source": "project_annotation_unverified"}, (), [("R14", "label_source")]),
-        ({"inscription_regions": [{"x": 1100, "y": 0, "w": 400, "h": 10}]}, (), [("R13", "inscription_regions")]),
+        ({"inscription_regions": [{"x": 1100, "y": 0, "w": 400, "h": 10}]}, (), [("R13", "inscription_regions.0")]),
         ({"inscription_regions": [{"x": 1100, "y": 0, "w": 100, "h": 10}]}, (), []),
         ({"schema_version": "2.1"}, (), [("E4", "schema_version")]),
         ({"image_path": "..\\x"}, (), [("E3", "image_path"), ("E3", "image_path")]),
@@ -253,11 +256,11 @@ def test_fold_skips_conflicts_and_goes_on(spark):
 
 def test_years_and_ranges(spark):
     df = spark.createDataFrame([(-1, 1), (-150, 50), (50, 111), (1, 1)], "a int, b int")
-    out = df.select(S.years_between(F.col("a"), F.col("b")), S.century_of(F.col("a")), S.describe_centuries(F.col("a"), F.col("b"))).collect()
+    out = df.select(S.year_span(F.col("a"), F.col("b")), S.century_label(F.col("a")), S.centuries_label(F.col("a"), F.col("b"))).collect()
     assert [tuple(r) for r in out] == [(1, "1st century BCE", "1st century BCE – 1st century CE"), (199, "2nd century BCE", "2nd century BCE – 1st century CE"), (61, "1st century CE", "1st century CE – 2nd century CE"), (0, "1st century CE", "1st century CE")]
     p = spark.createDataFrame([("-300..-100",), ("5 to",), ("x",)], "t string").select(S.parse_range(F.col("t")).alias("r")).select("r.*").collect()
     assert [tuple(x) for x in p] == [(-300, -100), (5, None), (None, None)]
-    i = spark.createDataFrame([(1, None, None, 5), (1, 2, 3, 4)], "a int, b int, c int, d int").select(S.intersect(*map(F.col, "abcd")).alias("r")).collect()
+    i = spark.createDataFrame([(1, None, None, 5), (1, 2, 3, 4)], "a int, b int, c int, d int").select(S.common_range(*map(F.col, "abcd")).alias("r")).collect()
     assert tuple(i[0].r) == (1, 5) and i[1].r is None
 
 
@@ -316,9 +319,138 @@ def test_gates_fail_closed(spark):
 # -- samples -----------------------------------------------------------------------------------------------------------------------------
 
 
-def test_weighted_sample_is_by_weight(spark):
-    df = spark.createDataFrame([(i, 10.0 if i < 10 else 0.1) for i in range(1000)], "item long, w double")
+def plain_sample(weights, n, seed=7):
+    """Draw by draw: the first item whose running sum passes the digest's point."""
+    units = [(i, int(w * 2**40)) for i, w in sorted(weights) if w and w > 0]
+    total, times = sum(u for _, u in units), {}
+    for k in range(n):
+        point, upto = int(hashlib.md5(f"{seed}|{k}".encode()).hexdigest()[:15], 16) % total, 0
+        for i, u in units:
+            upto += u
+            if point < upto:
+                times[i] = times.get(i, 0) + 1
+                break
+    return times
+
+
+def test_weighted_sample_is_exact(spark):
+    weights = [(i, 10.0 if i < 10 else 0.1) for i in range(200)] + [(300, 0.0), (301, None), (302, -1.0)]
+    df = spark.createDataFrame(weights, "item long, w double")
     out = {r.item: r.times for r in sampling.weighted_sample(df, "item", "w", 2000).collect()}
-    assert 1700 < sum(out.values()) < 2300
-    assert 0.4 < sum(v for k, v in out.items() if k < 10) / sum(out.values()) < 0.6
-    assert sampling.weighted_sample(df.limit(0), "item", "w", 5).count() == 0
+    assert out == plain_sample(weights, 2000) == {r.item: r.times for r in sampling.weighted_sample(df.repartition(5), "item", "w", 2000).collect()}
+    assert sum(out.values()) == 2000 and 0.8 < sum(v for k, v in out.items() if k < 10) / 2000 < 0.9
+    few = spark.createDataFrame([(1, 3.0), (2, 1.0)], "item long, w double")
+    assert sum(r.times for r in sampling.weighted_sample(few, "item", "w", 6000).collect()) == 6000  # a mean of thousands a row
+    assert sampling.weighted_sample(df.limit(0), "item", "w", 5).count() == 0 and sampling.weighted_sample(df.where("w <= 0"), "item", "w", 5).count() == 0
+
+
+# -- regrouping ------------------------------------------------------------------------------------------------------------------------------
+
+
+def plain_regroup(rows, component, seed=7):
+    """One swap at a time until no class of a partition has more groups than at first. rows: group -> (label, partition)."""
+    order = ["train", "val", "test"]
+    now, want = {g: p for g, (_, p) in rows.items()}, collections.Counter((p, label) for label, p in rows.values())
+    comps = collections.defaultdict(list)
+    for g, c in component.items():
+        comps[c].append(g)
+    inside = set()
+    for gs in (gs for gs in comps.values() if len(gs) > 1):
+        inside.update(gs)
+        n = collections.Counter(rows[g][1] for g in gs)
+        home = min(n, key=lambda p: (-n[p], order.index(p)))
+        now.update(dict.fromkeys(gs, home))
+    while True:
+        have = collections.Counter((p, rows[g][0]) for g, p in now.items())
+        over = sorted(k for k in have if have[k] > want[k])
+        if not over:
+            return now
+        p, label = over[0]
+        to = sorted(q for q in order if have[q, label] < want[q, label])
+        donors = sorted((hashlib.sha256(f"{seed}\x1frebalance\x1f{g}".encode()).hexdigest(), g) for g in now if now[g] == p and rows[g][0] == label and g not in inside)
+        if not donors or not to:
+            raise ValueError
+        now[donors[0][1]] = to[0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_regroup_keeps_components_whole_and_counts_as_they_were(spark, seed):
+    r = random.Random(seed)
+    rows = {g: (r.choice("ab"), r.choices(["train", "val", "test"], weights=[7, 2, 2])[0]) for g in range(160)}
+    component = {g: g // 4 for g in range(24)} | {g: 100 + g % 3 for g in range(30, 42)} | {90: 500}
+    a = spark.createDataFrame([(g, label, p) for g, (label, p) in rows.items()], "g long, label string, p string")
+    m = spark.createDataFrame(list(component.items()), "g long, c long")
+    out = {x.g: x.partition for x in splits.regroup(a, m, "g", "c", "p", "label").collect()}
+    assert out == plain_regroup(rows, component)
+    tie = splits.regroup(spark.createDataFrame([(1, "a", "test"), (2, "a", "train"), (3, "a", "train"), (4, "a", "test")], "g long, label string, p string"), spark.createDataFrame([(1, 9), (2, 9)], "g long, c long"), "g", "c", "p", "label")
+    assert {x.g: x.partition for x in tie.collect()} == {1: "train", 2: "train", 3: "test", 4: "test"}
+    with pytest.raises(ValueError, match="restored"):
+        splits.regroup(spark.createDataFrame([(1, "a", "test"), (2, "a", "train")], "g long, label string, p string"), spark.createDataFrame([(1, 9), (2, 9)], "g long, c long"), "g", "c", "p", "label")
+
+
+# -- findings of the review ---------------------------------------------------------------------------------------------------------------------
+
+
+def test_each_region_outside_is_a_finding(spark):
+    record = {"image_width_px": 100, "image_height_px": 50, "inscription_regions": [{"x": 90, "y": 0, "w": 20, "h": 5}, {"x": 0, "y": 0, "w": 5, "h": 5}, {"x": 0, "y": 49, "w": 5, "h": 5}, {"x": 99.0, "y": 0, "w": 20, "h": 5}, "no region", {"x": 99, "y": 0, "w": 20}]}
+    df = spark.createDataFrame([(0, json.dumps(record))], "i int, raw string")
+    assert sorted(r.field for r in rules.record_findings(df, "i", "raw").where("rule = 'R13'").collect()) == ["inscription_regions.0", "inscription_regions.2"]
+
+
+def test_claim_report_takes_the_latest_record(spark):
+    claims = spark.createDataFrame([(1, "A  claim", ["r"]), (2, "other", ["r", "r"])], "claim_id long, statement string, ref_ids array<string>")
+    records = spark.createDataFrame([(1, None, "r", "unverified", 1), (1, None, "r", "verified_against_source", 2), (None, "OTHER", "r", "x", 5), (None, "other", "r", "y", 4)], "claim_id long, claim string, ref_id string, status string, seq int")
+    assert sorted(tuple(r) for r in evidence.claim_report(claims, records, "seq").collect()) == [(1, "r", "verified_against_source"), (2, "r", "x")]
+
+
+def test_a_minus_before_a_digit_is_no_formula(spark):
+    df = spark.createDataFrame([("-300..-100",), ("-300",), ("-a",), ("=1",), ("+1",), ("x",), (None,)], "s string")
+    assert [r[0] for r in df.select(S.safe_cell(F.col("s"))).collect()] == ["-300..-100", "-300", "'-a", "'=1", "'+1", "x", None]
+
+
+def test_temperature_against_a_fine_grid(spark):
+    r = random.Random(5)
+    rows = [(r.choices(range(3), weights=[0.5, 0.3, 0.2])[0], [0.8, 0.15, 0.05]) for _ in range(400)]
+    df = spark.createDataFrame(rows, "y int, p array<double>")
+
+    def nll(t):
+        total = 0.0
+        for y, p in rows:
+            e = [x ** (1 / t) for x in p]
+            total -= math.log(e[y] / sum(e))
+        return total / len(rows)
+
+    best = min((nll(t / 100), t / 100) for t in range(50, 600))[1]
+    assert abs(metrics.fit_temperature(df, "y", "p") - best) < 0.02
+
+
+@pytest.mark.parametrize(("distance", "agree"), [(0, 1), (3, 2), (6, 3), (12, 2)])
+def test_near_pairs_are_all_pairs(spark, distance, agree):
+    r = random.Random(distance)
+    patterns = [r.getrandbits(64) for _ in range(40)]
+    for p in patterns[:20]:
+        for k in (1, 3, 6, 7, 12, 13):
+            q = p
+            for b in r.sample(range(64), k):
+                q ^= 1 << b
+            patterns.append(q)
+    rows = [(i, i % 50, p - (1 << 64) if p >= 1 << 63 else p) for i, p in enumerate(patterns)] + [(900, 3, None)]
+    want = sorted((i, j, d) for i, gi, p in rows[:-1] for j, gj, q in rows[:-1] if i < j and gi != gj and (d := bin((p ^ q) & (1 << 64) - 1).count("1")) <= distance)
+    assert sorted(tuple(x) for x in identity.near_pairs(spark.createDataFrame(rows, "i long, g long, b long"), "i", "g", "b", distance, agree=agree).collect()) == want
+
+
+def test_storage_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
+    class Conf(dict):
+        def get(self, key, default=None):
+            return default
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        storage.shared_dir(Cluster(), "x")
+    df = storage.materialize(spark.range(3), "gone")
+    assert df.count() == 3 and storage.discard(spark) >= 1
+    with pytest.raises(Exception, match="(?i)not.*exist|FAILED_READ_FILE|file"):
+        df.collect()
