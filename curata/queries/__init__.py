@@ -1,6 +1,6 @@
 """Operators bound to the driver's tables: name -> query, and name -> the same in DuckDB's SQL."""
 
-from curata.queries import annotations, evidence, identity, metrics, records, splits, stats
+from curata.queries import annotations, evidence, governance, identity, metrics, records, splits, stats
 from curata.queries._registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "annotations", "evidence", "identity", "metrics", "records", "splits", "stats"]
+__all__ = ["ORACLES", "QUERIES", "annotations", "evidence", "governance", "identity", "metrics", "records", "splits", "stats"]
