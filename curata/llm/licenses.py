@@ -132,7 +132,7 @@ def _rule(label: str, phrase: bytes, keywords: tuple[str, ...], priority: int, c
     return Rule(label, re.compile(LEFT + b"(?:" + phrase + b")" + RIGHT, re.DOTALL), tuple(k.encode() for k in keywords), priority, confidence)
 
 
-def rules() -> list[Rule]:
+def rules(written: list[tuple[str, str, str, str]]) -> list[Rule]:
     """The ordered rules: SPDX tags, versioned and bare names, Creative Commons parts and addresses, signatures."""
     out: list[Rule] = []
     version = lambda v: rb"(?:" + SEP + rb"(?:version|v))?" + SEP.replace(b"]+", b"]*") + rb"v?" + re.escape(v.encode()) + rb"(?:\.0)?"
@@ -164,14 +164,14 @@ def rules() -> list[Rule]:
         out.append(_rule(f"cc-{suffix}", b"creative" + SEP + b"commons" + SEP + _words(spelled), ("creative",), 70, 0.85))
         out.append(_rule(f"cc-{suffix}", b"creativecommons\\.org/licenses/" + suffix.encode(), ("creativecommons",), 75, 0.95))
         out.append(_rule(f"cc-{suffix}", b"cc" + SEP + _words(suffix.replace("-", " ")), ("cc",), 50, 0.7))
-    for label, key, weight, phrase in signatures():
+    for label, key, weight, phrase in written:
         out.append(_rule(label, _words(phrase), (key,), *WEIGHTS[weight]))
     return out
 
 
 class Scanner:
-    def __init__(self) -> None:
-        self.rules = rules()
+    def __init__(self, written: list[tuple[str, str, str, str]] | None = None) -> None:
+        self.rules = rules(signatures() if written is None else written)
         self.keywords = sorted({k for r in self.rules for k in r.keywords})
         words = {k: k.replace(b"-", b" ").split() for k in self.keywords}
         self.whole = {w: re.compile(LEFT + re.escape(w) + RIGHT).search for ws in words.values() for w in ws if len(w) <= 4}
@@ -242,8 +242,9 @@ SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_label
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: word count, base places, labels and the confidence of the surest detection. One pass, no shuffle."""
-    return _base.map_texts(docs, Scanner, SCHEMA, [id_col], [text_col])
+    """One row for each document: word count, base places, labels and the confidence of the surest detection. One pass, no shuffle; the driver reads the signatures, which travel with the task."""
+    written = signatures()
+    return _base.map_texts(docs, lambda: Scanner(written), SCHEMA, [id_col], [text_col])
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
