@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 
@@ -72,15 +75,35 @@ def resolve(log: DataFrame, item: str, kind: str, state: str, label: str, adjudi
     return out.select(item, "status", value.alias("label"), (F.col("status").isin("adjudicated", "expert_label") & value.isNotNull()).alias("ground_truth"))
 
 
-def chain(lines: Column) -> Column:
-    """The head of a ledger over an array of lines in order: each link is the digest of the last head and the line's digest. Sequential by its nature; one log a row."""
-    return F.aggregate(lines, F.lit(GENESIS), lambda acc, x: F.sha2(F.concat(acc, F.sha2(x, 256)), 256))
-
-
 def ledger_heads(df: DataFrame, log: str, order: Sequence[str], line: str) -> DataFrame:
-    """log, n_lines, head for each log."""
-    sorted_lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(line).alias("__line")))), lambda x: x["__line"])
-    return df.groupBy(log).agg(sorted_lines.alias("xs")).select(log, F.size("xs").alias("n_lines"), chain(F.col("xs")).alias("head"))
+    """log, n_lines, head for each log: each link is the digest of the last head and the line's digest, from GENESIS on. A null line counts as an empty one, a null log is a log.
+
+    A chain is sequential by its nature: lines' digests, not lines, are sorted within their logs and streamed, so a task holds one head, however long a log is.
+    """
+    rows = df.select(F.col(log), *[F.col(c).alias(f"__{i}") for i, c in enumerate(order)], F.sha2(F.coalesce(F.col(line).cast("string"), F.lit("")), 256).alias("__digest"))
+    keys = [f"__{i}" for i in range(len(order))]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, head = None, 0, GENESIS
+        for b in batches:
+            done: list[tuple[object, int, str]] = []
+            for k, digest in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if n and k != now:
+                    done.append((now, n, head))
+                    n, head = 0, GENESIS
+                now, n, head = k, n + 1, hashlib.sha256((head + digest).encode()).hexdigest()
+            if done:
+                yield made(b.schema.field(0), done)
+            field = b.schema.field(0)
+        if n:
+            yield made(field, [(now, n, head)])
+
+    def made(field: pa.Field, done: list[tuple[object, int, str]]) -> pa.RecordBatch:
+        of, counts, heads = zip(*done, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(of, field.type), pa.array(counts, pa.int32()), pa.array(heads)], names=[log, "n_lines", "head"])
+
+    sorted_rows = rows.repartition(log).sortWithinPartitions(log, *keys, "__digest").select(log, "__digest")
+    return sorted_rows.mapInArrow(link, T.StructType([df.select(log).schema[0], T.StructField("n_lines", T.IntegerType()), T.StructField("head", T.StringType())]))
 
 
 def verify_ledger(df: DataFrame, log: str, order: Sequence[str], line: str, entries: DataFrame) -> DataFrame:
@@ -91,6 +114,20 @@ def verify_ledger(df: DataFrame, log: str, order: Sequence[str], line: str, entr
     return now.join(sealed, log, "full_outer").select(log, "n_lines", "sealed_n", status.alias("status"))
 
 
+def append_sealed(df: DataFrame, log: str, order: Sequence[str], line: str, entries: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all lines, entries that seal them) with the new lines behind those of their logs; raises, naming a few, if a log is not as its entry sealed it, or a new line holds a line break.
+
+    Nothing is written here: both tables are to be written together.
+    """
+    broken = [r[log] for r in verify_ledger(df, log, order, line, entries).where("status NOT IN ('INTACT', 'EMPTY')").select(log).limit(5).collect()]
+    if broken:
+        raise ValueError(f"logs that are not as they were sealed: {broken}")
+    if not new.where(F.col(line).contains("\n")).isEmpty():
+        raise ValueError("a line holds a line break")
+    both = df.unionByName(new)
+    return both, ledger_heads(both, log, order, line)
+
+
 def promotion_plan(votes: DataFrame, item: str, fields: Sequence[str], records: DataFrame) -> DataFrame:
     """item, field, before, after for each field on which all votes agree (null votes do not count) and the record differs."""
     g = votes.groupBy(item).agg(*[F.struct(F.count_distinct(f).alias("n"), F.min(f).cast("string").alias("v")).alias(f"__{f}") for f in fields])

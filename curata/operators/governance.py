@@ -147,6 +147,22 @@ def knowledge_problems(references: DataFrame, entries: DataFrame, statuses: Sequ
     return out.unionByName(problems(cited, "id", [("K3", "unknown reference", c("__there").isNull()), ("K8", "verified against a placeholder", (c("__res") == "unresolved") & (c("a.verification_status") == VERIFIED))])).distinct()
 
 
+def knowledge_claims(entries: DataFrame, positions: DataFrame) -> DataFrame:
+    """claim_id, ref_ids, statement, recorded_in: all that cites a reference, from entries themselves (id, kind, reference_ids, printed), their assertions (array of struct(reference_ids, statement)) and configured positions (id, reference, label)."""
+    own = entries.where(c("reference_ids").isNotNull()).select(c("id").alias("claim_id"), c("reference_ids").alias("ref_ids"), F.coalesce(F.nullif("printed", F.lit("")), "id").alias("statement"), F.concat(F.lit("knowledge/"), "kind").alias("recorded_in"))
+    each = entries.select("id", "kind", F.posexplode("assertions").alias("i", "a"))
+    said = each.select(F.concat("id", F.lit(".assertions["), c("i").cast("string"), F.lit("]")).alias("claim_id"), F.coalesce("a.reference_ids", F.array().cast("array<string>")).alias("ref_ids"), F.coalesce("a.statement", F.lit("")).alias("statement"), F.concat(F.lit("knowledge/"), "kind").alias("recorded_in"))
+    config = positions.select(F.concat(F.lit("config:position_"), "id").alias("claim_id"), F.array("reference").alias("ref_ids"), c("label").alias("statement"), F.lit("config").alias("recorded_in"))
+    return own.unionByName(said).unionByName(config)
+
+
+def source_problems(entries: DataFrame, positions: DataFrame, references: DataFrame) -> DataFrame:
+    """K5: verified without who and when (entries: id, verification_status, verified_by, verified_on). K7: a configured position (id, reference) that cites a reference that is not held (references: id)."""
+    out = problems(entries, "id", [("K5", "verified_by and verified_on", (c("verification_status") == VERIFIED) & (~real(c("verified_by")) | ~real(c("verified_on").cast("string"))))])
+    held = references.select(c("id").alias("reference")).distinct().withColumn("__there", F.lit(True))
+    return out.unionByName(problems(positions.join(held, "reference", "left"), "id", [("K7", "unknown reference", c("__there").isNull())]))
+
+
 def verification_problems(v: DataFrame, references: DataFrame, claims: DataFrame, today: Column) -> DataFrame:
     """V2 to V9 and K6. v: verification_id, ref_id, claim_id, claim, status, verifier, verifier_role, verification_date, locator, source_location, source_access, notes, supersedes."""
     refs = references.select(c("id").alias("ref_id"), c("resolution").alias("__res"), F.lit(True).alias("__there")).dropDuplicates(["ref_id"])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.operators import annotations as A
+from curata.operators import governance as G
 from curata.operators import reports as R
 from curata.queries._registry import query, table
 from curata.queries.annotations import RATINGS, ratings
@@ -174,3 +175,30 @@ def acquisition_plan(spark: SparkSession, d: str) -> DataFrame:
     described = o.where("title % 10 <> 0").select("title", F.col("title").alias("image_id"), F.floor("o_totalprice").alias("size_bytes"), fine.alias("accepted"), F.when(~fine, "license").alias("why"))
     registry = o.where("title % 9 = 0").select(F.col("title").alias("image_id"))
     return R.acquisition_plan(o.select(F.col("o_custkey").alias("batch"), "title"), described, registry, "batch", "title", 1_500_000)
+
+
+def knowledge(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Parts as entries of a brand, brands as references, nations as configured positions."""
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    said = F.struct(F.array(brand).alias("reference_ids"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("statement"))
+    entries = table(spark, d, "part").select(
+        F.concat(F.lit("p"), k.cast("string")).alias("id"), F.col("p_type").alias("kind"), F.when(k % 3 != 0, F.array(brand)).alias("reference_ids"), F.when(k % 4 != 0, F.col("p_name")).otherwise("").alias("printed"),
+        F.when(k % 5 != 0, F.array(said)).alias("assertions"), F.when(k % 2 == 0, "verified_against_source").otherwise("unverified").alias("verification_status"), F.when(k % 6 != 0, "me").alias("verified_by"), F.when(k % 7 != 0, "2024-01-01").otherwise("unknown").alias("verified_on"))
+    n = F.col("n_nationkey").cast("string")
+    return entries, table(spark, d, "nation").select(n.alias("id"), F.concat(F.lit("Brand#"), n).alias("reference"), F.col("n_name").alias("label"))
+
+
+@query("""
+SELECT 'p' || p_partkey AS claim_id, p_brand AS refs, CASE WHEN p_partkey % 4 <> 0 THEN p_name ELSE 'p' || p_partkey END AS statement, 'knowledge/' || p_type AS recorded_in FROM part WHERE p_partkey % 3 <> 0
+UNION ALL SELECT 'p' || p_partkey || '.assertions[0]', p_brand, 'size ' || p_size, 'knowledge/' || p_type FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT 'config:position_' || n_nationkey, 'Brand#' || n_nationkey, n_name, 'config' FROM nation
+""")
+def knowledge_claims(spark: SparkSession, d: str) -> DataFrame:
+    return G.knowledge_claims(*knowledge(spark, d)).select("claim_id", F.array_join("ref_ids", ",").alias("refs"), "statement", "recorded_in")
+
+
+@query("""
+SELECT 'p' || p_partkey AS id, 'K5' AS rule FROM part WHERE p_partkey % 2 = 0 AND (p_partkey % 6 = 0 OR p_partkey % 7 = 0) UNION ALL SELECT CAST(n_nationkey AS VARCHAR), 'K7' FROM nation WHERE 'Brand#' || n_nationkey NOT IN (SELECT p_brand FROM part)
+""")
+def knowledge_sources(spark: SparkSession, d: str) -> DataFrame:
+    entries, positions = knowledge(spark, d)
+    return G.source_problems(entries, positions, table(spark, d, "part").select(F.col("p_brand").alias("id"))).select("id", "rule")

@@ -135,3 +135,18 @@ def latest_by_key(sidecars: DataFrame, key: str, order: str) -> DataFrame:
     """One row a key, that of the last by order."""
     rest = [c for c in sidecars.columns if c != key]
     return sidecars.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
+
+
+def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Predictions from JSON lines; one without an image_id, or that is no JSON, raises as it is read. ``schema`` names image_id among its columns."""
+    rows = spark.read.schema(schema).json(path, mode="FAILFAST")
+    missing = F.raise_error(F.lit("a prediction without image_id")).cast(rows.schema["image_id"].dataType)
+    return rows.withColumn("image_id", F.when(F.col("image_id").isNotNull(), F.col("image_id")).otherwise(missing))
+
+
+def export_annotations(current: DataFrame, path: str, tier: str, order: Sequence[str], fields: Sequence[str]) -> None:
+    """Current annotations twice: whole as JSON lines with sorted keys, and as CSV in ``order``, the tier first and whether it is a prediction second, cells guarded, null and nested ones as text."""
+    write_jsonl(current, f"{path}/annotations_current.jsonl", [])
+    text = lambda f: F.coalesce(F.col(f).cast("string") if "struct" not in current.schema[f].dataType.simpleString() else F.to_json(f), F.lit(""))
+    rows = current.orderBy(*order).select(F.col(tier).alias("provenance_tier"), (F.col(tier) == "ai_prediction").cast("string").alias("is_ai_output"), *[text(f).alias(f) for f in fields])
+    write_csv(rows, f"{path}/annotations_current.csv", ["provenance_tier", "is_ai_output", *fields], guard=True)
