@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from curata.llm import bpe, chat, dedup, licenses, media, mixing, pii, quality, secrets, topk
+from curata.llm import bpe, centroids, chat, dedup, licenses, media, mixing, pii, quality, secrets, tokens, topk, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1_quality,
@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": secrets.op8_secrets,
     "op9_bpe": bpe.op9_bpe,
     "op10_top_k": topk.op10_top_k,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_token_counts": tokens.op12_token_counts,
+    "op13_whitening": whitening.op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -27,6 +30,7 @@ ORACLES: dict[str, str] = {
     "op3_mixture": mixing.ORACLE,
     "op4_chat_perspectives": chat.ORACLE,
     "op10_top_k": topk.ORACLE,
+    "op11_centroids": centroids.ORACLE,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
