@@ -72,7 +72,7 @@ class Centroids:
             products = (v.astype(np.float32) @ self.single.T).astype(np.float64)
             norms = np.sqrt((v * v).sum(axis=1)) * (1 + 1e-12)
             scale = norms[:, None] * self.norms
-            middle = self.squares - 2 * products
+            middle = np.where(np.isfinite(products), self.squares - 2 * products, np.nan)
             # 2**-49 of all that was added: the doubles' own rounding
             slack = 2 * self.share * scale + 2.0**-49 * (self.squares + 2 * scale) + 1e-300
             low, high = middle - slack, middle + slack

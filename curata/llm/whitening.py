@@ -239,7 +239,8 @@ def eigen(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = 2 * (np.abs(s - np.diag(e)).sum(axis=1).max() + np.abs(r).sum(axis=1).max())
         gap = e[None, :] - e[:, None]
         apart = np.abs(gap) > near
-        x = x + x @ np.where(apart, (s + e[None, :] * r) / np.where(apart, gap, 1), r / 2)
+        turn = np.where(apart, (s + e[None, :] * r) / np.where(apart, gap, 1), 0)
+        x = x + x @ (r / 2 + (turn - turn.T) / 2)  # the step's symmetric part is r / 2; a small gap must not blur it
     x = x / np.sqrt((x * x).sum(axis=0))
     e = np.maximum((x * (a @ x)).sum(axis=0), 0)
     order = np.argsort(-e, kind="stable")
