@@ -2,8 +2,8 @@
 
 A rule is a regex with a label, a priority and a confidence. Most are written by hand, one for each clause or name, in ``license_signatures.tsv``; the others are
 versioned names, tags and addresses from the tables below. A text is lower-cased (A-Z) once; a rule's regex runs only if the words of
-one of its keywords occur (one of four bytes or fewer as a whole word). Overlapping detections are resolved: one that lies within a detection of higher priority (or of
-equal priority that is longer, or as long and earlier in rule order) is suppressed. A gap in a signature is 1 to ``GAP`` bytes. The base phrases are reported at every place, and their labels are never
+one of its keywords occur (one of four bytes or fewer at the start of a word, as in gplv2; every match of every rule holds a keyword of its own so). Overlapping detections are resolved: one that lies within a detection of higher priority (or of
+equal priority that is longer, or as long and earlier in rule order) is suppressed. A gap in a signature is 1 to ``GAP`` bytes between words. The base phrases are reported at every place, and their labels are never
 suppressed.
 
 Defined cases: a null or empty text has 0 words, no places, empty labels and score 0. Repeated rows give repeated results.
@@ -68,7 +68,7 @@ FAMILIES = [
     ("unlicense", "the unlicense", (), ("unlicense",)),
     ("wtfpl", "wtfpl|do what the fuck you want to public licen[cs]e", ("1", "2"), ("wtfpl", "do what the fuck")),
     ("bsd", "bsd licen[cs]e|bsd style licen[cs]e|berkeley software distribution licen[cs]e", (), ("bsd", "berkeley")),
-    ("bsd-2", "simplified bsd licen[cs]e|freebsd licen[cs]e|2 clause bsd licen[cs]e|two clause bsd licen[cs]e|bsd 2 clause", (), ("bsd",)),
+    ("bsd-2", "simplified bsd licen[cs]e|freebsd licen[cs]e|2 clause bsd licen[cs]e|two clause bsd licen[cs]e|bsd 2 clause", (), ("bsd", "freebsd")),
     ("bsd-3", "new bsd licen[cs]e|modified bsd licen[cs]e|revised bsd licen[cs]e|3 clause bsd licen[cs]e|three clause bsd licen[cs]e|bsd 3 clause", (), ("bsd",)),
     ("bsd-4", "original bsd licen[cs]e|4 clause bsd licen[cs]e|bsd 4 clause", (), ("bsd",)),
     ("qpl", "q public licen[cs]e", ("1.0",), ("q public",)),
@@ -79,7 +79,7 @@ FAMILIES = [
     ("mulan", "mulan permissive software licen[cs]e|mulan psl", ("1", "2"), ("mulan",)),
     ("openssl", "openssl licen[cs]e", (), ("openssl",)),
     ("w3c", "w3c software notice and licen[cs]e|w3c licen[cs]e", (), ("w3c",)),
-    ("rail", "open rail m|openrail|creativeml open rail m|responsible ai licen[cs]e", (), ("rail", "responsible ai")),
+    ("rail", "open rail m|openrail|creativeml open rail m|responsible ai licen[cs]e", (), ("rail", "openrail", "responsible ai")),
 ]
 
 # Creative Commons parts: label suffix, spelled-out name.
@@ -125,7 +125,7 @@ class Rule:
 
 def _words(phrase: str) -> bytes:
     parts = re.split(r"( \?| \* | )", phrase)
-    return b"".join({" ?": SEP.replace(b"]+", b"]*"), " * ": b".{1,%d}?" % GAP, " ": SEP}.get(x, x.encode()) for x in parts)
+    return b"".join({" ?": SEP.replace(b"]+", b"]*"), " * ": RIGHT + b".{1,%d}?" % GAP + LEFT, " ": SEP}.get(x, x.encode()) for x in parts)
 
 
 def _rule(label: str, phrase: bytes, keywords: tuple[str, ...], priority: int, confidence: float) -> Rule:
@@ -153,7 +153,7 @@ def rules(written: list[tuple[str, str, str, str]]) -> list[Rule]:
         if label != "boost":  # its identifier, bsl, is another's without the version
             out.append(_rule(label, spdx + tag, ("spdx",), 90, 1.0))
         out.append(_rule(label, field + tag, (label.split("-")[0],), 70, 0.9))
-        out.append(_rule(label, rb"(?:licen[cs]ed|released|distributed|available|provided)" + SEP + rb"under" + SEP + rb"(?:the|a|an)?" + SEP.replace(b"]+", b"]*") + name, keys, 60, 0.9))
+        out.append(_rule(label, rb"(?:licen[cs]ed|released|distributed|available|provided)" + SEP + rb"under" + SEP + rb"(?:(?:the|an?)" + SEP + rb")?" + name, keys, 60, 0.9))
         bare = LONG_NAMES.get(label, names)
         if bare:
             out.append(_rule(label, b"|".join(_words(n) for n in bare.split("|")), keys, 40, 0.6))
@@ -161,6 +161,7 @@ def rules(written: list[tuple[str, str, str, str]]) -> list[Rule]:
         for v in CC_VERSIONS:
             out.append(_rule(f"cc-{suffix}-{v}", b"(?:cc|creative" + SEP + b"commons)" + SEP + _words(suffix.replace("-", " ")) + SEP + re.escape(v.encode()), ("cc", "creative"), 85, 0.95))
             out.append(_rule(f"cc-{suffix}-{v}", b"creative" + SEP + b"commons" + SEP + _words(spelled) + b"(?:" + SEP + b"(?:international|unported|generic|public" + SEP + b"licen[cs]e|licen[cs]e))*" + SEP + re.escape(v.encode()), ("creative",), 85, 0.95))
+            out.append(_rule(f"cc-{suffix}-{v}", _words(spelled) + SEP + re.escape(v.encode()) + SEP + b"(?:international|unported|generic)", ("attribution",), 84, 0.9))
         out.append(_rule(f"cc-{suffix}", b"creative" + SEP + b"commons" + SEP + _words(spelled), ("creative",), 70, 0.85))
         out.append(_rule(f"cc-{suffix}", b"creativecommons\\.org/licenses/" + suffix.encode(), ("creativecommons",), 75, 0.95))
         out.append(_rule(f"cc-{suffix}", b"cc" + SEP + _words(suffix.replace("-", " ")), ("cc",), 50, 0.7))
@@ -174,7 +175,7 @@ class Scanner:
         self.rules = rules(signatures() if written is None else written)
         self.keywords = sorted({k for r in self.rules for k in r.keywords})
         words = {k: k.replace(b"-", b" ").split() for k in self.keywords}
-        self.whole = {w: re.compile(LEFT + re.escape(w) + RIGHT).search for ws in words.values() for w in ws if len(w) <= 4}
+        self.starts = {w: re.compile(LEFT + re.escape(w)).search for ws in words.values() for w in ws if len(w) <= 4}
         # one pass finds the longest word of each keyword; the keyword's other words are looked up only then
         self.longest: dict[str, list[tuple[bytes, list[bytes]]]] = {}
         for k, ws in words.items():
@@ -193,7 +194,7 @@ class Scanner:
     def present(self, text: bytes) -> list[bytes]:
         """The keywords that a lower-cased text holds."""
         seen = {w for _, w in self.anchors.iter(text.decode("latin-1"))}
-        return sorted(k for w in seen for k, ws in self.longest[w] if all(x in text and (x not in self.whole or self.whole[x](text)) for x in ws))
+        return sorted(k for w in seen for k, ws in self.longest[w] if all(x in text and (x not in self.starts or self.starts[x](text)) for x in ws))
 
     def detections(self, text: bytes) -> list[tuple[int, int, Rule]]:
         """What the rules find in a lower-cased text, overlaps resolved, by start."""

@@ -57,11 +57,56 @@ def test_each_rule_has_a_keyword_that_its_matches_hold():
         assert all(w in sure or w == "licen" or any(all(w in x for x in g) for g in groups) for w in key.split()), (label, key, phrase)
 
 
+def spelling(parsed, r):
+    """A random string of bytes that a parsed pattern matches; tests of what stands around it are left to the caller."""
+    out = b""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += bytes([arg])
+        elif op == "ANY":
+            out += r.choice([b"x", b" ", b"7"])
+        elif op == "IN":
+            lo, hi = r.choice([a if str(o) == "RANGE" else (a, a) for o, a in arg])
+            out += bytes([r.choice([c for c in (*b" -/.,:_\n", lo, hi) if lo <= c <= hi])])
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, body = arg
+            out += b"".join(spelling(body, r) for _ in range(r.choice([least, least, min(most, least + 1), min(most, least + 3)])))
+        elif op == "BRANCH":
+            out += spelling(r.choice(arg[1]), r)
+        elif op == "SUBPATTERN":
+            out += spelling(arg[3], r)
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+    return out
+
+
+def test_the_keywords_lose_no_match_of_any_rule():
+    """Some sixty random spellings of each rule: no separator before a version, v and digit, hyphen, slash."""
+    scanner, r = licenses.Scanner(), random.Random(8)
+    for rule in scanner.rules:
+        parsed, tried = re._parser.parse(rule.pattern.pattern, re.DOTALL), 0
+        for _ in range(60):
+            text = spelling(parsed, r)
+            if rule.pattern.search(text):  # what stands around it holds too
+                tried += 1
+                assert set(scanner.present(text)) & set(rule.keywords), (rule.label, rule.keywords, text)
+        assert tried, rule
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("GPLv2 or later", "gpl-2"), ("gplv3", "gpl-3"), ("lgplv3", "lgpl-3"), ("Licensed under AGPLv3", "agpl-3"), ("eupl1.2", "eupl-1.2"), ("MIT/X11", "mit-x11"), ("Attribution-ShareAlike 4.0 International", "cc-by-sa-4.0"),
+    ("X11 License", "x11"), ("Attribution-NonCommercial-NoDerivs 3.0 Unported", "cc-by-nc-nd-3.0"),
+])
+def test_names_joined_to_their_versions(text, label):
+    assert label in licenses.Scanner()(text)[5].split(",")
+
+
 def test_labels_on_documents_are_those_of_all_rules(spark):
     """Without keywords, each rule run over each text, overlaps resolved pair by pair."""
     scanner = licenses.Scanner()
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
-    extra = ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy", "cc by-nc-sa 4.0 all rights reserved gpl-3"]
+    extra = ["Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy", "cc by-nc-sa 4.0 all rights reserved gpl-3", "GPLv2, lgplv3 and AGPLv3, eupl1.2, mplv2 CC-BY-SA-3.0 mit/x11"]
     for t in [*(r.text for r in rows), *extra]:
         raw = (t or "").encode().lower()
         found = [(m.start(), m.end(), i) for i, rule in enumerate(scanner.rules) for m in rule.pattern.finditer(raw)]
