@@ -11,6 +11,12 @@ ab, and the next merge to take a token across that edge has as right operand a t
 operand or product lies on the left spine of b. Tokens that end at least that far before the end of what has been read are
 stable. A boundary that no merge crosses separates the two sides, so what follows is encoded afresh from there.
 
+**Reach on what has been read.** D is a worst case (667 symbols here); what may really still change is far less. Where every product has one merge, of higher rank than those of its operands, merges happen in
+the order of their ranks, so a rank serves as a time. Compare the run on what has been read with that on any continuation: up to an edge, at first the end, they agree. The edge e can only be crossed by a merge (a, b),
+a being the token that ends at e at that time (known: the left side is the same in both), in the run on what has been read (known), or in the other by a token b that starts at e: one that agrees with
+what has been read to its own end f or beyond the last symbol. Where the edge once lay behind f and f had been merged away by then, b cannot be. ``Vocabulary.edge`` takes the lowest such rank not below the present one, moves the edge to the
+start of a, and goes on until no rank is left: whatever follows, the tokens before the last edge stay. A transducer does this each time that ``WINDOW`` symbols wait; D bounds what can ever wait.
+
 **Streaming.** A text is read in parts of ``PART`` characters, cut after white space, or, in a run of text without any, where no
 normalisation and no special token crosses the cut; a word that such a cut leaves open goes on in the next part. Every word, of any length, goes through one
 ``Transducer``; a table in front of it holds what it gave for words seen before. Ids go to the digest and the decoder part by part. Memory, besides the text as
@@ -25,10 +31,12 @@ Defined cases: null and empty texts give no ids and the empty string's digests.
 from __future__ import annotations
 
 import array
+import bisect
 import codecs
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import sys
 import unicodedata
@@ -54,6 +62,8 @@ MASK = (1 << BITS) - 1
 NONE = 1 << 62
 #: Symbols among which a search is faster than a heap.
 FEW = 24
+#: Symbols of an open word after which its stable tokens are looked for.
+WINDOW = 12
 #: Places in a window fit in so many bits.
 PLACES = 32
 # Letters and numbers that Unicode 16 added, and the lower case of capitals that it and Unicode 17 added.
@@ -113,6 +123,59 @@ class Vocabulary:
         self.final = [self.ids.get(c + self.suffix) for c in alphabet]
         self.length = {i: len(s.removesuffix(self.suffix)) if self.suffix and s != self.suffix else len(s) for s, i in self.ids.items()}
 
+        self.symbol = {i: s for s, i in self.ids.items() if len(s) == 1}
+        made = {f & MASK: f >> BITS for f in self.merge.values()}
+        self.in_order = len(made) == len(self.merge) and all(max(made.get(p >> BITS, -1), made.get(p & MASK, -1)) < f >> BITS for p, f in self.merge.items())
+        self.right: dict[int, list[tuple[int, int]]] = {}
+        for pair, f in self.merge.items():
+            self.right.setdefault(pair >> BITS, []).append((f >> BITS, pair & MASK))
+        self.begun: dict[int, tuple[int, dict[str, list[int]]]] = {}
+
+    def onward(self, a: int) -> tuple[int, dict[str, list[int]]]:
+        """Of the right operands of a's merges: the most symbols, and, for each proper beginning of some, the ranks of those merges, rising."""
+        if a not in self.begun:
+            most, begun = 0, {}
+            for rank, b in sorted(self.right.get(a, ())):
+                most = max(most, n := self.length[b])
+                name = self.surface[b]
+                for i in range(n):
+                    begun.setdefault(name[:i], []).append(rank)
+            self.begun[a] = most, begun
+        return self.begun[a]
+
+    def crossing(self, a: int, text: str, e: int, now: int, gone: list[int], passed: list[int]) -> int:
+        """The lowest rank, ``now`` or higher, of a merge of a with what may start at e in some continuation; NONE if there is none."""
+        most, begun = self.onward(a)
+        n, best = len(text), NONE
+        for f in range(e + 1, min(e + most, n) + 1):
+            if f == n or gone[f] >= passed[f]:
+                b = self.ids.get(text[e:f])
+                if b is not None and now <= (rank := self.merge.get(a << BITS | b, NONE) >> BITS) < best:
+                    best = rank
+        if n - e < most and (ranks := begun.get(text[e:])) and (i := bisect.bisect_left(ranks, now)) < len(ranks):
+            best = min(best, ranks[i])
+        return best
+
+    def edge(self, text: str, gone: list[int]) -> int:
+        """How far the tokens of ``text``, the symbols of an open word, are those of any continuation. gone: the rank that merged each boundary away, or NONE."""
+        e, now, passed = len(text), -1, [-1] * (len(text) + 1)
+        while e:
+            s = e - 1
+            while s and gone[s] <= now:
+                s -= 1
+            until = gone[s] if s else NONE  # the rank that takes the token text[s:e]
+            rank = self.crossing(self.ids[text[s:e]], text, e, now, gone, passed)
+            if e < len(text):
+                rank = min(rank, gone[e])
+            if rank < until:
+                passed[s:e] = [rank] * (e - s)
+                e, now = s, rank
+            elif until < NONE:
+                now = until
+            else:
+                break
+        return e
+
     def _lookahead(self, merges: list[tuple[str, ...]]) -> int:
         """The longest chain D over the merges, in symbols; see the module's text."""
         size = lambda t: len(t.removesuffix(self.suffix)) if self.suffix else len(t)
@@ -192,33 +255,61 @@ def merge_window(symbols: list[int], merge: dict[int, int]) -> list[int]:
     return [s for s in symbols if s >= 0]
 
 
+def merge_with_ranks(symbols: list[int], v: Vocabulary) -> tuple[list[int], list[int]]:
+    """What merge_window gives of a few symbols, and for each place between two of them, by the symbols before it, the rank of the merge that took it away (NONE: it stands)."""
+    get, gone, starts = v.merge.get, [NONE] * (len(symbols) + 1), list(range(len(symbols)))
+    found = [get(a << BITS | b, NONE) for a, b in itertools.pairwise(symbols)]
+    while found and (best := min(found)) != NONE:
+        at = found.index(best)
+        product = symbols[at] = best & MASK
+        gone[starts[at + 1]] = best >> BITS
+        del symbols[at + 1], found[at], starts[at + 1]
+        if at:
+            found[at - 1] = get(symbols[at - 1] << BITS | product, NONE)
+        if at < len(found):
+            found[at] = get(product << BITS | symbols[at + 1], NONE)
+    return symbols, gone
+
+
 class Transducer:
-    """Bytes of one word in, its ids out once they are stable. Holds one window of symbols, and the last byte, as the word's last symbol differs."""
+    """Bytes of one word in, its ids out once they are stable. Holds few symbols, D and a window at most, and the last byte, as the word's last symbol differs."""
 
-    def __init__(self, v: Vocabulary, window: int) -> None:
-        self.v, self.window = v, window
-        self.step = max(1, (window - v.lookahead) // 2)
+    def __init__(self, v: Vocabulary, window: int = WINDOW, limit: int | None = None) -> None:
+        self.v, self.window, self.due = v, window, window
+        self.limit = limit or max(1024, 8 * v.lookahead)
         self.held: list[int] = []
         self.pending = b""
+        self.early = 0  # ids given while their word was open
 
     def feed(self, data: bytes) -> list[int]:
         data = self.pending + data
         data, self.pending = data[:-1], data[-1:]
         out: list[int] = []
-        inner = self.v.inner
-        for at in range(0, len(data), self.step):
-            self.held += [i for b in data[at : at + self.step] if (i := inner[b]) is not None]
-            if len(self.held) >= self.window:
-                out += self.stable()
+        inner, at = self.v.inner, 0
+        while at < len(data):
+            end = at + max(1, self.due - len(self.held))
+            self.held += [i for b in data[at:end] if (i := inner[b]) is not None]
+            at = end
+            if len(self.held) >= self.due:
+                given = self.stable()
+                # what waits is looked at again when half a window has come, or, of a window that gave nothing, when it has doubled
+                self.due = max(self.window, len(self.held) + self.window // 2) if given else min(self.limit, 2 * len(self.held))
+                out += given
+        self.early += len(out)
         return out
 
     def stable(self) -> list[int]:
         """The tokens that nothing to come can change; their symbols leave the window."""
-        out, at, last = [], 0, len(self.held) - self.v.lookahead
-        for t in merge_window(self.held[:], self.v.merge):
-            if at + self.v.length[t] > last:
+        v, at, out, last = self.v, 0, [], len(self.held) - self.v.lookahead
+        if v.in_order and last < v.lookahead:
+            tokens, gone = merge_with_ranks(self.held[:], v)
+            last = max(last, v.edge("".join(map(v.symbol.__getitem__, self.held)), gone))
+        else:
+            tokens = merge_window(self.held[:], v.merge)
+        for t in tokens:
+            if at + v.length[t] > last:
                 break
-            at += self.v.length[t]
+            at += v.length[t]
             out.append(t)
         del self.held[:at]
         return out
@@ -228,7 +319,7 @@ class Transducer:
         if self.pending and (i := self.v.final[self.pending[0]]) is not None:
             self.held.append(i)
         out = merge_window(self.held, self.v.merge)
-        self.held, self.pending = [], b""
+        self.held, self.pending, self.due = [], b"", self.window
         return out
 
 
@@ -260,7 +351,7 @@ class Encoder:
         self.v = vocabulary(path)
         self.part = part
         self.words, self.tokens = Table(), Table()
-        self.transducer = Transducer(self.v, window or max(1024, 8 * self.v.lookahead))
+        self.transducer = Transducer(self.v, window or WINDOW)
         self.plain, self.every, *self.onward = splitters()
         self.is_letter = self.onward[0].match
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.v.special, key=len, reverse=True))) + ")").split if self.v.special else lambda t: [t]

@@ -121,6 +121,65 @@ def test_lookahead_on_random_merge_lists(tmp_path):
             assert [names[i] for i in got] == plain_merges([*w[:-1], w[-1] + "</w>"], ranks), (merges, w)
 
 
+def test_boundaries_that_stand_on_random_merge_lists(tmp_path):
+    """Lists in which every product has one merge, after those of its operands: the narrowest windows, cut anywhere, give the ids of whole words, many of them early."""
+    r, early, all_ids = random.Random(12), 0, 0
+    for trial in range(150):
+        letters = "abcd"[: r.choice((1, 2, 3, 4))]
+        tokens, merges = [*letters, *(c + "</w>" for c in letters)], []
+        for _ in range(r.choice((5, 20, 60))):
+            a, b = r.choice([t for t in tokens if not t.endswith("</w>")]), r.choice(tokens)
+            if len(a + b) <= 14 and a + b not in tokens:
+                merges.append((a, b))
+                tokens.append(a + b)
+        path = tmp_path / f"{trial}.json"
+        path.write_text(json.dumps({"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": [list(m) for m in merges], "end_of_word_suffix": "</w>"}, "added_tokens": []}))
+        v = bpe.vocabulary(str(path))
+        assert v.in_order
+        names, ranks = {i: t for t, i in v.ids.items()}, {m: i for i, m in enumerate(merges)}
+        for _ in range(150):
+            w = "".join(r.choices(letters, k=r.randint(1, 60)))
+            t = bpe.Transducer(v, r.choice((1, 2, 3, 8)), limit=r.choice((None, v.lookahead + 1)))
+            cut = r.randint(0, len(w))
+            got = t.feed(w[:cut].encode()) + t.feed(w[cut:].encode()) + t.end()
+            assert [names[i] for i in got] == plain_merges([*w[:-1], w[-1] + "</w>"], ranks), (merges, w)
+            early, all_ids = early + t.early, all_ids + len(got)
+    assert early > all_ids / 2
+
+
+def test_ids_of_documents_come_before_their_words_end(spark, monkeypatch):
+    """Of the words longer than a window two in five give ids while they are open (the others may still become other tokens), and at most a few symbols wait."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    encoder, feed, gave, most = bpe.Encoder(PATH), bpe.Transducer.feed, [], 0
+
+    def counted(self, data):
+        nonlocal most
+        out = feed(self, data)
+        gave.append((len(data), len(out)))
+        most = max(most, len(self.held))
+        return out
+
+    monkeypatch.setattr(bpe.Transducer, "feed", counted)
+    for t in texts:
+        encoder.encode(t)
+    long = [n for size, n in gave if size > bpe.WINDOW]
+    assert len(long) > 1000 and sum(n > 0 for n in long) > 0.35 * len(long) and most < 4 * bpe.WINDOW
+    assert encoder.transducer.early == sum(long)
+
+
+def test_ids_given_early_stand_whatever_follows():
+    """Against continuations of two letters and by the vocabulary's own words."""
+    v, r = ENCODER.v, random.Random(4)
+    tails = ["", *map("".join, itertools.product("aeiorstnlh", repeat=2)), *r.sample([s.removesuffix("</w>") for s in v.ids if s.isascii() and s.removesuffix("</w>").isalpha()], 300)]
+    early = 0
+    for _ in range(60):
+        word = "".join(r.choice(["th", "er", "mix", "ture", "in", "g", "po", "st", "qu", "al", "ity", "re", "z", "con", "sti"]) for _ in range(6))
+        given = bpe.Transducer(v).feed(word.encode() + b"a")  # the last byte waits
+        early += len(given)
+        assert {tuple(ids(ENCODER, word + x))[: len(given)] for x in tails} == {tuple(given)}
+    assert early > 40
+
+
 def test_every_id_comes_out_of_the_transducer(monkeypatch):
     encoder, seen = bpe.Encoder(PATH), []
     feed, end = bpe.Transducer.feed, bpe.Transducer.end
