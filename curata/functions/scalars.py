@@ -83,20 +83,44 @@ def char_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(a, b) / longest)
 
 
-def word_distance(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance in words: distinct words of both texts stand for single characters, whose distance is counted. Fits texts of up to 50,000 distinct words."""
-    words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
-    a, b = words(reference), words(hypothesis)
-    table = F.array_union(a, b)
-    # code points from 0x4E00 on: no surrogates among the next 50,000 but those from 0xD800 to 0xDFFF, which are skipped
-    point = lambda i: F.when(i < 35840, i + 0x4E00 - 1).otherwise(i - 35840 + 0xE000)
-    as_text = lambda xs: F.array_join(F.transform(xs, lambda w: F.decode(F.unhex(F.lpad(F.hex(point(F.array_position(table, w))), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(as_text(a), as_text(b))
+def edit_distance(a: list, b: list) -> int:
+    """Levenshtein distance of two sequences, all cells of a column at a time in the bits of whole numbers: time len(a) * len(b) / word size, exact at any length."""
+    if len(a) < len(b):
+        a, b = b, a
+    places: dict = {}
+    for i, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << i
+    ones, last = (1 << len(b)) - 1, 1 << max(len(b) - 1, 0)
+    up, down, score = ones, 0, len(b)  # where a cell is one more, or one less, than that above it
+    if not b:
+        return len(a)
+    for x in a:
+        same = places.get(x, 0)
+        across = (((same & up) + up) ^ up) | same | down
+        more, less = down | ~(across | up) & ones, up & across
+        score += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & ones, less << 1 & ones
+        up, down = less | ~((same | down) | more) & ones, more & (same | down)
+    return score
+
+
+def _words(text: str) -> list[str]:
+    return unicodedata.normalize("NFC", text).split()
+
+
+@F.pandas_udf(T.IntegerType())
+def word_distance(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Edit distance in words (NFC, split at white space), of texts of any number of them; null if one is null."""
+    return pd.Series([None if r is None or h is None else edit_distance(_words(r), _words(h)) for r, h in zip(reference, hypothesis, strict=True)], dtype="Int32")
+
+
+@F.pandas_udf(T.IntegerType())
+def word_count(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else len(_words(t)) for t in texts], dtype="Int32")
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
-    n = F.size(F.filter(F.split(F.trim(reference), r"\s+"), lambda w: w != ""))
-    return F.try_divide(word_distance(reference, hypothesis).cast("double"), n.cast("double"))
+    return F.try_divide(word_distance(reference, hypothesis).cast("double"), word_count(reference).cast("double"))
 
 
 # -- signed years without a year 0 ------------------------------------------------------------------

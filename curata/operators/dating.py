@@ -42,7 +42,7 @@ def reference_infos(registry: DataFrame, cited: DataFrame) -> DataFrame:
 
 
 def fold(items: DataFrame, group: str, tier: str, item: str, start: str, end: str) -> DataFrame:
-    """group, item, used for items with a bound, in the order of (tier, item): each narrows the range so far, or, if that would leave nothing, is not used.
+    """group, item, tier, start, end, used for items with a bound, in the order of (tier, item): each narrows the range so far, or, if that would leave nothing, is not used.
 
     Null bounds are open. Items are sorted within their groups and streamed; state is the running range. The order of equal (tier, item) is that of their bounds.
     """
@@ -63,10 +63,22 @@ def fold(items: DataFrame, group: str, tier: str, item: str, start: str, end: st
                 if fits:
                     low, high = new_low, new_high
                 used.append(fits)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(used, pa.bool_())], names=[group, item, "used"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(used, pa.bool_())], names=[*b.schema.names, "used"])
 
-    schema = T.StructType([rows.schema[group], rows.schema[item], T.StructField("used", T.BooleanType())])
-    return rows.repartition(group).sortWithinPartitions(group, "__tier", item, "__start", "__end").mapInArrow(narrow, schema)
+    schema = T.StructType([*rows.schema.fields, T.StructField("used", T.BooleanType())])
+    folded = rows.repartition(group).sortWithinPartitions(group, "__tier", item, "__start", "__end").mapInArrow(narrow, schema)
+    return folded.select(group, item, F.col("__tier").alias("tier"), F.col("__start").alias("start"), F.col("__end").alias("end"), "used")
+
+
+def estimate(df: DataFrame, group: str, tier: str, item: str, start: str, end: str) -> DataFrame:
+    """group, state, start, end, display, used, conflicts: the folded range of every group, and the names of its items by what became of them, in order."""
+    f = fold(df, group, tier, item, start, end)
+    names = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("tier", item, "start", "end")))), lambda x: x[item].cast("string")), ",")
+    g = f.groupBy(group).agg(F.max(F.when(F.col("used"), F.col("start"))).alias("start"), F.min(F.when(F.col("used"), F.col("end"))).alias("end"), names(F.col("used")).alias("used"), names(~F.col("used")).alias("conflicts"))
+    j = df.select(group).where(F.col(group).isNotNull()).distinct().join(g, group, "left")
+    dated = F.col("used").isNotNull()
+    state, shown = F.when(dated, "estimated").otherwise("insufficient_evidence"), F.when(dated, S.span_label(F.col("start"), F.col("end"))).otherwise("Insufficient evidence")
+    return j.select(group, state.alias("state"), "start", "end", shown.alias("display"), F.coalesce("used", F.lit("")).alias("used"), F.coalesce("conflicts", F.lit("")).alias("conflicts"))
 
 
 def weigh(evidence: DataFrame, objects: DataFrame, references: DataFrame, group: str, item: str, secure: tuple[str, ...] = ("direct", "same_context_secure"), stratified: str = "excavated_stratified") -> DataFrame:
@@ -83,12 +95,13 @@ def weigh(evidence: DataFrame, objects: DataFrame, references: DataFrame, group:
         .when((kind == "stratigraphy") & ~F.col("context").eqNullSafe(F.lit(stratified)), "context not stratified").when(~own & F.col("ref_status").isNull(), "unknown reference")
     )
     w = j.withColumns({"tier": look_up(STRENGTH, kind, LAST), "category": look_up(CATEGORY, kind, UNCERTAIN), "ref_status": F.when(~own, F.col("ref_status")), "excluded": why})
-    return w.join(fold(w.where("excluded IS NULL"), group, "tier", item, "start", "end"), [group, item], "left")
+    return w.join(fold(w.where("excluded IS NULL"), group, "tier", item, "start", "end").select(group, item, "used"), [group, item], "left")
 
 
 def estimate_dates(weighed: DataFrame, objects: DataFrame, group: str, script: str, earliest: int, stratified: str = "excavated_stratified", establishing: tuple[str, ...] = ("expert_annotation", "source_information")) -> DataFrame:
     """group, state, start, end, confidence, display, centuries, n_used, n_conflicts, n_excluded, one row for each object.
 
+    A level is that which the kinds of evidence allow, or the best one of a used item (unknown the lowest; low where no item says a known word) if that is lower.
     estimated: the range of the used items. outer_bound_only: none, but the object's script is ``script`` by an establishing source: no earlier than ``earliest``. Else insufficient_evidence.
     """
     used = F.coalesce(F.col("used"), F.lit(False))
@@ -102,8 +115,9 @@ def estimate_dates(weighed: DataFrame, objects: DataFrame, group: str, script: s
     )
     j = objects.select(group, "context", "script", "script_provenance").join(g, group, "left").fillna(0, ["n_used", "n_conflicts", "n_excluded"])
     firm = F.col("expert") & (F.col("n_types") > 1) & (F.col("tier") <= 2) & (F.col("n_conflicts") == 0) & F.col("verified")
-    top = F.when(~firm, 2).when((F.col("tier") == 1) & F.col("context").eqNullSafe(F.lit(stratified)), 4).otherwise(3)
-    level = F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.least(top, F.coalesce("best", F.lit(2))))
+    low, moderate, high = (CONFIDENCE.index(x) + 1 for x in ("low", "moderate", "high"))
+    top = F.when(~firm, low).when((F.col("tier") == 1) & F.col("context").eqNullSafe(F.lit(stratified)), high).otherwise(moderate)
+    level = F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.least(top, F.coalesce("best", F.lit(low))))
     dated, bounded = F.col("n_used") > 0, F.col("script").eqNullSafe(F.lit(script)) & F.coalesce(F.col("script_provenance").isin(*establishing), F.lit(False))
     lo, hi = F.when(dated, F.col("lo")).when(bounded, F.lit(earliest)), F.when(dated, F.col("hi"))
     state = F.when(dated, "estimated").when(bounded, "outer_bound_only").otherwise("insufficient_evidence")

@@ -47,8 +47,8 @@ def agreed(experts: DataFrame, item: str, unanimous: Sequence[str], ranges: Sequ
         same = F.count_distinct(F.coalesce(F.col(lo).cast("string"), F.lit("")), F.coalesce(F.col(hi).cast("string"), F.lit(""))) == 1
         made += [F.when(same, F.min(lo)).alias(lo), F.when(same, F.min(hi)).alias(hi)]
     if confidence:
-        rank = F.array_position(F.array(F.lit("unknown"), *map(F.lit, CONFIDENCE)), F.coalesce(confidence, F.lit("unknown")))
-        made.append(F.element_at(F.array(F.lit("unknown"), *map(F.lit, CONFIDENCE)), F.greatest(F.min(rank), F.lit(1)).cast("int")).alias(confidence))
+        rank = F.array_position(F.array(*map(F.lit, CONFIDENCE)), F.coalesce(confidence, F.lit("unknown")))
+        made.append(F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.greatest(F.min(rank), F.lit(1)).cast("int")).alias(confidence))
     return experts.groupBy(item).agg(*made)
 
 

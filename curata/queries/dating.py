@@ -13,7 +13,7 @@ TYPES = [*D.STRENGTH, "other"]
 PROVENANCE = ["expert_annotation", "expert_annotation", "project_annotation", "ai_prediction", "expert_annotation"]
 ASSOCIATION = ["direct", "same_context_secure", "uncertain"]
 CITED = ["annotator_observation", "ref-a", "ref-b", "ref-unknown"]
-LEVELS = ["high", "moderate", "unknown", "low"]
+LEVELS = ["high", "moderate", "unknown", "low", "unknown", "very_low", "unsaid"]
 SCRIPTS, SCRIPT_BY = ["s1", "s2"], ["expert_annotation", "source_information", "ai_prediction"]
 
 
@@ -75,10 +75,10 @@ def dating_evidence(spark: SparkSession, d: str) -> DataFrame:
 DATES = """
 g AS (SELECT object, max(s) FILTER (WHERE used) AS lo, min(e) FILTER (WHERE used) AS hi, count(*) FILTER (WHERE used) AS n_used, count(*) FILTER (WHERE NOT used) AS n_conflicts, count(*) FILTER (WHERE excluded IS NOT NULL) AS n_excluded,
   count(DISTINCT evidence_type) FILTER (WHERE used) AS n_types, min(tier) FILTER (WHERE used) AS tier, bool_and(provenance = 'expert_annotation') FILTER (WHERE used) AS expert,
-  bool_and(source_reference IN ('annotator_observation', 'ref-a')) FILTER (WHERE used) AS ver, max(list_position(['very_low', 'low', 'moderate', 'high'], confidence)) FILTER (WHERE used) AS best FROM w GROUP BY object),
+  bool_and(source_reference IN ('annotator_observation', 'ref-a')) FILTER (WHERE used) AS ver, max(list_position(['unknown', 'very_low', 'low', 'moderate', 'high'], confidence)) FILTER (WHERE used) AS best FROM w GROUP BY object),
 j AS (SELECT o.*, lo, hi, coalesce(n_used, 0) AS n_used, coalesce(n_conflicts, 0) AS n_conflicts, coalesce(n_excluded, 0) AS n_excluded, n_types, tier, expert, ver, best FROM o LEFT JOIN g USING (object)),
 t AS (SELECT object, CASE WHEN n_used > 0 THEN 'estimated' WHEN script = 's1' AND script_provenance <> 'ai_prediction' THEN 'outer_bound_only' ELSE 'insufficient_evidence' END AS state, lo, hi, n_used, n_conflicts, n_excluded,
-  ['very_low', 'low', 'moderate', 'high'][least(CASE WHEN NOT (expert AND n_types > 1 AND tier <= 2 AND n_conflicts = 0 AND ver) THEN 2 WHEN tier = 1 AND context = 'excavated_stratified' THEN 4 ELSE 3 END, coalesce(best, 2))] AS level FROM j),
+  ['unknown', 'very_low', 'low', 'moderate', 'high'][least(CASE WHEN NOT (expert AND n_types > 1 AND tier <= 2 AND n_conflicts = 0 AND ver) THEN 3 WHEN tier = 1 AND context = 'excavated_stratified' THEN 5 ELSE 4 END, coalesce(best, 3))] AS level FROM j),
 dates AS (SELECT object, state, CAST(CASE state WHEN 'estimated' THEN lo WHEN 'outer_bound_only' THEN -250 END AS INT) AS start, CAST(CASE state WHEN 'estimated' THEN hi END AS INT) AS "end",
   CASE state WHEN 'estimated' THEN level WHEN 'outer_bound_only' THEN 'very_low' ELSE 'unknown' END AS confidence, n_used, n_conflicts, n_excluded FROM t)
 """

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.functions import scalars as S
+from curata.operators import dating
 from curata.operators import evidence as E
 from curata.queries._registry import query, table
 
@@ -41,7 +42,7 @@ SELECT o.l_orderkey, CASE WHEN f.used IS NULL THEN 'insufficient_evidence' ELSE
 FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN (SELECT * FROM f WHERE k = n) f USING (l_orderkey)
 """)
 def interval_fold(spark: SparkSession, d: str) -> DataFrame:
-    return E.estimate(intervals(spark, d), "l_orderkey", "tier", "item", "start", "end").drop("display")
+    return dating.estimate(intervals(spark, d), "l_orderkey", "tier", "item", "start", "end").drop("display")
 
 
 @query(f"WITH {IV} SELECT l_orderkey, CASE WHEN NOT bool_or(s IS NULL) THEN min(s) END AS start, CASE WHEN NOT bool_or(e IS NULL) THEN max(e) END AS \"end\" FROM i GROUP BY l_orderkey")

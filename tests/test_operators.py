@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from curata.functions import absence as A
 from curata.functions import scalars as S
-from curata.operators import annotations, evidence, identity, metrics, rules, sampling, splits
+from curata.operators import annotations, dating, evidence, identity, metrics, rules, sampling, splits
 from curata.operators.rules import Field
 from curata.plans import storage
 
@@ -248,9 +248,9 @@ def test_text_distances(spark):
 def test_fold_skips_conflicts_and_goes_on(spark):
     items = [(1, "a", -300, -100), (2, "b", 50, 60), (2, "c", -250, None), (3, "d", None, -120), (0, "e", None, None)]
     df = spark.createDataFrame([("g", *i) for i in items], "g string, tier int, item string, s int, e int")
-    r = evidence.estimate(df, "g", "tier", "item", "s", "e").first()
+    r = dating.estimate(df, "g", "tier", "item", "s", "e").first()
     assert (r.state, r.start, r.end, r.used, r.conflicts, r.display) == ("estimated", -250, -120, "a,c,d", "b", "250 BCE – 120 BCE")
-    none = evidence.estimate(df.where("item = 'e'"), "g", "tier", "item", "s", "e").first()
+    none = dating.estimate(df.where("item = 'e'"), "g", "tier", "item", "s", "e").first()
     assert (none.state, none.display) == ("insufficient_evidence", "Insufficient evidence")
 
 

@@ -73,6 +73,14 @@ def test_high_confidence_needs_everything(spark):
     assert level([pair[0], (*pair[1][:3], "project_annotation", *pair[1][4:])], [("r", D.VERIFIED)]) == "low"
 
 
+def test_no_estimate_is_surer_than_its_best_item(spark):
+    o = spark.createDataFrame([("p", "excavated_stratified", None, None)], OBJECTS)
+    item = lambda i, kind, level: ("p", f"e{i}", kind, "expert_annotation", "direct", "this_annotator", level, -100, 50)
+    level = lambda *said: D.estimate_dates(D.weigh(spark.createDataFrame([item(i, k, x) for i, (k, x) in enumerate(zip(("stratigraphy", "linguistics", "palaeography"), said, strict=False))], EVIDENCE), o, spark.createDataFrame([], "ref_id string, status string"), "object", "item"), o, "object", "s", -300).first().confidence
+    assert [level("unknown", "unknown"), level("unknown", "very_low"), level("high", "unknown"), level("unknown"), level("very_low")] == ["unknown", "very_low", "high", "unknown", "very_low"]
+    assert level("certain", None) == "low"  # no item says a word of the scale
+
+
 def test_agreed_values_and_refusals(spark):
     experts = spark.createDataFrame([("a", "x  y", 1, 2, "high"), ("a", "x y", 1, 2, "low"), ("b", "x", 1, None, "high"), ("b", "unknown", 1, 3, None), ("c", "x", None, None, "odd"), ("c", "z", None, None, "high")], "item string, reading string, lo int, hi int, sure string")
     assert rows(P.agreed(experts, "item", ["reading"], [("lo", "hi")], "sure")) == [("a", "x y", 1, 2, "low"), ("b", None, None, None, "unknown"), ("c", "disputed", None, None, "unknown")]
