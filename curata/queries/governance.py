@@ -46,8 +46,10 @@ def annotations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""
-WITH k AS (SELECT doc_id AS k, CAST(doc_id AS VARCHAR) AS id, doc_id % 6 = 0 AS absent, doc_id % 4 AS kind FROM documents),
+def annotation_sql(kept: str = "true") -> str:
+    """The findings p of the annotations whose number k is kept."""
+    return f"""
+k AS (SELECT doc_id AS k, CAST(doc_id AS VARCHAR) AS id, doc_id % 6 = 0 AS absent, doc_id % 4 AS kind FROM documents WHERE {kept.replace('k %', 'doc_id %')}),
 r AS (SELECT k.* FROM k, (SELECT unnest([0, 1]) AS c) WHERE c = 0 OR k % 50 = 7),
 p AS (
   SELECT id, 'N3' AS rule, 'region on another image' AS what FROM r WHERE NOT absent AND k % 17 = 0 UNION ALL SELECT id, 'N3', 'region beyond the image' FROM r WHERE NOT absent AND k % 9 = 0
@@ -59,8 +61,10 @@ p AS (
   UNION ALL SELECT id, 'N18', unnest(['no qualification', 'resolves itself']) FROM r WHERE k % 28 = 2 UNION ALL SELECT id, 'N18', 'adjudicator is no expert' FROM r WHERE k % 28 = 2 AND k % 5 <> 0
   UNION ALL SELECT id, 'N10', 'cites what is not there' FROM k WHERE k % 3 = 0 AND (k % 10 <> 0 OR (NOT absent AND k % 13 <> 0)) UNION ALL SELECT id, 'N12', 'duplicate id' FROM k WHERE k % 50 = 7
 )
-SELECT id, rule, what FROM p
-""")
+"""
+
+
+@query(f"WITH {annotation_sql()} SELECT id, rule, what FROM p")
 def annotation_rules(spark: SparkSession, d: str) -> DataFrame:
     return G.annotation_problems(annotations(spark, d))
 
