@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curata.operators.identity import fingerprint
+
 GENESIS = "0" * 64
 
 
@@ -137,9 +139,9 @@ def promotion_plan(votes: DataFrame, item: str, fields: Sequence[str], records:
 
 
 def plan_digest(plan: DataFrame, item: str) -> DataFrame:
-    """One digest of a plan, whatever its rows' order; what is executed must have the digest that was approved."""
-    h = F.sha2(F.to_json(F.struct(item, "field", "before", "after"), {"ignoreNullFields": "false"}), 256)
-    return plan.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+    """n, digest: one digest of a plan, whatever its rows' order; what is executed must have the digest that was approved. Rows are digested by bucket and level, so none are gathered."""
+    row = F.to_json(F.struct(item, "field", "before", "after"), {"ignoreNullFields": "false"})
+    return fingerprint(plan, item, row, "plan\n").select(F.col("n_rows").alias("n"), F.col("fingerprint").alias("digest"))
 
 
 def execute_plan(records: DataFrame, plan: DataFrame, item: str, fields: Sequence[str], revert: bool = False) -> DataFrame:

@@ -283,13 +283,3 @@ def common_categories(sets: DataFrame, item: str, allowed: str) -> DataFrame:
     n = sets.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
     g = x.groupBy(item, "k").agg(F.count(F.lit(1)).alias("m")).join(n, item).where("m = n")
     return n.select(item).join(g.groupBy(item).agg(F.array_sort(F.collect_list("k")).alias("categories")), item, "left").select(item, F.coalesce("categories", F.array().cast("array<string>")).alias("categories"))
-
-
-def ingest(existing: DataFrame, incoming: DataFrame, find: object, id_col: str, path: str | None = None) -> tuple[bool, DataFrame]:
-    """All or nothing: (accepted, findings). find(all rows) gives findings with severity and record id; with a path, accepted rows are written with those that were there."""
-    both = existing.unionByName(incoming, allowMissingColumns=True)
-    found = find(both)
-    accepted = found.where("severity = 'error'").isEmpty()
-    if accepted and path:
-        both.write.mode("errorifexists").parquet(path)
-    return accepted, found

@@ -1,6 +1,6 @@
 """Operators bound to the driver's tables: name -> query, and name -> the same in DuckDB's SQL."""
 
-from curata.queries import annotations, dating, evidence, governance, identity, metrics, promotion, readiness, records, reports, schema, splits, stats
+from curata.queries import annotations, dating, evidence, governance, identity, metrics, promotion, publication, readiness, records, reports, schema, splits, stats
 from curata.queries._registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "annotations", "dating", "evidence", "governance", "identity", "metrics", "promotion", "readiness", "records", "reports", "schema", "splits", "stats"]
+__all__ = ["ORACLES", "QUERIES", "annotations", "dating", "evidence", "governance", "identity", "metrics", "promotion", "publication", "readiness", "records", "reports", "schema", "splits", "stats"]

@@ -1,6 +1,5 @@
 """The rule families of annotations, knowledge and verification; the helpers around records."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from curata.operators import governance as G
@@ -136,17 +135,6 @@ def test_helpers(spark):
     assert sorted(tuple(x) for x in q.collect()) == [("a", False, "disputed", "adjudicate"), ("b", True, "unannotated", "annotate")]
 
 
-@pytest.mark.parametrize("bad", [False, True])
-def test_ingest_is_all_or_nothing(spark, tmp_path, bad):
-    from curata.operators.identity import repeated_ids
-
-    old = spark.createDataFrame([("a", 0)], "item string, i long")
-    new = spark.createDataFrame([("a" if bad else "b", 1)], "item string, i long")
-    find = lambda rows: repeated_ids(rows, "i", "item").withColumn("severity", F.lit("error"))
-    ok, found = G.ingest(old, new, find, "item", f"{tmp_path}/out")
-    assert ok != bad and found.count() == int(bad) and (tmp_path / "out").exists() == ok
-
-
 def test_synthetic_reasons(spark):
     df = spark.createDataFrame([("SYN-1", "a/b.jpg", "x"), ("art", "data/Synthetic/q.jpg", "x"), ("art", "ok.jpg", "made")], "artifact_id string, image_path string, script_type string")
     out = [r[0] for r in df.select(G.synthetic_reasons("SYN-", "generator", "generated", ["made"], "MARK", df.columns)).collect()]

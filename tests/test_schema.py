@@ -60,7 +60,7 @@ def value(r, depth=3):
 def test_compiled_findings_are_those_of_a_plain_walk(spark):
     r = random.Random(2)
     rows = [value(r) if i % 10 == 0 else {k: value(r) for k in r.sample(["a", "b", "it's", "deep", "gone", "other", "more"], r.randint(0, 6))} for i in range(400)]
-    rows += [{"a": "yes", "b": 1, "deep": [{"p": [1, None]}, {"p": True, "q": "xx"}], "it's": [1, 2]}]
+    rows += [{"a": "yes", "b": 7, "deep": [{"p": [1, None]}, {"p": True, "q": "xx"}], "it's": [1, 2]}]
     df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(rows)] + [(-1, "{"), (-2, None), (-3, "")], "i int, raw string")
     got = sorted((x.record_index, x.path, x.keyword) for x in S.schema_findings(df, "i", "raw", SCHEMA).collect())
     want = [(i, *f) for i, x in enumerate(rows) for f in plain(SCHEMA, SCHEMA, x)] + [(-k, "<root>", "json") for k in (1, 2, 3)]
