@@ -6,14 +6,18 @@ then a skewed join, which adaptive execution splits, and not one task that sorts
 
 from __future__ import annotations
 
+import hashlib
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curata.functions.absence import SENTINELS
-from curata.plans.storage import materialize
+from curata.plans.storage import BROADCAST_ROWS, materialize, ship
 
 
 def first_owners(df: DataFrame, key: str, index: str, columns: Sequence[str]) -> DataFrame:
@@ -69,22 +73,134 @@ def fingerprint(df: DataFrame, id_col: str, row: Column, header: str) -> DataFra
     return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"), F.sha2(F.concat(F.lit(header), whole), 256).alias("fingerprint"))
 
 
-def near_pairs(df: DataFrame, item: str, group: str, bits: str, distance: int = 6, exceptions: DataFrame | None = None, agree: int = 3) -> DataFrame:
-    """Pairs of items of different groups whose 64-bit patterns differ in at most ``distance`` bits.
+def simhash(df: DataFrame, keep: Sequence[str], text: str, size: int = 3) -> DataFrame:
+    """The columns ``keep`` and ``bits``: the majority of the first 64 bits of the md5 of a text's distinct shingles, words split at spaces; null for a text without words. One pass, no shuffle."""
+    ship(df.sparkSession)
+    rows = df.select(*keep, F.col(text).alias("__text"))
+    names = [*rows.columns[:-1], "bits"]
+
+    def bits(t: str | None) -> int | None:
+        words = [w for w in (t or "").split(" ") if w]
+        if not words:
+            return None
+        shingles = {" ".join(words[i : i + size]) for i in range(max(len(words) - size, 0) + 1)}
+        ones = np.unpackbits(np.frombuffer(b"".join(hashlib.md5(x.encode()).digest()[:8] for x in shingles), dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([bits(t.as_py()) for t in b.columns[-1]], pa.int64())], names=names)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("bits", T.LongType())]))
+
+
+class Passages:
+    """Passages of some words, numbered, and which of them a text holds: words become numbers, windows of them a hash, and what the hash finds is compared word by word."""
+
+    def __init__(self, passages: Sequence[str]) -> None:
+        self.words: dict[str, int] = {}
+        self.rows = np.array([[self.words.setdefault(w, len(self.words) + 1) for w in p.split(" ")] for p in passages], dtype=np.uint64)
+        self.size = self.rows.shape[1]
+        self.odd = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(self.size)], dtype=np.uint64)
+        hashes = (self.rows * self.odd).sum(axis=1, dtype=np.uint64)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+
+    def found(self, text: str | None) -> list[int]:
+        get = self.words.get
+        ids = np.array([get(w, 0) for w in (text or "").split(" ")], dtype=np.uint64)
+        n = len(ids) - self.size + 1
+        if n < 1:
+            return []
+        windows = np.lib.stride_tricks.sliding_window_view(ids, self.size)
+        hashes = np.zeros(n, dtype=np.uint64)
+        for i in range(self.size):
+            hashes += ids[i : i + n] * self.odd[i]
+        first = np.searchsorted(self.hashes, hashes)
+        out, at = set(), np.flatnonzero((first < len(self.hashes)) & (self.hashes[np.minimum(first, len(self.hashes) - 1)] == hashes))
+        while len(at):
+            number = self.order[first[at]]
+            out.update(number[(self.rows[number] == windows[at]).all(axis=1)].tolist())
+            first[at] += 1  # other passages of the same hash
+            at = at[(first[at] < len(self.hashes))]
+            at = at[self.hashes[first[at]] == hashes[at]]
+        return sorted(out)
+
+
+def shared_passages(df: DataFrame, item: str, text: str, marked: DataFrame, mark: str, size: int = 8, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """mark, item, n_shared: how many different passages of ``size`` words, split at spaces, a text shares with a marked one (marked: mark and the same text column).
+
+    The marked passages are counted. Few are broadcast, numbered, and each text is read once: no passage of it is made into a row but those that hit. Many are met by a join on the passages of both sides.
+    """
+
+    def each(t: DataFrame, i: str) -> DataFrame:
+        w = t.select(F.col(i).alias(i), F.split(text, " ").alias("__w")).where(F.size("__w") >= size)
+        return w.select(i, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - size + 1), lambda k: F.array_join(F.slice("__w", k, size), " ")))).alias("__s"))
+
+    spark = df.sparkSession
+    ship(spark)
+    own = materialize(each(marked, mark), "passages")
+    distinct = own.select("__s").distinct().limit(broadcast_rows + 1).toArrow().column("__s").to_pylist()
+    if len(distinct) > broadcast_rows:
+        return each(df, item).join(own, "__s").groupBy(mark, item).agg(F.count(F.lit(1)).alias("n_shared"))
+    rows = df.select(item, F.col(text).alias("__text"))
+    kind = rows.schema[item]
+    if not distinct:
+        return own.join(rows.limit(0)).groupBy(mark, item).agg(F.count(F.lit(1)).alias("n_shared"))
+    table = Passages(distinct)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = [table.found(t.as_py()) for t in b.column(1)]
+            at = np.repeat(np.arange(b.num_rows), [len(h) for h in hits])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array([n for h in hits for n in h], pa.int64())], names=[item, "__n"])
+
+    hit = rows.mapInArrow(run, T.StructType([kind, T.StructField("__n", T.LongType())]))
+    numbers = spark.createDataFrame(list(enumerate(distinct)), "__n long, __s string")
+    return hit.join(F.broadcast(own.join(F.broadcast(numbers), "__s").select("__n", mark)), "__n").groupBy(mark, item).agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+def near_patterns(bits: DataFrame, distance: int, agree: int | None = None) -> DataFrame:
+    """bits, other, distance: pairs of different 64-bit patterns, bits < other, that differ in at most ``distance`` bits. bits: one column, any number of times each.
 
     Of ``distance + agree`` blocks of bits two such patterns agree in at least ``agree``, so an equi-join on all choices of so many blocks finds them all: for 6 and 3, 84 keys of some 21 bits
-    a pattern. A key's bucket then holds a two-millionth of evenly spread patterns. Equal patterns meet first and count once. Larger ``agree``: more and smaller buckets.
+    a pattern. Larger ``agree``: more and smaller buckets. Unset, it is the smallest at which a key has four times as many values as there are patterns, by their counted number, and 8 at most.
     """
+    name = bits.columns[0]
+    distinct = bits.where(F.col(name).isNotNull()).select(F.col(name).alias("bits")).distinct()
+    if agree is None:
+        distinct = materialize(distinct, "patterns")
+        n = distinct.count()
+        agree = next((k for k in range(1, 8) if 2 ** (64 * k // (distance + k)) >= 4 * n), 8)
     blocks = distance + agree
     if not (distance >= 0 and agree >= 1 and blocks <= 64):
         raise ValueError("the distance and the blocks that agree must add up to 64 at most")
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in itertools.combinations(range(blocks), agree)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    patterns = df.where(F.col(bits).isNotNull()).select(F.col(item).alias("item"), F.col(group).alias("grp"), F.col(bits).alias("bits"))
-    keyed = patterns.select("bits").distinct().select("bits", F.posexplode(F.transform(F.array(*map(F.lit, signed)), lambda m: F.col("bits").bitwiseAND(m))).alias("k", "v"))
+    keyed = distinct.select("bits", F.posexplode(F.transform(F.array(*map(F.lit, signed)), lambda m: F.col("bits").bitwiseAND(m))).alias("k", "v"))
     met = keyed.join(keyed.select(F.col("bits").alias("other"), "k", "v"), ["k", "v"]).where("bits < other")
-    met = met.withColumn("distance", F.bit_count(F.col("bits").bitwiseXOR(F.col("other")))).where(F.col("distance") <= distance).select("bits", "other", "distance").distinct()
+    return met.withColumn("distance", F.bit_count(F.col("bits").bitwiseXOR(F.col("other")))).where(F.col("distance") <= distance).select("bits", "other", "distance").distinct()
+
+
+def near_links(df: DataFrame, item: str, group: str, bits: str, distance: int = 6, agree: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of classes of equal patterns. members: item, representative (the class's smallest item), crosses (the class has items of several groups). links: item_a, item_b, distance of representatives whose patterns are near and
+    whose classes are not both of one and the same group. However many items share a pattern, each is one row and no pairs are made of them; items without a pattern are in neither.
+    """
+    rows = df.where(F.col(bits).isNotNull())
+    classes = materialize(rows.groupBy(F.col(bits).alias("bits")).agg(F.min(item).alias("item"), F.min(group).alias("g0"), F.max(group).alias("g1")), "classes")
+    side = lambda i, key: classes.select(F.col("bits").alias(key), F.col("item").alias(f"i{i}"), F.col("g0").alias(f"g0{i}"), F.col("g1").alias(f"g1{i}"))
+    j = near_patterns(classes.select("bits"), distance, agree).join(side(1, "bits"), "bits").join(side(2, "other"), "other")
+    alone = (F.col("g01") == F.col("g11")) & (F.col("g02") == F.col("g12")) & (F.col("g01") == F.col("g02"))
+    links = j.where(~F.coalesce(alone, F.lit(False))).select(F.least("i1", "i2").alias("item_a"), F.greatest("i1", "i2").alias("item_b"), "distance")
+    members = rows.select(F.col(item).alias(item), F.col(bits).alias("bits")).join(classes.withColumnRenamed("item", "representative"), "bits")
+    return members.select(item, "representative", F.coalesce(F.col("g0") < F.col("g1"), F.lit(False)).alias("crosses")), links
+
+
+def near_pairs(df: DataFrame, item: str, group: str, bits: str, distance: int = 6, exceptions: DataFrame | None = None, agree: int | None = None) -> DataFrame:
+    """Pairs of items of different groups whose patterns differ in at most ``distance`` bits, but for the excepted ones (a, b). Pairs of items are many where patterns repeat: for short lists that people look at; near_links is for the rest."""
+    patterns = df.where(F.col(bits).isNotNull()).select(F.col(item).alias("item"), F.col(group).alias("grp"), F.col(bits).alias("bits"))
+    met = near_patterns(patterns.select("bits"), distance, agree)
     same = patterns.select("bits", F.col("bits").alias("other"), F.lit(0).alias("distance")).distinct()
     left = patterns.select("bits", F.col("item").alias("i1"), F.col("grp").alias("g1"))
     right = patterns.select(F.col("bits").alias("other"), F.col("item").alias("i2"), F.col("grp").alias("g2"))

@@ -76,15 +76,32 @@ def deal_plan(ratios: Sequence[float], n: int) -> list[int]:
     return out
 
 
-def interleave(groups: DataFrame, group: str, label: str, stratum: str, seed: int) -> DataFrame:
-    """groups with ``position`` (from 0) in their class: strata shuffled by digest, then drawn in turn, largest stratum first. Both positions come from range sorts, so a class may hold all groups."""
+#: Strata up to which a position is worked out from their sizes; with more, from a second sort.
+FEW_STRATA = 1000
+
+
+def interleave(groups: DataFrame, group: str, label: str, stratum: str, seed: int, few: int = FEW_STRATA) -> DataFrame:
+    """groups with ``position`` (from 0) in their class: strata shuffled by digest, then drawn in turn, largest stratum first. A group's turn comes from a range sort, so a class may hold all groups.
+
+    In turn t each stratum of t groups or more gives one, and those before a stratum that gives have given too; so the position is the sum of min(size, t - 1) over the class's strata and the stratum's rank.
+    """
     key = F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), F.col(label), F.col(stratum).cast("string"), F.col(group).cast("string")), 256)
-    w = materialize(running_sums(groups.withColumn("__h", key), [label, stratum, "__h", group], {"__turn": None}, by=2), "turns")
-    sizes = w.groupBy(label, stratum).agg((-F.count(F.lit(1))).alias("__size"), F.min(F.struct("__h", group))[group].alias("__first"))
-    sizes = sizes.select(F.col(label).alias("__l"), F.col(stratum).alias("__s"), "__size", "__first")
-    w = w.join(sizes, F.col(label).eqNullSafe(F.col("__l")) & F.col(stratum).eqNullSafe(F.col("__s")))
-    placed = running_sums(w.drop("__l", "__s"), [label, "__turn", "__size", "__first", "__h"], {"__i": None}, by=1)
-    return placed.withColumn("position", F.col("__i") - 1).drop("__h", "__turn", "__size", "__first", "__i")
+    keyed = groups.withColumn("__h", key)
+    sizes = keyed.groupBy(F.col(label).alias("__l"), F.col(stratum).alias("__s")).agg(F.count(F.lit(1)).alias("__size"), F.min(F.struct("__h", group))[group].alias("__first"))
+    sizes = materialize(sizes, "strata")
+    turned = running_sums(keyed, [label, stratum, "__h", group], {"__turn": None}, by=2)
+    same = F.col(label).eqNullSafe(F.col("__l")) & F.col(stratum).eqNullSafe(F.col("__s"))
+    if sizes.limit(few + 1).count() > few:
+        w = turned.join(sizes.withColumn("__size", -F.col("__size")), same).drop("__l", "__s")
+        placed = running_sums(w, [label, "__turn", "__size", "__first", "__h"], {"__i": None}, by=1)
+        return placed.withColumn("position", F.col("__i") - 1).drop("__h", "__turn", "__size", "__first", "__i")
+    # one row a stratum, and one array of sizes a class
+    rank = F.row_number().over(Window.partitionBy("__l").orderBy(F.desc("__size"), "__first"))
+    of_class = sizes.groupBy(F.col("__l").alias("__c")).agg(F.collect_list("__size").alias("__sizes"))
+    ranked = sizes.withColumn("__rank", rank).join(of_class, F.col("__l").eqNullSafe(F.col("__c"))).select("__l", "__s", "__rank", "__sizes")
+    w = turned.join(F.broadcast(ranked), same)
+    earlier = F.aggregate("__sizes", F.lit(0).cast("long"), lambda total, n: total + F.least(n, F.col("__turn") - 1))
+    return w.withColumn("position", earlier + F.col("__rank") - 1).drop("__h", "__turn", "__l", "__s", "__rank", "__sizes")
 
 
 def assign(groups: DataFrame, group: str, label: str, stratum: str, names: Sequence[str], ratios: Sequence[float], seed: int = 7) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.operators import identity as I  # noqa: E741
-from curata.plans.storage import broadcast_if_small, materialize
+from curata.plans.storage import materialize
 from curata.queries._registry import query, table
 
 
@@ -74,17 +74,8 @@ BITS = 64
 
 
 def simhash(spark: SparkSession, d: str) -> DataFrame:
-    """h, bits: the majority of the bits of its three-word shingles' md5, for each distinct text."""
-    docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("h"), "text").groupBy("h").agg(F.first("text").alias("text"))
-    words = F.filter(F.split("text", " "), lambda w: w != "")
-    shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    each = docs.select("h", words.alias("w")).where(F.size("w") > 0).select("h", F.explode(F.array_distinct(shingles)).alias("s")).select("h", F.md5("s").alias("m"))
-    half = lambda at: F.conv(F.substring("m", at, 8), 16, 10).cast("bigint")
-    each = each.select("h", half(1).alias("a"), half(9).alias("b"))
-    votes = [F.sum(F.shiftright(side, k).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"{side}{k}") for side in ("a", "b") for k in range(32)]
-    g = each.groupBy("h").agg(*votes)
-    word = lambda side: sum((F.when(F.col(f"{side}{k}") > 0, F.lit(1 << k)).otherwise(0).cast("bigint") for k in range(32)), F.lit(0).cast("bigint"))
-    return g.select("h", F.shiftleft(word("a"), 32).bitwiseOR(word("b")).alias("bits"))
+    """doc_id, bits of the documents that have words."""
+    return I.simhash(table(spark, d, "documents"), ["doc_id"], "text").where("bits IS NOT NULL")
 
 
 SIMHASH = """
@@ -106,21 +97,23 @@ p AS (
 
 def representatives(spark: SparkSession, d: str) -> DataFrame:
     """bits, item: the smallest id of each pattern; copies and equal patterns are one."""
-    ids = hashed(spark, d).groupBy("h").agg(F.min("doc_id").alias("item"))
-    return simhash(spark, d).join(ids, "h").groupBy("bits").agg(F.min("item").alias("item"))
+    return simhash(spark, d).groupBy("bits").agg(F.min("doc_id").alias("item"))
+
+
+def near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as groups of their own."""
+    return I.near_links(materialize(simhash(spark, d), "simhash").withColumn("own", F.col("doc_id")), "doc_id", "own", "bits", 6)
 
 
 @query(f"WITH {SIMHASH} SELECT item_a, item_b, distance FROM p")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of pattern representatives at most six bits apart; membership in a pattern is near_dup_members."""
-    return I.near_pairs(representatives(spark, d).withColumn("own", F.col("item")), "item", "own", "bits", 6)
+    return near(spark, d)[1]
 
 
 @query(f"WITH {SIMHASH} SELECT d.doc_id, c.item AS representative FROM documents d JOIN g ON sha256(d.text) = g.h JOIN c USING (hi, lo)")
 def near_dup_members(spark: SparkSession, d: str) -> DataFrame:
-    bits = materialize(simhash(spark, d), "simhash")
-    of = hashed(spark, d).select("doc_id", "h").join(bits, "h")
-    return of.join(of.groupBy("bits").agg(F.min("doc_id").alias("item")), "bits").select("doc_id", F.col("item").alias("representative"))
+    return near(spark, d)[0].select("doc_id", "representative")
 
 
 @query(f"""
@@ -146,10 +139,5 @@ x AS (SELECT DISTINCT doc_id, array_to_string(string_split(text, ' ')[i:i + 7],
 SELECT item_id, doc_id, count(*) AS n_shared FROM w JOIN x USING (s) GROUP BY item_id, doc_id
 """)
 def benchmark_leakage(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items and documents that share passages of eight words, whichever text is longer. The benchmark's passages are counted: few are broadcast, and then no document's passage is shuffled but those that hit."""
-    def passages(t: DataFrame, i: str) -> DataFrame:
-        w = t.select(i, F.split("text", " ").alias("w")).where(F.size("w") >= 8)
-        return w.select(i, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda k: F.array_join(F.slice("w", k, 8), " ")))).alias("s"))
-
-    b = materialize(passages(table(spark, d, "benchmark"), "item_id"), "passages")
-    return passages(table(spark, d, "documents"), "doc_id").join(broadcast_if_small(b), "s").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    """Benchmark items and documents that share passages of eight words, whichever text is longer."""
+    return I.shared_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id")

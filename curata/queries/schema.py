@@ -90,7 +90,7 @@ WITH {annotation_sql("k % 23 <> 1 AND k % 23 <> 2 AND k % 29 <> 3 AND k % 31 <>
 every AS (SELECT doc_id AS k, CAST(doc_id AS VARCHAR) AS id FROM documents), twice AS (SELECT every.* FROM every, (SELECT unnest([0, 1]) AS c) WHERE c = 0 OR k % 50 = 7)
 SELECT id, rule, what FROM p
 UNION ALL SELECT id, 'N1', 'image_ids type' FROM twice WHERE k % 23 = 1 UNION ALL SELECT id, 'N1', 'image_ids minItems' FROM twice WHERE k % 23 = 2
-UNION ALL SELECT id, 'N1', 'dating.estimated_start_year not' FROM twice WHERE k % 29 = 3 UNION ALL SELECT id, 'N17', 'image_ids' FROM twice WHERE k % 31 = 4
+UNION ALL SELECT id, 'N1', 'dating.estimated_start_year not' FROM twice WHERE k % 29 = 3 UNION ALL SELECT id, 'N17', 'image_ids' FROM twice WHERE k % 31 = 4 AND k % 23 <> 1 AND k % 23 <> 2
 """)
 def annotation_schema(spark: SparkSession, d: str) -> DataFrame:
     """Annotations as JSON texts, some of them broken or of generated images: those have N1 or N17 and no other rule's findings."""

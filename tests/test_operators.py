@@ -454,3 +454,56 @@ def test_storage_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
     assert df.count() == 3 and storage.discard(spark) >= 1
     with pytest.raises(Exception, match="(?i)not.*exist|FAILED_READ_FILE|file"):
         df.collect()
+
+
+def test_near_links_are_those_of_all_pairs(spark):
+    """Classes of equal patterns, one of them a third of all rows: no pairs within it, and members and links give back every near pair of items."""
+    r = random.Random(21)
+    base = [r.getrandbits(64) for _ in range(12)]
+    rows = [(i, r.randint(0, 3), base[0] if i % 3 == 0 else base[i % 12] ^ sum(1 << r.randint(0, 63) for _ in range(r.choice((0, 1, 4))))) for i in range(180)] + [(999, 1, None)]
+    signed = [(i, g, None if b is None else (b & 2**64 - 1) - (1 << 64) if (b & 2**64 - 1) >> 63 else b & 2**64 - 1) for i, g, b in rows]
+    members, links = identity.near_links(spark.createDataFrame(signed, "i long, g long, b long"), "i", "g", "b", 6)
+    of = {x.i: x.representative for x in members.collect()}
+    bits = {i: b & 2**64 - 1 for i, _, b in rows if b is not None}
+    group = {i: g for i, g, _ in rows}
+    by = {}
+    for i, b in bits.items():
+        by.setdefault(b, []).append(i)
+    assert of == {i: min(by[b]) for i, b in bits.items()}
+    assert {x.i: x.crosses for x in members.collect()} == {i: len({group[j] for j in by[b]}) > 1 for i, b in bits.items()}
+    want = {(min(min(x), min(y)), max(min(x), min(y)), (a ^ b).bit_count()) for a, x in by.items() for b, y in by.items() if a < b and (a ^ b).bit_count() <= 6 and len({group[i] for i in x + y}) > 1}
+    assert {tuple(x) for x in links.collect()} == want and want
+
+
+def test_shared_passages_by_both_ways(spark):
+    """Broadcast and numbered, or joined: as counted by hand, with repeated passages, short texts and words that no marked text has."""
+    r = random.Random(5)
+    words = "a b c d e".split()
+    text = lambda n: " ".join(r.choices(words + ["zz"] * (n > 30), k=n))
+    marked = [(f"m{i}", text(r.choice((3, 4, 9)))) for i in range(30)] + [("none", None), ("short", "a b")]
+    docs = [(i, text(r.choice((0, 2, 4, 60)))) for i in range(60)] + [(60, None), (61, ""), (62, "a  b c d e")]
+    sets = lambda t: {tuple(w[i : i + 4]) for w in [(t or "").split(" ")] for i in range(len(w) - 3)} if t is not None else set()
+    want = {(m, i, n) for m, x in marked for i, y in docs if (n := len(sets(x) & sets(y)))}
+    a, b = spark.createDataFrame(docs, "i long, text string"), spark.createDataFrame(marked, "m string, text string")
+    for rows in (10_000, 3):
+        assert {tuple(x) for x in identity.shared_passages(a, "i", "text", b, "m", 4, rows).collect()} == want and want
+    assert identity.shared_passages(a, "i", "text", b.limit(0), "m", 4).count() == 0 and identity.shared_passages(a.limit(0), "i", "text", b, "m", 4).count() == 0
+
+
+def test_simhash_is_the_majority(spark):
+    texts = ["a b c d", "a  b", "", None, "x", "one two three one two three one two"]
+    got = {r.t: r.bits for r in identity.simhash(spark.createDataFrame([(t,) for t in texts], "t string"), ["t"], "t").collect()}
+    for t in texts:
+        w = [x for x in (t or "").split(" ") if x]
+        s = {" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))} if w else set()
+        heads = [int.from_bytes(hashlib.md5(x.encode()).digest()[:8], "big") for x in s]
+        bits = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in heads) > len(s))
+        assert got[t] == (None if not w else bits - (1 << 64) if bits >> 63 else bits)
+
+
+def test_positions_from_sizes_and_from_a_second_sort(spark):
+    r = random.Random(8)
+    rows = [(f"g{i}", r.choice(["x", "y", None]), r.choice(["s", "s", "s", "t", "u", None, f"v{i % 7}"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, l string, s string")
+    a, b = (sorted(map(tuple, splits.interleave(df, "g", "l", "s", 3, few).collect()), key=repr) for few in (1000, 2))
+    assert a == b and sorted(x[3] for x in a if x[1] == "x") == list(range(sum(x[1] == "x" for x in rows)))
