@@ -3,8 +3,8 @@
 Base kinds (leftmost, not overlapping within a kind; what is too short is dropped and not retried): assign, access, hex.
 
 The method's kind is random. Candidates are maximal runs of 16 or more of ``ALPHABET``. For each kind of random string (base64, base62,
-letters, base36, ...) a first-order model is trained, and one of second order for ordinary strings: identifiers, paths, dates, numbers, words of four
-languages. Both from ``secret_samples.tsv``, labelled samples, and both drawn to the lower order where they saw little. A character's score is the logarithm of
+letters, base36, ...) a first-order model is trained, and one of second order for ordinary strings: identifiers, paths, dates, numbers, words of a dozen
+languages, genes, and strings that follow a rule (runs of a character, rows of the keyboard). Both from ``secret_samples.tsv``, labelled samples, and both drawn to the lower order where they saw little. A character's score is the logarithm of
 the ratio of the two likelihoods. Within a candidate the segments of the highest sum count (a segment ends where the sum falls ``DROP`` below its best), so a
 name before ``=`` or a path before a key cannot hide it; a segment with a sum of ``THRESHOLD`` nats, for any random kind, is a secret. Its span is widened to the
 next ``=`` or ``/`` on either side, and counts from 16 characters on. Nothing but the ratio decides: numbers are no kind of random
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from importlib import resources
 
@@ -35,7 +36,7 @@ KINDS = ("assign", "access", "hex")
 SHORTEST = 16
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-THRESHOLD = 22.0
+THRESHOLD = 17.0
 DROP = 6.0
 #: Observations that weigh as much as the lower order's estimate.
 TRUST = 100.0
@@ -54,10 +55,27 @@ def labelled_samples() -> dict[str, dict[str, list[str]]]:
     return out
 
 
+#: Lists of words in the file, and rows that are typed or counted along.
+WORDS = ("words", "english", "german", "french", "spanish", "polish", "dutch", "welsh", "italian", "portuguese", "swedish", "turkish", "hungarian")
+ROWS = ("abcdefghijklmnopqrstuvwxyz", "0123456789", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "azertyuiop", "0123456789abcdef")
+
+
+def patterned() -> list[str]:
+    """Ordinary strings that follow a rule: runs of one character, short runs, two characters in turn, genes, rows of the keyboard and the alphabet, both ways."""
+    letters = [c for c in ALPHABET if c.isalnum()]
+    out = [c * 40 for c in ALPHABET] + [(c + c.swapcase()) * 12 for c in letters if c.isalpha()]
+    out += ["".join(x) * 4 for bases in ("ACGT", "acgt") for x in itertools.permutations(map("".join, itertools.product(bases, repeat=2)), 2)]
+    for step in (1, 3, 5, 7, 11, 17):  # the neighbours of a run change
+        turned = [letters[i * step % len(letters)] for i in range(len(letters))]
+        out += [mark.join(c * n for c in turned) for n in (2, 3, 4, 5) for mark in ("", "/", "_", "-")]
+        out += [(a + b) * 12 for a, b in zip(turned, turned[1:], strict=False)]
+    return out + [x * 3 for row in ROWS for r in (row, row.upper()) for x in (r, r[::-1])] * 12
+
+
 def spellings(kinds: dict[str, list[str]]) -> list[str]:
     """Ordinary strings as they are, and words joined by the usual ways of writing names, so that each joint is seen: each word before three others of its list."""
-    out = [s for strings in kinds.values() for s in strings]
-    for kind in ("words", "english", "german", "french", "spanish"):
+    out = [s for strings in kinds.values() for s in strings] + patterned()
+    for kind in WORDS:
         words = kinds[kind]
         out += words + [w.lower() for w in words] + [w.upper() for w in words]
         for i, (a, b) in enumerate((w, words[(j + step) % len(words)]) for step in (1, 7, 31) for j, w in enumerate(words)):

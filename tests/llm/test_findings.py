@@ -130,6 +130,19 @@ def test_random_letters_without_a_digit_are_found():
     assert scanner.random_spans(f"{words} {'a' * 30} {'-' * 40} {'=' * 40} {'1' * 20}") == []
 
 
+def test_what_follows_a_rule_is_no_secret():
+    """Runs, genes, rows, words of more languages and names with acronyms, beside keys of as many characters that are."""
+    scanner, r = secrets.Scanner(secrets.ratio_tables()), random.Random(12)
+    odd = [c * 16 for c in secrets.ALPHABET] + [c * 33 for c in secrets.ALPHABET]
+    odd += ["GGGGTTTTCCCCAAAAGGGG", "www/xxx/yyy/zzz/qqq/jjj", "jjj_qqq_www_zzz_kkk_vvv", "xXxXxXxXxXxXxXxX", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba", "qwertyuiopasdfghjklzxcvbnm", "00112233445566778899AABBCCDDEEFF"]
+    odd += ["przedsiebiorczosciowy", "najszczesliwszego", "Llanfairpwllgwyngyllgogerych", "rhyngwladoldeb-cymdeithasol", "arbeidsongeschiktheidsverzekering", "parseXMLSchemaNode", "gsl_multifit_linear", "loadXSLTStylesheetURL"]
+    assert [x for x in odd if scanner.random_spans(x)] == []
+    genes = ["".join(r.choices(a, k=n)) for a in ("ACGT", "acgt") for n in (16, 24, 60) for _ in range(100)]
+    assert sum(bool(scanner.random_spans(x)) for x in genes) < 0.01 * len(genes)
+    for alphabet, least in ((secrets.ALPHABET[:62], 0.97), ("abcdefghijklmnopqrstuvwxyz0123456789", 0.96), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.88), ("0123456789ABCDEF", 0.85)):
+        assert sum(bool(scanner.random_spans("".join(r.choices(alphabet, k=16)))) for _ in range(500)) > least * 500
+
+
 def test_labels_of_many_absent_documents_do_not_crowd_out_the_sample(spark):
     docs = spark.range(0, 60).selectExpr("id AS doc_id", "concat('text of ', id) AS text")
     labels = spark.range(0, 4000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality")
