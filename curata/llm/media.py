@@ -5,9 +5,10 @@ width. Each task writes one tar shard after another, each distinct payload once
 shard, offset and length. The index is a Parquet table: only rows of tasks that Spark has committed are in it, so what a
 lost or repeated attempt wrote is never referred to. ``fill_metadata`` reads headers alone, by range; ``read_back`` whole payloads.
 
-Memory: one payload at a time, one shard's open stream and a table of digests of ``SEEN_BYTES``. No text is shuffled: tasks cannot know what others write, so a payload that several
-hold is written by each, but the index names one place for each digest (the first shard by name, from an aggregate of the digests); bytes that no row refers to may be
-left out when shards are rewritten. Shards go to a folder that all executors reach, through pyarrow's file systems.
+Each payload is stored once: the digests are aggregated first, and of those that several rows have, the row of the smallest id is told to store it. They are broadcast if they are few by their counted
+number; beyond that each task stores what it holds, once, and ``compact`` rewrites the shards without what no row refers to. No text is shuffled. The index names one place for each digest.
+
+Memory: one payload at a time, one shard's open stream and a table of digests of ``SEEN_BYTES``. Shards go to a folder that all executors reach, through pyarrow's file systems.
 
 Defined cases: a null text is an empty one (one row of spaces). Equal texts have equal payloads, media and features.
 """
@@ -26,11 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curata.llm import _base
-from curata.plans.storage import broadcast_if_small
+from curata.plans.storage import BROADCAST_ROWS, broadcast_if_small
 
 WIDTH = 192
 FILL = b" "
@@ -118,11 +119,25 @@ class ShardWriter:
 INDEX = "n_bytes long, digest binary, shard string, offset long, length long"
 
 
-def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", level: int = 6) -> DataFrame:
+def payload_digest(text: Column) -> Column:
+    """The SHA-256 of a text's payload, in the JVM."""
+    raw = F.coalesce(text.cast("string"), F.lit(""))
+    size = F.octet_length(raw)
+    return F.unhex(F.sha2(F.concat(raw, F.repeat(F.lit(FILL.decode()), F.when(size == 0, WIDTH).otherwise(F.pmod(-size, F.lit(WIDTH))).cast("int"))), 256))
+
+
+def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", level: int = 6, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Writes the shards and returns the index, read back from its Parquet table: id, n_bytes, digest of the payload, shard, offset, length."""
     _base.ship(docs.sparkSession)
-    frame = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    kind = frame.schema[id_col].dataType.simpleString()
+    frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    kind = frame.schema["id"].dataType.simpleString()
+    shared = frame.select("id", payload_digest(F.col("text")).alias("of")).groupBy("of").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("of", "owner")
+    shared = _base.materialize(shared, "shared")
+    if shared.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        told = frame.withColumn("key", payload_digest(F.col("text"))).join(F.broadcast(shared), F.col("key") == F.col("of"), "left")
+        frame = told.select("id", "text", (F.col("of").isNull() | F.col("id").eqNullSafe(F.col("owner"))).alias("own"))
+    else:
+        frame = frame.withColumn("own", F.lit(True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -133,14 +148,14 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                 for at in range(0, batch.num_rows, _base.SLICE):
                     part = batch.slice(at, _base.SLICE)
                     rows = []
-                    for text in part.column(1).to_pylist():
+                    for text, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                         payload = payload_of(text)
                         digest = hashlib.sha256(payload).digest()
-                        if digest not in there:
+                        if own and digest not in there:
                             if len(there) * SEEN_ENTRY >= SEEN_BYTES:
                                 there.clear()
                             there[digest] = writer.add(f"{digest.hex()}.png", to_png(payload, level))
-                        rows.append((len((text or "").encode("utf-8", "replace")), digest, *there[digest]))
+                        rows.append((len((text or "").encode("utf-8", "replace")), digest, *(there[digest] if own else (None, None, None))))
                     cols = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=[id_col, "n_bytes", "digest", "shard", "offset", "length"])
         finally:
@@ -151,18 +166,43 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     return one_place(docs.sparkSession.read.schema(index.schema).parquet(f"{folder}/written"), folder)
 
 
+PLACE = ("shard", "offset", "length")
+
+
 def one_place(written: DataFrame, folder: str) -> DataFrame:
-    """The index with one place for each digest. Only digests stored at several places are joined; they are broadcast if they are few by their counted number."""
-    place = F.struct("shard", "offset", "length")
-    several = written.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select(F.col("digest").alias("of"), "first")
-    several = _base.materialize(several, "places")
+    """The index with one place for each digest. Only digests with a row that has another place, or none, are joined; they are broadcast if they are few by their counted number."""
+    place = F.when(F.col("shard").isNotNull(), F.struct(*PLACE))
+    several = written.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count_if(F.col("shard").isNull()).alias("without")).where("first <> last OR without > 0")
+    several = _base.materialize(several.select(F.col("digest").alias("of"), "first"), "places")
     kept = written.join(broadcast_if_small(several), F.col("digest") == F.col("of"), "left")
-    moved = [F.coalesce(F.col(f"first.{c}"), F.col(c)).alias(c) if c in ("shard", "offset", "length") else F.col(f"`{c}`") for c in written.columns]
+    moved = [F.coalesce(F.col(f"first.{c}"), F.col(c)).alias(c) if c in PLACE else F.col(f"`{c}`") for c in written.columns]
     index = kept.select(*moved)
     index.write.parquet(f"{folder}/index")
     return written.sparkSession.read.schema(written.schema).parquet(f"{folder}/index")
 
 
+def compact(index: DataFrame, folder: str, target: str) -> DataFrame:
+    """Copies what an index refers to into shards below ``target``, each payload once, and returns the index with the new places. A payload is copied as it lies, by the task that has its old shard."""
+    _base.ship(index.sparkSession)
+    old = _base.materialize(index.groupBy("digest").agg(F.min(F.struct(*PLACE)).alias("p")).select("digest", "p.*"), "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, reader = TaskContext.get(), RangeReader(folder)
+        writer = ShardWriter(f"{target}/media", f"{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}")
+        try:
+            for b in batches:
+                rows = [(d, *writer.add(f"{d.hex()}.png", reader.read(shard, offset + BLOCK, length))) for d, shard, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+                cols = list(zip(*rows, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["of", "shard", "offset", "length"])
+        finally:
+            writer.close()
+
+    new = old.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(run, "of binary, shard string, offset long, length long")
+    new.write.parquet(f"{target}/places")
+    places = index.sparkSession.read.parquet(f"{target}/places")
+    return index.drop(*PLACE).join(places, F.col("digest") == F.col("of")).drop("of").select(*index.columns)
+
+
 class RangeReader:
     """Reads ranges of a folder's shards; keeps the last shard open (the index lists a task's rows in the order of their shard)."""
 
