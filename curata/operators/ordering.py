@@ -25,6 +25,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], sums: Mapping[str, str | No
     """
     spark = df.sparkSession
     ship(spark)
+    if clash := {"__group", "__head", "__part", "__row", *(f"__sum{i}" for i in range(len(sums)))} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns of names that are used here: {', '.join(sorted(clash))}")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = F.xxhash64(*[c for k in keys[:by] for c in (F.col(k).isNull(), F.col(k))]) if by else F.lit(0).cast("long")
     ranged = df.withColumn("__group", group).repartitionByRange(n, *keys).sortWithinPartitions(*keys)

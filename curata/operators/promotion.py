@@ -62,13 +62,13 @@ def region_pixels(regions: DataFrame, records: DataFrame, image: str) -> DataFra
 def plan_changes(records: DataFrame, ready: DataFrame, values: DataFrame, item: str, record: str, fields: Sequence[str], writable: Sequence[str], label: str, source: str) -> tuple[DataFrame, DataFrame]:
     """(changes, refusals). changes: record, item, field, before, after, for each field in which a record differs from its item's agreed values (null: leave alone).
 
-    refusals: item, reason: an item without records (P5), with a record labelled by another source than experts (P6), or that would change a field that may not be written (P8). Refused items have no changes.
+    refusals: item, reason: an item without records (P5), with a record that does not say unknown and is not labelled by experts (P6), or that would change a field that may not be written (P8). Refused items have no changes.
     ready: item, label. values: item and ``fields``, all as text; the label and its source are set besides them.
     """
     j = ready.select(item, F.col("label").alias("__label")).join(values.select(item, *[F.col(f).alias(f"__{f}") for f in fields]), item, "left")
     bare = j.join(records.select(item).distinct(), item, "left_anti").select(item, F.lit("P5 no records").alias("reason"))
     rows = records.select(record, item, label, source, *fields).join(j, item)
-    taken = ~F.col(label).eqNullSafe(F.lit("unknown")) & F.col(label).isNotNull() & ~F.col(source).eqNullSafe(F.lit("expert_annotation"))
+    taken = ~F.col(label).eqNullSafe(F.lit("unknown")) & ~F.col(source).eqNullSafe(F.lit("expert_annotation"))
     news = {label: F.col("__label"), source: F.lit("expert_annotation")} | {f: F.col(f"__{f}").cast("string") for f in fields}
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("before"), a.cast("string").alias("after")) for f, a in news.items()])
     rows = rows.select(record, item, taken.alias("__taken"), F.filter(each, lambda x: x["after"].isNotNull() & ~x["before"].eqNullSafe(x["after"])).alias("__changes"))

@@ -160,6 +160,8 @@ def regroup(assignments: DataFrame, members: DataFrame, group: str, component: s
     A component goes to the partition that holds most of its groups, the earlier in ``order`` among equals. Then, class by class, groups of no component move from partitions that
     have gained to those that have lost, by name, in the order of a digest of the seed. Raises ValueError if there are too few of them.
     """
+    if not assignments.where(~F.coalesce(F.col(partition).isin(*order), F.lit(False))).isEmpty():
+        raise ValueError(f"partitions other than {', '.join(order)}")
     rows = assignments.select(F.col(group).alias("g"), F.col(partition).alias("was"), F.col(label).alias("l")).join(members.select(F.col(group).alias("g"), F.col(component).alias("c")), "g", "left")
     shared = rows.where("c IS NOT NULL").groupBy("c", "was").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.array_position(F.array(*map(F.lit, order)), F.col("was")))
     home = shared.groupBy("c").agg(F.min(F.struct((-F.col("n")).alias("n"), "rank", "was"))["was"].alias("home"), F.sum("n").alias("size"))

@@ -61,16 +61,16 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     mine = k % 17 == 0
     return table(spark, d, "orders").where("o_custkey % 14 <> 5").select(
-        k.alias("record"), F.col("o_custkey").alias("item"), F.when(mine, "BUILDING").otherwise("unknown").alias("label"), F.when(mine & (k % 2 == 0), "museum").when(mine, "expert_annotation").alias("source"), F.lit("none").alias("reading"),
+        k.alias("record"), F.col("o_custkey").alias("item"), F.when(mine & (k % 5 == 0), F.lit(None)).when(mine, "BUILDING").otherwise("unknown").alias("label"), F.when(mine & (k % 2 == 0), "museum").when(mine, "expert_annotation").alias("source"), F.lit("none").alias("reading"),
         F.when(k % 19 == 0, "y").otherwise("x").alias("note"), F.col("o_totalprice").alias("price"))
 
 
 PLAN = f"""
 {ITEMS},
 rd AS (SELECT item, label FROM e WHERE reasons = ''),
-rec AS (SELECT o_orderkey AS record, o_custkey AS item, CASE WHEN o_orderkey % 17 = 0 THEN 'BUILDING' ELSE 'unknown' END AS label, CASE WHEN o_orderkey % 34 = 0 THEN 'museum' WHEN o_orderkey % 17 = 0 THEN 'expert_annotation' END AS source,
+rec AS (SELECT o_orderkey AS record, o_custkey AS item, CASE WHEN o_orderkey % 85 = 0 THEN NULL WHEN o_orderkey % 17 = 0 THEN 'BUILDING' ELSE 'unknown' END AS label, CASE WHEN o_orderkey % 34 = 0 THEN 'museum' WHEN o_orderkey % 17 = 0 THEN 'expert_annotation' END AS source,
   CASE WHEN o_orderkey % 19 = 0 THEN 'y' ELSE 'x' END AS note, o_totalprice AS price FROM orders WHERE o_custkey % 14 <> 5),
-j AS (SELECT rec.*, rd.label AS nl, a.reading AS nr, a.note AS nn, rec.label <> 'unknown' AND rec.source <> 'expert_annotation' AS taken, a.note IS NOT NULL AND a.note <> rec.note AS illegal FROM rec JOIN rd USING (item) LEFT JOIN a USING (item)),
+j AS (SELECT rec.*, rd.label AS nl, a.reading AS nr, a.note AS nn, rec.label IS DISTINCT FROM 'unknown' AND rec.source IS DISTINCT FROM 'expert_annotation' AS taken, a.note IS NOT NULL AND a.note <> rec.note AS illegal FROM rec JOIN rd USING (item) LEFT JOIN a USING (item)),
 no AS (SELECT DISTINCT item, CASE WHEN taken THEN 'P6 labelled by another source' ELSE 'P8 protected field' END AS reason FROM j WHERE taken OR illegal UNION ALL SELECT item, 'P5 no records' FROM rd WHERE item NOT IN (SELECT item FROM rec)),
 ch AS (SELECT record, item, field, before, after FROM (
   SELECT record, item, 'label' AS field, label AS before, nl AS after FROM j UNION ALL SELECT record, item, 'source', source, 'expert_annotation' FROM j UNION ALL SELECT record, item, 'reading', 'none', nr FROM j

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curata.functions.engines import TEXTUAL, Engine, Registry, grid, robustness
 from curata.operators import acquisition as A
 from curata.operators.ordering import first_n, latest_before, running_sums
 from curata.queries._registry import query, table
@@ -72,3 +73,24 @@ def queue_places(spark: SparkSession, d: str) -> DataFrame:
     """The place of each item in a queue: the pilot's first, then by id."""
     queue = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 7 == 0).alias("pilot")).withColumn("late", ~F.col("pilot"))
     return running_sums(queue, ["late", "c_custkey"], {"place": None}).drop("late")
+
+
+def lengths() -> Engine:
+    """A classifier by length: long texts have over 500 characters."""
+    return Engine("lengths", "classifier", "1", lambda: lambda texts: [(None, None) if t is None else ("long" if len(t) > 500 else "short", 1.0) for t in texts])
+
+
+@query("""
+WITH t AS (SELECT 'clean' AS perturbation, 'none' AS family, 'none' AS severity, text, text AS x FROM documents UNION ALL SELECT 'no_vowels', 'loss', 'moderate', text, regexp_replace(text, '[aeiouAEIOU]', '', 'g') FROM documents
+  UNION ALL SELECT 'first_half', 'crop', 'strong', text, substr(text, 1, length(text) // 2) FROM documents),
+g AS (SELECT perturbation, family, severity, count(*) AS n, count(*) FILTER (WHERE (length(x) > 500) = (length(text) > 500)) AS n_right FROM t GROUP BY ALL)
+SELECT *, round(n_right / n, 9) AS accuracy, round(max(n_right / n) FILTER (WHERE perturbation = 'clean') OVER () - n_right / n, 9) AS drop_from_clean FROM g
+""")
+def perturbation_grid(spark: SparkSession, d: str) -> DataFrame:
+    """How a classifier by length stands up to texts without vowels and to first halves."""
+    engines = Registry()
+    engines.add(lengths())
+    docs = table(spark, d, "documents").select("doc_id", "text", F.when(F.length("text") > 500, "long").when(F.col("text").isNotNull(), "short").alias("truth"))
+    said = engines.apply(grid(docs, "doc_id", "text", TEXTUAL[:3]), "classifier", "text")
+    out = robustness(said.withColumn("right", F.col("label") == F.col("truth")), "right")
+    return out.withColumns({c: F.round(c, 9) for c in ("accuracy", "drop_from_clean")})
