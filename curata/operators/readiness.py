@@ -139,8 +139,8 @@ def file_differences(recorded: DataFrame, present: DataFrame, path: str) -> Data
     return a.join(b, path, "full_outer").select(path, F.when(F.col("__r").isNull(), "unrecorded").when(F.col("__p").isNull(), "missing").alias("problem")).where("problem IS NOT NULL")
 
 
-def generated_checks(findings: DataFrame, records: DataFrame, differences: DataFrame, overlaps: DataFrame, foreign: Mapping[str, DataFrame], per_class: int, version: str) -> DataFrame:
-    """check, n, passed: V1 to V3 traces of generated data elsewhere (``foreign``: files, records, annotations), V4 to V8 findings by rule, V9 classes that do not have ``per_class`` groups, V10 files, V11 partitions that overlap, V13 records of another version.
+def generated_checks(findings: DataFrame, records: DataFrame, differences: DataFrame, overlaps: DataFrame, foreign: Mapping[str, DataFrame], per_class: int, version: str, locked: DataFrame | None = None, anew: DataFrame | None = None) -> DataFrame:
+    """check, n, passed: V1 to V3 traces of generated data elsewhere (``foreign``: files, records, annotations), V4 to V8 findings by rule, V9 classes that do not have ``per_class`` groups, V10 files, V11 partitions that overlap, V13 records of another version; given what differs from the lock and what was not made again the same (operators.generated), V12 and V14 as well.
 
     Columns of records: group, label, version.
     """
@@ -149,6 +149,8 @@ def generated_checks(findings: DataFrame, records: DataFrame, differences: DataF
     classes = records.groupBy("label").agg(F.count_distinct("group").alias("m"))
     parts = [tally(classes, [(F.col("m") != per_class, "V9", None)]), tally(differences, [(F.lit(True), "V10", None)]), tally(overlaps, [(F.lit(True), "V11", None)]), tally(records, [(~F.col("version").eqNullSafe(F.lit(version)), "V13", None)])]
     parts += [tally(df, [(F.lit(True), v, None)]) for v, df in zip(("V1", "V2", "V3"), (foreign[k] for k in ("files", "records", "annotations")), strict=True)]
-    names = ["V1", "V2", "V3", *rules, "V9", "V10", "V11", "V13"]
+    given = [(v, df) for v, df in (("V12", locked), ("V14", anew)) if df is not None]
+    parts += [tally(df, [(F.lit(True), v, None)]) for v, df in given]
+    names = ["V1", "V2", "V3", *rules, "V9", "V10", "V11", *(v for v, _ in given if v == "V12"), "V13", *(v for v, _ in given if v == "V14")]
     one = _one_row(reduce(DataFrame.unionByName, parts, made), names)
     return one.select(F.explode(F.array(*[F.struct(F.lit(v).alias("check"), F.col(v).alias("n"), (F.col(v) == 0).alias("passed")) for v in names])).alias("x")).select("x.*")
