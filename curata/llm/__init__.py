@@ -1 +1 @@
-"""Training-data operators: quality, media, mixing, chat, near-duplicates, licences, PII, secrets, BPE and exact search."""
+"""Training-data operators: quality, media, mixing, chat, near-duplicates, licences, PII, secrets, BPE, exact search, clustering, token counts and whitening."""
