@@ -188,13 +188,18 @@ class Compiler:
 
 def findings(raw: Column, schema: Mapping) -> Column:
     """The array of struct(path, keyword) of a JSON text; what is no JSON has one finding, json. A null text as well."""
-    v = F.try_parse_json(raw)
+    return findings_of(F.try_parse_json(raw), schema)
+
+
+def findings_of(v: Column, schema: Mapping) -> Column:
+    """The same of a VARIANT. It is looked at many times: give it a column that has been parsed in a step before."""
     return F.when(v.isNull(), F.array(said((), "json"))).otherwise(Compiler(schema).findings(schema, v, ()))
 
 
 def schema_findings(df: DataFrame, index: str, raw: str, schema: Mapping) -> DataFrame:
     """record_index, path, keyword of each finding of each record. One pass, no shuffle."""
-    return df.select(F.col(index).alias("record_index"), F.explode(findings(F.col(raw), schema)).alias("f")).select("record_index", "f.path", "f.keyword")
+    parsed = df.select(F.col(index).alias("record_index"), F.try_parse_json(F.col(raw)).alias("v"))
+    return parsed.select("record_index", F.explode(findings_of(F.col("v"), schema)).alias("f")).select("record_index", "f.path", "f.keyword")
 
 
 def annotation_findings(
@@ -204,7 +209,8 @@ def annotation_findings(
 
     typed: the columns of governance.annotation_problems; generated: an array of reasons over them. The id is the record's own annotation_id where that can be read. The checked records are written once.
     """
-    read = df.select(findings(F.col(raw), schema).alias("__found"), F.from_json(F.col(raw), typed).alias("__a"))
+    parsed = df.select(F.try_parse_json(F.col(raw)).alias("__v"), F.from_json(F.col(raw), typed).alias("__a"))
+    read = parsed.select(findings_of(F.col("__v"), schema).alias("__found"), "__a")
     flat = read.select("__found", *[F.col(f"__a.`{n}`").alias(n) for n in typed.names])
     why = F.coalesce(generated, F.array().cast("array<string>")) if generated is not None else F.array().cast("array<string>")
     checked = materialize(flat.withColumn("__why", why), "annotations")
