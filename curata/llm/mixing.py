@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from curata.llm import _base
 from curata.operators.ordering import running_sums
 
-WORD = r"[^\x20\x09-\x0D]+"
+SPACE = " \t\n\x0b\f\r"
+#: A word and the white space behind it: such pieces make up a text that begins with a word.
+PIECE = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 REPEATS = 3
 WEIGHTS = 3
 #: Up to so many sources their table is broadcast (some 10 MB); beyond, it is joined by a shuffle.
@@ -30,15 +32,19 @@ BROADCAST_SOURCES = 100_000
 
 
 def sizes(docs: DataFrame, text_col: str = "text") -> F.Column:
-    return F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    """Number of words, as the length of the text with one letter for each; regexp_count would first make an array of all words."""
+    pieces = F.regexp_replace(F.ltrim(F.col(f"`{text_col}`"), F.lit(SPACE)), PIECE, "x")
+    return F.coalesce(F.length(pieces).cast("long"), F.lit(0).cast("long"))
 
 
 def targets(base: DataFrame) -> DataFrame:
     """One row for each source: skey, source_size, target, rank and the budget."""
-    s = running_sums(base.groupBy("skey").agg(F.sum("size").alias("source_size")), ["skey"], {"rank": None})
+    s = _base.materialize(base.groupBy("skey").agg(F.sum("size").alias("source_size")), "sources")
+    n = s.count()
+    s = running_sums(s, ["skey"], {"rank": None}, rows=n)
     s = s.withColumn("w", (F.col("rank") - 1) % WEIGHTS + 1).withColumn("cap", F.col("source_size") * REPEATS).withColumn("full_at", F.col("cap") / F.col("w"))
     # sources by the level at which they are full; below the water line a source is full, above it all rise alike
-    s = _base.materialize(running_sums(s, ["full_at", "rank"], {"cap_upto": "cap", "w_upto": "w"}), "levels")
+    s = _base.materialize(running_sums(s, ["full_at", "rank"], {"cap_upto": "cap", "w_upto": "w"}, rows=n), "levels", n)
     whole = F.broadcast(s.agg(F.sum("w").alias("w_all"), F.sum("source_size").alias("budget")))
     s = s.join(whole).withColumn("level", (F.col("budget") - F.col("cap_upto") + F.col("cap")).cast("double") / (F.col("w_all") - F.col("w_upto") + F.col("w")))
     line = s.agg(F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "rank", "level")))["level"].alias("line"))
@@ -52,12 +58,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row for each document: doc_id, size, source_size, target, taken (words; a multiple of size), and the columns ``carry``, none of which may be named as one of these."""
     if clash := set(carry) & set(RESULT):
         raise ValueError(f"columns to carry have names of the result: {sorted(clash)}")
+    return _mix(_base.materialize(_sized(docs, sizes(docs, text_col), id_col, source_col, carry, seed), "sizes"), carry)
+
+
+def _sized(docs: DataFrame, size: F.Column, id_col: str, source_col: str, carry: Sequence[str], seed: str = "mix") -> DataFrame:
     key = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
-    base = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`")), F.lit("t")).alias("skey"), sizes(docs, text_col).alias("size"),
+    return docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`")), F.lit("t")).alias("skey"), size.alias("size"),
         F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long").alias("shuffle"), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("carried"),
     )
-    base = _base.materialize(base, "sizes")
+
+
+def _mix(base: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """The mix of rows as _sized makes them, whose sizes are written already."""
     table = _base.materialize(targets(base), "targets")
     small = table.count() <= BROADCAST_SOURCES
     side = F.broadcast(table) if small else table
@@ -73,9 +86,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs as the mix takes them: each row as often as it is taken, columns as they were."""
-    row, times = _base.fresh(docs, "row_number"), _base.fresh(docs, "times")
-    rows = _base.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    plan = mix(rows, id_col, text_col, source_col, carry=[row]).where("taken > 0").select(row, (F.col("taken") / F.col("size")).cast("int").alias(times))
+    row, size, times = (_base.fresh(docs, x) for x in ("row_number", "n_words", "times"))
+    rows = _base.materialize(docs.withColumns({row: F.monotonically_increasing_id(), size: sizes(docs, text_col)}), "rows")
+    plan = _mix(_sized(rows, F.col(size), id_col, source_col, [row]), [row]).where("taken > 0").select(row, (F.col("taken") / F.col("size")).cast("int").alias(times))
     taken = rows.join(plan, row)
     return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -14,27 +14,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curata.plans.storage import materialize, ship
+from curata.plans.storage import FILE_ROWS, materialize, ship
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], sums: Mapping[str, str | None], by: int = 0, row_id: str | None = None) -> DataFrame:
+def running_sums(df: DataFrame, keys: Sequence[str], sums: Mapping[str, str | None], by: int = 0, row_id: str | None = None, rows: int | None = None) -> DataFrame:
     """df and, for each name -> column of ``sums``, the column's sum over the rows up to and with this one in the order of ``keys`` (None: their number).
 
     Sums start anew where one of the first ``by`` keys changes. The columns are non-negative whole numbers without nulls. Keys sort as Spark sorts them, nulls first;
     rows of equal keys come in any order and into one task, so the keys should tell rows apart. ``row_id`` names a column of distinct numbers, if wanted.
+    rows, an upper bound of what df holds, keeps small tables of narrow rows from being dealt into a range for each shuffle partition.
     """
     spark = df.sparkSession
     ship(spark)
     if clash := {"__group", "__head", "__part", "__row", *(f"__sum{i}" for i in range(len(sums)))} & {c.lower() for c in df.columns}:
         raise ValueError(f"columns of names that are used here: {', '.join(sorted(clash))}")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if rows is not None:
+        n = min(n, max(1, -(-rows // FILE_ROWS)))
     group = F.xxhash64(*[c for k in keys[:by] for c in (F.col(k).isNull(), F.col(k))]) if by else F.lit(0).cast("long")
     ranged = df.withColumn("__group", group).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     names, at = list(sums), [df.columns.index(c) if c else None for c in sums.values()]
     mark = len(df.columns)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, rows, first, last = TaskContext.get().partitionId(), 0, True, None
+        part, seen, first, last = TaskContext.get().partitionId(), 0, True, None
         total, base = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
         for b in batches:
             m = b.num_rows
@@ -53,9 +56,9 @@ def running_sums(df: DataFrame, keys: Sequence[str], sums: Mapping[str, str | No
             head = (of == 0) & first
             first, last = bool(head[-1]), marks[-1]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, *out, pa.array(head), pa.array(np.full(m, part), pa.int32()), pa.array((part << 40) + rows + np.arange(m), pa.int64())], names=[*b.schema.names, *local_names, "__head", "__part", "__row"]
+                [*b.columns, *out, pa.array(head), pa.array(np.full(m, part), pa.int32()), pa.array((part << 40) + seen + np.arange(m), pa.int64())], names=[*b.schema.names, *local_names, "__head", "__part", "__row"]
             )
-            rows += m
+            seen += m
 
     local_names = [f"__sum{i}" for i in range(len(names))]
     fields = [*ranged.schema.fields, *(T.StructField(x, T.LongType()) for x in local_names), T.StructField("__head", T.BooleanType()), T.StructField("__part", T.IntegerType()), T.StructField("__row", T.LongType())]

@@ -27,3 +27,12 @@ def test_no_rows_and_one_group_over_all_ranges(spark):
     df = spark.range(0, 300).select(F.lit("x").alias("g"), "id", F.lit(1).cast("long").alias("v"))
     assert running_sums(df.limit(0), ["g", "id"], {"t": "v"}, by=1).count() == 0
     assert {(r.id, r.t) for r in running_sums(df, ["g", "id"], {"t": "v"}, by=1).collect()} == {(i, i + 1) for i in range(300)}
+
+
+def test_a_bound_of_rows_leaves_the_sums_as_they_are(spark):
+    r = random.Random(7)
+    df = spark.createDataFrame([(r.choice(["a", None, "hot"]), i, r.randint(0, 9)) for i in range(300)], "g string, i int, v long").repartition(5)
+    got = running_sums(df, ["g", "i"], {"t": "v", "n": None}, by=1, row_id="x", rows=300)
+    assert rows(got.drop("x")) == rows(running_sums(df, ["g", "i"], {"t": "v", "n": None}, by=1))
+    assert got.select("x").distinct().count() == 300
+    assert got.agg(F.max("x")).first()[0] < 1 << 40  # one range: ids of later ones begin there
