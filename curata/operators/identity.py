@@ -179,7 +179,9 @@ def near_patterns(bits: DataFrame, distance: int, agree: int | None = None) -> D
     masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen) for chosen in itertools.combinations(range(blocks), agree)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keyed = distinct.select("bits", F.posexplode(F.transform(F.array(*map(F.lit, signed)), lambda m: F.col("bits").bitwiseAND(m))).alias("k", "v"))
-    met = keyed.join(keyed.select(F.col("bits").alias("other"), "k", "v"), ["k", "v"]).where("bits < other")
+    # A merge join: a side has as many rows a pattern as there are masks, but its estimated size is nearly that of the patterns' file, by which it would be broadcast. The sides are alike and shuffled once.
+    x, y = keyed.alias("x"), keyed.alias("y").hint("merge")
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.bits") < F.col("y.bits"))).select("x.bits", F.col("y.bits").alias("other"))
     return met.withColumn("distance", F.bit_count(F.col("bits").bitwiseXOR(F.col("other")))).where(F.col("distance") <= distance).select("bits", "other", "distance").distinct()
 
 

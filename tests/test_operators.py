@@ -507,3 +507,12 @@ def test_positions_from_sizes_and_from_a_second_sort(spark):
     df = spark.createDataFrame(rows, "g string, l string, s string")
     a, b = (sorted(map(tuple, splits.interleave(df, "g", "l", "s", 3, few).collect()), key=repr) for few in (1000, 2))
     assert a == b and sorted(x[3] for x in a if x[1] == "x") == list(range(sum(x[1] == "x" for x in rows)))
+
+
+def test_keys_of_patterns_are_never_broadcast(spark):
+    """Each pattern has dozens of keys, which the estimated size of a side doesn't show: at a million patterns the driver would hold 84 million rows. They are shuffled once for both sides."""
+    met = identity.near_patterns(spark.range(400).selectExpr("xxhash64(id div 2) ^ (id % 2) AS b"), 6)
+    assert met.count() >= 200
+    met.collect()
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin [k" in plan and "ReusedExchange" in plan.split("Initial Plan")[0]
