@@ -95,25 +95,34 @@ p AS (
 """
 
 
-def representatives(spark: SparkSession, d: str) -> DataFrame:
+def hashes(spark: SparkSession, d: str) -> DataFrame:
+    """simhash, written: what follows reads it several times."""
+    return materialize(simhash(spark, d), "simhash")
+
+
+def representatives(hashed: DataFrame) -> DataFrame:
     """bits, item: the smallest id of each pattern; copies and equal patterns are one."""
-    return simhash(spark, d).groupBy("bits").agg(F.min("doc_id").alias("item"))
+    return hashed.groupBy("bits").agg(F.min("doc_id").alias("item"))
 
 
-def near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def near(hashed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents as groups of their own."""
-    return I.near_links(materialize(simhash(spark, d), "simhash").withColumn("own", F.col("doc_id")), "doc_id", "own", "bits", 6)
+    return I.near_links(hashed.withColumn("own", F.col("doc_id")), "doc_id", "own", "bits", 6)
+
+
+def near_components(hashed: DataFrame) -> DataFrame:
+    return I.components(near(hashed)[1], "item_a", "item_b")
 
 
 @query(f"WITH {SIMHASH} SELECT item_a, item_b, distance FROM p")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of pattern representatives at most six bits apart; membership in a pattern is near_dup_members."""
-    return near(spark, d)[1]
+    return near(hashes(spark, d))[1]
 
 
 @query(f"WITH {SIMHASH} SELECT d.doc_id, c.item AS representative FROM documents d JOIN g ON sha256(d.text) = g.h JOIN c USING (hi, lo)")
 def near_dup_members(spark: SparkSession, d: str) -> DataFrame:
-    return near(spark, d)[0].select("doc_id", "representative")
+    return near(hashes(spark, d))[0].select("doc_id", "representative")
 
 
 @query(f"""
@@ -123,7 +132,7 @@ r(node, root) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, r.root FROM r JO
 SELECT node, min(root) AS component FROM r GROUP BY node
 """)
 def near_dup_components(spark: SparkSession, d: str) -> DataFrame:
-    return I.components(near_dup_pairs(spark, d), "item_a", "item_b")
+    return near_components(hashes(spark, d))
 
 
 @query("SELECT b.item_id, count(*) AS n_docs, min(d.doc_id) AS first_doc FROM benchmark b JOIN documents d ON sha256(d.text) = sha256(b.text) GROUP BY b.item_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curata.operators import splits
 from curata.operators.splits import deal_plan
 from curata.queries._registry import query, table
-from curata.queries.identity import SIMHASH, near_dup_components, representatives
+from curata.queries.identity import SIMHASH, hashes, near_components, representatives
 
 CLASSES, HELD_OUT = ["en", "fr", "de"], ["es"]
 NAMES, RATIOS = ["train", "val", "test"], [0.7, 0.15, 0.15]
@@ -140,6 +140,7 @@ def component_regroup(spark: SparkSession, d: str) -> DataFrame:
     """Representatives of near-duplicate patterns, split by id, moved so that no component is divided and no language's share of a partition changes."""
     m = F.col("item") % 10
     langs = table(spark, d, "documents").select(F.col("doc_id").alias("item"), "lang")
-    start = representatives(spark, d).select("item", F.when(m < 7, "train").when(m < 9, "val").otherwise("test").alias("partition")).join(langs, "item")
-    members = near_dup_components(spark, d).select(F.col("node").alias("item"), "component")
+    hashed = hashes(spark, d)
+    start = representatives(hashed).select("item", F.when(m < 7, "train").when(m < 9, "val").otherwise("test").alias("partition")).join(langs, "item")
+    members = near_components(hashed).select(F.col("node").alias("item"), "component")
     return splits.regroup(start, members, "item", "component", "partition", "lang")
