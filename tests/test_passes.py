@@ -10,3 +10,16 @@ def test_regroup_hashes_texts_once(spark, monkeypatch):
     monkeypatch.setattr(identity, "simhash", lambda *a, **b: calls.append(1) or plain(*a, **b))
     out = entry.queries()["component_regroup"](spark, SMALL)
     assert out.count() > 0 and len(calls) == 1
+
+
+def test_components_broadcast_no_keys(spark, monkeypatch):
+    plain, plans = identity.near_links, []
+
+    def near_links(*a, **b):
+        members, links = plain(*a, **b)
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return members, links
+
+    monkeypatch.setattr(identity, "near_links", near_links)
+    assert entry.queries()["near_dup_components"](spark, SMALL).count() > 0
+    assert "SortMergeJoin [k" in plans[0] and "BroadcastHashJoin [k" not in plans[0]
