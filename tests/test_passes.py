@@ -29,7 +29,7 @@ def test_components_broadcast_no_keys(spark, monkeypatch):
     assert "SortMergeJoin [k" in plans[0] and "BroadcastHashJoin [k" not in plans[0]
 
 
-@pytest.mark.parametrize(("name", "shuffles"), [("dating_estimate", 6), ("object_statements", 9)])
+@pytest.mark.parametrize(("name", "shuffles"), [("dating_evidence", 4), ("dating_estimate", 6), ("object_statements", 9)])
 def test_lines_are_read_and_shuffled_once(spark, name, shuffles):
     """Lines and objects by object, two small tables of references; then totals of an object and each table of an object's that is joined to them."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
